@@ -2,5 +2,6 @@
 
 from triledger.config import Config
 from triledger.plans.reconcile import Result, reconcile
+from triledger.sources.derived import Sources
 
-__all__ = ["Config", "Result", "reconcile"]
+__all__ = ["Config", "Result", "Sources", "reconcile"]

@@ -14,7 +14,7 @@ TICKET = r"\d{3}-\d{10}|\d{10,13}"
 ONLY_TICKET = r"(?U)^\s*\d{10,13}\s*$"
 NUMBER = r"(?U)[-+]?\d[\d\s .,]*\d|[-+]?\d"
 PART_BREAK = r"(?U)\s\+\s|\+(?=\s*[A-ZА-Я$€\d])"
-NBSP = " "
+NBSP = "\u00a0"
 
 AMOUNT = "decimal(30,8)"
 
@@ -32,26 +32,40 @@ def norm_text(text: Column) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(upper, "[^A-ZА-Я0-9]+", " ")), F.lit(""))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _plain_digits(digits: Column) -> Column:
+    """Unsigned digits with the thousands separators gone and a point as decimal sign."""
+    commas, points = F.instr(F.reverse(digits), ","), F.instr(F.reverse(digits), ".")
+    # Both signs present: the one nearer to the end is the decimal sign.
+    mixed = F.when(commas < points, F.replace(F.translate(digits, ".", ""), F.lit(","), F.lit("."))) \
+        .otherwise(F.translate(digits, ",", ""))
+
+    # One kind of sign: repeated, or followed by exactly three digits, it separates thousands.
+    def single(pieces: Column) -> Column:
+        head, tail = F.get(pieces, F.lit(0)), F.get(pieces, F.lit(1))
+        thousands = (F.size(pieces) > 2) | ((F.length(tail) == 3) & (F.length(head) <= 3) & (head != "0"))
+        return F.when(thousands, F.array_join(pieces, "")).otherwise(F.array_join(pieces, "."))
+
+    return (
+        F.when((commas > 0) & (points > 0), mixed)
+        .when((commas > 0) | (points > 0), _let(F.split(digits, "[.,]"), single))
+        .otherwise(digits)
+    )
+
+
 def parse_number(token: Column) -> Column:
     """A number written with either decimal sign and any thousands separator; null if it is none."""
     squeezed = F.btrim(F.translate(token, " " + NBSP, ""), F.lit(".,"))
-    digits = F.ltrim(squeezed, F.lit("+-"))
-    commas = F.instr(F.reverse(digits), ",")
-    points = F.instr(F.reverse(digits), ".")
-    without = lambda sign: F.replace(digits, F.lit(sign))
-    comma_to_point = lambda c: F.replace(c, F.lit(","), F.lit("."))
 
-    # Both signs present: the one nearer to the end is the decimal sign.
-    mixed = F.when(commas < points, comma_to_point(without("."))).otherwise(without(","))
-    # One kind of sign: repeated, or followed by exactly three digits, it separates thousands.
-    pieces = F.split(digits, "[.,]")
-    head, tail = F.get(pieces, F.lit(0)), F.get(pieces, F.lit(1))
-    thousands = (F.size(pieces) > 2) | ((F.length(tail) == 3) & (F.length(head) <= 3) & (head != "0"))
-    single = F.when(thousands, F.translate(digits, ".,", "")).otherwise(comma_to_point(digits))
+    def signed(text: Column) -> Column:
+        value = _let(F.ltrim(text, F.lit("+-")), lambda d: _plain_digits(d).try_cast(AMOUNT))
+        return value * F.when(F.startswith(text, F.lit("-")), -1).otherwise(1).cast("decimal(1,0)")
 
-    plain = F.when((commas > 0) & (points > 0), mixed).when((commas > 0) | (points > 0), single).otherwise(digits)
-    value = plain.try_cast(AMOUNT)
-    return F.when(F.startswith(squeezed, F.lit("-")), -value).otherwise(value).cast(AMOUNT)
+    return _let(squeezed, signed).cast(AMOUNT)
 
 
 def _spelled(text: Column, spellings: tuple[str, ...]) -> Column:
@@ -88,31 +102,33 @@ def is_ticket_cell(cell: Column) -> Column:
     return F.coalesce(F.rlike(cell, F.lit(ONLY_TICKET)), F.lit(False))
 
 
-def journal_amount_columns(cell: Column, rates: dict[str, Column]) -> dict[str, Column]:
-    """amount, is_foreign and amount_issue of a journal cell."""
-    ticket = is_ticket_cell(cell)
-    amount = F.when(~ticket, parse_amount(cell, rates))
+def is_foreign(cell: Column) -> Column:
+    """True when the cell mentions a foreign currency."""
     marks = "(?i)" + "|".join(m.replace("$", r"\$") for m in FOREIGN_MARKS)
-    return {
-        "amount": amount,
-        "is_foreign": F.coalesce(F.rlike(cell, F.lit(marks)), F.lit(False)),
-        "amount_issue": F.when(ticket, "TICKET_IN_AMOUNT").when(amount.isNull(), "UNPARSEABLE").otherwise(""),
-    }
+    return F.coalesce(F.rlike(cell, F.lit(marks)), F.lit(False))
+
+
+def amount_issue(cell: Column, amount: Column) -> Column:
+    """What is wrong with an amount cell, given the amount read from it."""
+    return F.when(is_ticket_cell(cell), "TICKET_IN_AMOUNT").when(amount.isNull(), "UNPARSEABLE").otherwise("")
 
 
 def digit_pattern(a: Column, b: Column) -> Column:
     """How two amounts differ as typed digits: TRANSPOSITION, ONE_WRONG_DIGIT or nothing."""
-    typed = lambda x: F.lpad(
-        F.round(F.abs(x) * 100).cast("bigint").cast("string"),
-        F.greatest(F.lit(3), F.length(F.round(F.abs(x) * 100).cast("bigint").cast("string"))), F.lit("0"))
-    da, db = F.split(typed(a), ""), F.split(typed(b), "")
-    wrong = F.size(F.filter(F.zip_with(da, db, lambda x, y: x != y), lambda d: d))
-    same_length = F.size(da) == F.size(db)
-    return (
-        F.when(same_length & (wrong > 0) & (F.array_sort(da) == F.array_sort(db)), "TRANSPOSITION")
-        .when(same_length & (wrong == 1), "ONE_WRONG_DIGIT")
-        .otherwise("")
-    )
+    def typed(x: Column) -> Column:
+        digits = F.round(F.abs(x) * 100).cast("bigint").cast("string")
+        return F.split(F.lpad(digits, F.greatest(F.lit(3), F.length(digits)), F.lit("0")), "")
+
+    def compare(pair: Column) -> Column:
+        wrong = F.size(F.filter(F.zip_with(pair["a"], pair["b"], lambda x, y: x != y), lambda d: d))
+        return (
+            F.when(F.size(pair["a"]) != F.size(pair["b"]), "")
+            .when((wrong > 0) & (F.array_sort(pair["a"]) == F.array_sort(pair["b"])), "TRANSPOSITION")
+            .when(wrong == 1, "ONE_WRONG_DIGIT")
+            .otherwise("")
+        )
+
+    return _let(F.struct(typed(a).alias("a"), typed(b).alias("b")), compare)
 
 
 def document_kind(doc: Column, words: Vocabulary) -> Column:
@@ -137,7 +153,8 @@ def agrees(journal: Column, is_foreign: Column, other: Column, tolerance: str, f
 
 def money(amount: Column, signed: bool = False) -> Column:
     """An amount as text with thousands separators and two decimals."""
-    return F.format_string("%+,.2f" if signed else "%,.2f", amount.cast("decimal(18,2)"))
+    shown = F.format_number(amount.cast("decimal(18,2)"), 2)
+    return F.concat(F.when(amount >= 0, "+").otherwise(""), shown) if signed else shown
 
 
 def month_of(day: Column) -> Column:

@@ -15,24 +15,30 @@ def hot_keys(df: DataFrame, on: list[str], hot_rows: int) -> DataFrame:
     return df.groupBy(*on).count().filter(F.col("count") > hot_rows).select(*on, F.lit(True).alias("_hot"))
 
 
-def salted_join(rows: DataFrame, lookup: DataFrame, on: list[str], *, hot_rows: int, how: str = "left") -> DataFrame:
+def salted_join(
+    rows: DataFrame, lookup: DataFrame, on: list[str], *, hot_rows: int, at_most: int | None = None, how: str = "left"
+) -> DataFrame:
     """Equi-join of a large table with a lookup that is unique on `on`.
 
     Rows of a hot key are dealt over SALTS partitions and the lookup row of that key is repeated
     for each; all other keys join as usual.  The list of hot keys has at most rows / hot_rows
-    entries, which is what makes broadcasting it safe.
+    entries, which is what makes broadcasting it safe.  When no key is known to have more than
+    `at_most` rows and that is no more than `hot_rows`, nothing can be hot and nothing is salted.
     """
+    if at_most is not None and at_most <= hot_rows:
+        return rows.join(lookup, on, how)
     hot = F.broadcast(hot_keys(rows, on, hot_rows))
     dealt = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns if c not in on]), F.lit(SALTS)).cast("int")
-    marked = rows.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), dealt).otherwise(0)).drop("_hot")
+    # Rows without a key match nothing; they are dealt out too, so they do not pile up.
+    keyless = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in on))
+    marked = (
+        rows.join(hot, on, "left")
+        .withColumn("_salt", F.when(F.col("_hot") | keyless, dealt).otherwise(0))
+        .drop("_hot")
+    )
     spread = (
         lookup.join(hot, on, "left")
         .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
         .drop("_hot")
     )
     return marked.join(spread, [*on, "_salt"], how).drop("_salt")
-
-
-def same(left: DataFrame, right: DataFrame, on: list[str]):
-    """Null-safe equality of the named columns."""
-    return reduce(lambda a, b: a & b, (left[c].eqNullSafe(right[c]) for c in on))
