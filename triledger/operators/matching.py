@@ -13,10 +13,12 @@ Because all seats rank proposers by the same turn, both give the same, unique re
 
 from __future__ import annotations
 
+import sys
 from bisect import bisect_left, insort
 from collections import deque
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,9 @@ from triledger.operators.durable import durable
 from triledger.operators.ordered import gap_islands, ordered_scan
 from triledger.operators.skew import salted_join
 
+# Functions used inside tasks travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 NEAREST = "nearest day"        # same agent; nearest day, then the earlier day, then the lower amount
 OTHER_AGENT = "other agent"    # another agent; by agent, amount and day
 

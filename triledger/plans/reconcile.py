@@ -11,10 +11,11 @@ from triledger.config import DEFAULT, Config
 from triledger.operators import bridge as bridge_ops
 from triledger.operators import ledger as ledger_ops
 from triledger.operators import payments as payment_ops
-from triledger.operators import prepare, voting
+from triledger.operators import prepare, risk, voting
 from triledger.operators.checks import integrity_checks
 from triledger.operators.components import connected_components, ticket_edges, with_group
 from triledger.operators.durable import durable, known_rows
+from triledger.operators.features import build_features
 from triledger.operators.groups import build_groups, group_tickets
 from triledger.plans.classify import classify_groups
 from triledger.sources.derived import Sources
@@ -159,6 +160,16 @@ class Result:
     def actions(self) -> DataFrame:
         return bridge_ops.agent_actions(self.bridge, self.groups, self.payments, self.missing)
 
+    # -- people -----------------------------------------------------------------------------
+    @cached_property
+    def employee_risk(self) -> DataFrame:
+        errors = risk.journal_errors(self.journal, self.groups, self.config, at_most=known_rows(self.journal))
+        return risk.risk_by_employee(errors)
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return durable(build_features(self.ledger, self.groups, self.payments, self.journal, self.config))
+
     @cached_property
     def checks(self) -> DataFrame:
         return integrity_checks(self)
