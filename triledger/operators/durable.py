@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder the session names; on a single machine without one, a temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
@@ -27,7 +27,7 @@ def durable(df: DataFrame) -> DataFrame:
     it is columnar: later steps read only the columns they need, and the planner knows its size.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     counted = Observation()
     df.observe(counted, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
