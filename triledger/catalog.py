@@ -13,6 +13,7 @@ from triledger.functions import text
 from triledger.functions.stats import wilson
 from triledger.operators import evaluate, features, ledger, matching, model, risk, voting
 from triledger.operators import payments as payment_ops
+from triledger.operators.bands import band_partners
 from triledger.operators.bridge import status_counts
 from triledger.operators.durable import durable, shared_folder
 from triledger.operators.groups import repeated_debits
@@ -60,11 +61,16 @@ def run_of(spark: SparkSession, folder: str) -> Result:
     """The reconciliation of a folder; its tables are made once per session and reused."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _RUNS:
-        raw = derived.derive(spark, folder)
-        _RUNS[key] = reconcile(Sources(durable(raw.statements), durable(raw.ledger), durable(raw.journal)))
+        _RUNS[key] = reconcile(stored_sources(spark, folder))
     return _RUNS[key]
 
 
+def stored_sources(spark: SparkSession, folder: str) -> Sources:
+    """The derived ledgers as tables, the way a real run would find its input."""
+    raw = derived.derive(spark, folder)
+    return Sources(durable(raw.statements), durable(raw.ledger), durable(raw.journal))
+
+
 def model_of(spark: SparkSession, folder: str) -> ModelResult:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _MODELS:
@@ -214,30 +220,14 @@ of_run("q19_merge_counts", lambda r: r.actions.select("agent", "gap_close", "n_O
 of_run("q20_unmatched_receipts", lambda r: r.payment_match.receipts.filter(~F.col("is_matched")).select("agent", "line_no", "doc_date", "doc", "amount"))
 
 
-def _band(left: DataFrame, right: DataFrame, days: int, same_agent: bool) -> DataFrame:
-    """Candidate counts within 1 unit and some days, through amount cells and day buckets."""
-    cell = F.floor("amount").cast("bigint")
-    bucket = F.floor(F.unix_date("day") / (days + 1)).cast("bigint")
-    probe = left.withColumn("cell", F.explode(F.sequence(cell - 1, cell + 1))).withColumn(
-        "bucket", F.explode(F.sequence(bucket - 1, bucket + 1)))
-    seats = right.select(F.col("agent").alias("r_agent"), F.col("amount").alias("r_amount"), F.col("day").alias("r_day"),
-                         cell.alias("cell"), bucket.alias("bucket"))
-    on = ["cell", "bucket"]
-    if same_agent:
-        probe, seats, on = probe.withColumn("r_agent", F.col("agent")), seats, ["r_agent", *on]
-    near = (F.abs(F.col("amount") - F.col("r_amount")) <= 1) & (F.abs(F.datediff("day", "r_day")) <= days)
-    if not same_agent:
-        near = near & (F.col("agent") != F.col("r_agent"))
-    return probe.join(seats, on).filter(near).groupBy("id").agg(
-        F.count("*").alias("candidates"), F.min(F.abs(F.datediff("day", "r_day"))).alias("nearest"))
-
-
-of_run("q21_band_join", lambda r: _band(
+of_run("q21_band_join", lambda r: band_partners(
     payment_ops.payment_rows(r.ledger_inside, r.config).select("agent", "amount", "day", F.col("txn_id").alias("id")),
-    payment_ops.receipt_rows(r.statements).withColumnRenamed("doc_date", "day"), 7, True))
-of_run("q22_cross_agent_band_join", lambda r: _band(
+    payment_ops.receipt_rows(r.statements).withColumnRenamed("doc_date", "day"),
+    tolerance=1, days=7, same_agent=True, hot_rows=r.config.hot_rows))
+of_run("q22_cross_agent_band_join", lambda r: band_partners(
     r.payment_match.receipts.filter(~F.col("is_matched")).select("agent", "amount", F.col("doc_date").alias("day"), F.col("line_no").alias("id")),
-    r.payments.filter("found_in = 'LEDGER' and status <> 'REPEATED_CREDIT'").select("agent", "amount", F.to_date("ts").alias("day")), 10, False))
+    r.payments.filter("found_in = 'LEDGER' and (status <> 'REPEATED_CREDIT')").select("agent", "amount", F.to_date("ts").alias("day")),
+    tolerance=1, days=10, same_agent=False, hot_rows=r.config.hot_rows))
 of_run("q23_balance_points", lambda r: ledger.balance_points(
     r.ledger_prepared, r.acts.select("agent", F.explode(F.array("period_start", F.date_add("period_end", 1))).alias("boundary"))
 ).select("agent", "boundary", "balance"))

@@ -14,6 +14,7 @@ TICKET = r"\d{3}-\d{10}|\d{10,13}"
 ONLY_TICKET = r"(?U)^\s*\d{10,13}\s*$"
 NUMBER = r"(?U)[-+]?\d[\d\s .,]*\d|[-+]?\d"
 PART_BREAK = r"(?U)\s\+\s|\+(?=\s*[A-ZА-Я$€\d])"
+PART_MARK = "\u0001"
 NBSP = "\u00a0"
 
 AMOUNT = "decimal(30,8)"
@@ -52,7 +53,7 @@ def _plain_digits(digits: Column) -> Column:
 
     return (
         F.when((commas > 0) & (points > 0), mixed)
-        .when((commas > 0) | (points > 0), _let(F.split(digits, "[.,]"), single))
+        .when((commas > 0) | (points > 0), _let(F.split(F.translate(digits, ",", "."), r"\."), single))
         .otherwise(digits)
     )
 
@@ -88,13 +89,18 @@ def parse_amount(cell: Column, rates: dict[str, Column]) -> Column:
     Remarks in brackets are ignored; a part in a currency without a rate is left out.
     """
     text = F.regexp_replace(F.upper(cell), r"\(.*?\)", " ")
+    # Breaks become one plain character first: splitting by a pattern would compile it for every row.
+    parts = F.split(F.regexp_replace(text, PART_BREAK, PART_MARK), PART_MARK)
     values = F.transform(
-        F.split(text, PART_BREAK),
+        parts,
         lambda part: parse_number(F.regexp_extract(part, NUMBER, 0)).cast("decimal(18,4)") * _rate_of(part, rates),
     )
-    known = F.filter(values, lambda v: v.isNotNull())
-    total = F.aggregate(known, F.lit(0).cast(AMOUNT), lambda acc, v: (acc + v).cast(AMOUNT))
-    return F.when(F.size(known) > 0, total)
+
+    def total(known: Column) -> Column:
+        return F.when(F.size(known) > 0, F.aggregate(
+            known, F.lit(0).cast(AMOUNT), lambda acc, v: (acc + v).cast(AMOUNT)))
+
+    return _let(F.filter(values, lambda v: v.isNotNull()), total)
 
 
 def is_ticket_cell(cell: Column) -> Column:

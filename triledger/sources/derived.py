@@ -303,7 +303,10 @@ def dense_payments(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_orders(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    orders = spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    cores = spark.sparkContext.defaultParallelism
+    # A file too small to be cut would leave all work to one core.
+    return orders.repartition(cores, "o_orderkey") if orders.rdd.getNumPartitions() < cores else orders
 
 
 def derive(spark: SparkSession, folder: str) -> Sources:
