@@ -32,7 +32,7 @@ def test_numbers(spark):
     cases = {
         "7.889,70": "7889.70", "7,889.70": "7889.70", "115 877,00": "115877", "15 666.00": "15666", "24656": "24656",
         "331.304,00": "331304", "-24.782,00": "-24782", "289.000": "289000", "1.234.567": "1234567", "0.500": "0.5",
-        "115 877,00": "115877", "+12,5": "12.5", "1234.500": "1234.5", "1.2.3,4": "123.4",
+        "115\u00a0877,00": "115877", "+12,5": "12.5", "1234.500": "1234.5", "1.2.3,4": "123.4",
     }
     got = values(spark, list(cases), text.parse_number)
     assert got == [Decimal(v) for v in cases.values()]
@@ -42,7 +42,7 @@ def test_numbers(spark):
 @pytest.mark.parametrize("cell,expected", [
     ("7.889,70 USD + 35usd sf", "697373.60"), ("kgs 15 666.00 + 300 KGS sf", "15966"),
     ("-10 768,65 kgs (штраф 15%)", "-10768.65"), ("kzt -279.760,00", "-47559.20"), ("100 руб", "100"), ("1000 тг", "170"),
-    ("115 877,00", "115877"), ("100 EUR+20 KGS", "20"), (None, None), ("cash", None), ("100 EUR", None),
+    ("115\u00a0877,00", "115877"), ("100 EUR+20 KGS", "20"), (None, None), ("cash", None), ("100 EUR", None),
 ])
 def test_amounts(spark, cell, expected):
     rates = {"rate_usd": "88", "rate_eur": None, "rate_rub": "1", "rate_kzt": "0.17"}

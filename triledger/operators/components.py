@@ -5,10 +5,10 @@ After Kiveris et al., "Connected Components in MapReduce and Beyond" (SoCC 2014)
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from triledger.operators.durable import durable, known_rows
+from triledger.operators.durable import durable, fingerprint, known_rows
 from triledger.operators.skew import SALTS, salted_join
 
 MAX_ROUNDS = 60
@@ -16,9 +16,10 @@ MAX_ROUNDS = 60
 
 def _with_minimum(pairs: DataFrame, node: str, other: str, hot_rows: int | None) -> DataFrame:
     """Add the smallest neighbour `m` of each node to its pairs; busy nodes are dealt over salts."""
-    minima = pairs.groupBy(node).agg(F.min(other).alias("m"), F.count("*").alias("degree"))
     if hot_rows is None:
-        return pairs.join(minima.drop("degree"), node)
+        # No node is busy, so a node's pairs fit one window.
+        return pairs.withColumn("m", F.min(other).over(Window.partitionBy(node)))
+    minima = pairs.groupBy(node).agg(F.min(other).alias("m"), F.count("*").alias("degree"))
     # At most pairs / hot_rows nodes are that busy.
     busy = F.broadcast(minima.filter(F.col("degree") > hot_rows).select(node, F.lit(True).alias("_busy")))
     dealt = F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")
@@ -51,18 +52,19 @@ def connected_components(edges: DataFrame, *, hot_rows: int = 1_000_000, max_rou
 
     `edges` has the columns u and v; direction, repetition and loops do not matter.
     """
+    # Sums of hashes as whole numbers of any size, so the checksum cannot overflow.
+    content = F.xxhash64("u", "v").cast("decimal(38,0)")
     state = durable(
         edges.filter(F.col("u") != F.col("v"))
-        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = _fingerprint(state)
+        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), content)
     for _ in range(max_rounds):
-        if mark[0] == 0:
+        n = known_rows(state)
+        if n == 0:
             break
         # A node has at most twice as many neighbours as there are edges: below that, none is busy.
-        hot = hot_rows if 2 * mark[0] > hot_rows else None
-        state = durable(_small_star(_large_star(state, hot), hot))
-        before, mark = mark, _fingerprint(state)
-        if before == mark:
+        hot = hot_rows if 2 * n > hot_rows else None
+        before, state = state, durable(_small_star(_large_star(state, hot), hot), content)
+        if fingerprint(before) == fingerprint(state):
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
@@ -70,12 +72,6 @@ def connected_components(edges: DataFrame, *, hot_rows: int = 1_000_000, max_rou
         state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    """Edge count and an order-free checksum: one row, whatever the size of the graph."""
-    return tuple(edges.agg(
-        F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
-
-
 def node(agent, ticket):
     return F.concat_ws("|", agent, ticket)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,22 +20,29 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, checksum: Column | None = None) -> DataFrame:
     """The same rows, read back from a table in the checkpoint folder.
 
     Unlike a cached frame the table survives the loss of executors, and unlike an RDD checkpoint
     it is columnar: later steps read only the columns they need, and the planner knows its size.
+    The rows, and a checksum if one is given, are counted while they are written.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     counted = Observation()
-    df.observe(counted, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    total = F.lit(None) if checksum is None else F.sum(checksum)
+    df.observe(counted, F.count(F.lit(1)).alias("rows"), total.alias("checksum")).write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
-    table._known_rows = counted.get["rows"]
+    table._known_rows, table._checksum = counted.get["rows"], counted.get["checksum"]
     return table
 
 
 def known_rows(*tables: DataFrame) -> int | None:
-    """The total row count of tables made by `durable`, counted while they were written."""
+    """The total row count of tables made by `durable`."""
     counts = [getattr(t, "_known_rows", None) for t in tables]
     return None if None in counts else sum(counts)
+
+
+def fingerprint(table: DataFrame) -> tuple:
+    """Rows and checksum of a table made by `durable`: equal for equal contents in any order."""
+    return table._known_rows, table._checksum

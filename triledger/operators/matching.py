@@ -196,6 +196,8 @@ def match_one_to_one(
     members = _standard(proposers, 0, turn).unionByName(_standard(seats, 1, place))
     classes = durable(islands(members, mode, cents, days, skew))
     size = F.col("island_proposers") + F.col("island_seats")
+    if at_most is not None and at_most <= island_rows:
+        return _fold_islands(members, classes, mode, cents, days, skew)
     pairs = _fold_islands(members, classes.filter(size <= island_rows), mode, cents, days, skew)
     large = classes.filter(size > island_rows)
     if not large.isEmpty():

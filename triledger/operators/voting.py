@@ -38,10 +38,9 @@ def occurrences(rows: DataFrame, name: str, order: str) -> DataFrame:
     return exploded.groupBy(name, "ticket").agg(F.count("*").alias("n"), F.min(F.struct(order, "pos")).alias("first"))
 
 
-def vote(seen: DataFrame, owners: DataFrame, name: str, hot_rows: int) -> DataFrame:
+def vote(seen: DataFrame, owners: DataFrame, name: str, hot_rows: int, at_most: int | None = None) -> DataFrame:
     """Per name, the agent with most shared tickets; a tie goes to the one seen first."""
-    owned = salted_join(seen, owners.select("ticket", "agent"), ["ticket"], how="inner", hot_rows=hot_rows,
-                        at_most=known_rows(seen))
+    owned = salted_join(seen, owners.select("ticket", "agent"), ["ticket"], how="inner", hot_rows=hot_rows, at_most=at_most)
     counts = owned.groupBy(name, "agent").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     # max_by over (n, earliest first): negate the count and take the minimum.
     rank = F.struct((-F.col("n")).alias("n"), F.col("first"))
@@ -54,7 +53,7 @@ def vote(seen: DataFrame, owners: DataFrame, name: str, hot_rows: int) -> DataFr
 
 def folder_agents(latest: DataFrame, ledger: DataFrame, seen: DataFrame, owners: DataFrame, hot_rows: int) -> DataFrame:
     """Folders by vote, else by equal name, else unmapped."""
-    voted = vote(seen, owners, "folder", hot_rows)
+    voted = vote(seen, owners, "folder", hot_rows, known_rows(seen))
     by_name = (
         ledger.filter(F.col("agent").isNotNull()).select("agent").distinct()
         .groupBy(norm_text(F.col("agent")).alias("_name")).agg(F.max("agent").alias("_named")))
@@ -83,8 +82,9 @@ def resolve(latest: DataFrame, ledger: DataFrame, journal: DataFrame, config: Co
     ticket_agent = durable(known.unionByName(unknown).groupBy("ticket").agg(
         F.min_by("agent", F.struct("source", "first")).alias("agent")))
 
-    named = durable(occurrences(journal, "party", "row_no"))
-    parties = durable(vote(named, ticket_agent, "party", config.hot_rows))
+    # A row names a ticket once, so no ticket has more rows than the journal.
+    named = occurrences(journal, "party", "row_no")
+    parties = durable(vote(named, ticket_agent, "party", config.hot_rows, known_rows(journal)))
     return Votes(ticket_agent, owners, folders, parties)
 
 
