@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from triledger.config import DEFAULT
 from triledger.functions import text
 from triledger.functions.stats import wilson
+from triledger.functions.times import micros
 from triledger.operators import evaluate, features, ledger, matching, model, risk, voting
 from triledger.operators import payments as payment_ops
 from triledger.operators.bands import band_partners
@@ -45,9 +46,9 @@ def plain(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             return c.cast("bigint").alias(f.name)
         if isinstance(f.dataType, T.DateType):
-            return F.date_format(c, "yyyy-MM-dd").alias(f.name)
+            return c.cast("string").alias(f.name)
         if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(f.name)
+            return F.substring(c.cast("string"), 1, 19).alias(f.name)
         if isinstance(f.dataType, T.ArrayType):
             return F.array_join(c, "|").alias(f.name)
         if isinstance(f.dataType, T.DoubleType):
@@ -288,7 +289,7 @@ def _dense(spark, folder):
     pay, receipts = derived.dense_payments(derived.read_orders(spark, folder))
     return matching.match_one_to_one(
         pay.select(F.col("txn_id").alias("id"), "agent", "amount", F.to_date("ts").alias("day"),
-                   F.unix_micros(F.col("ts").cast("timestamp")).alias("o1"), F.col("txn_id").alias("o2")),
+                   micros(F.col("ts")).alias("o1"), F.col("txn_id").alias("o2")),
         receipts.select(F.col("line_no").alias("id"), "agent", "amount", F.col("doc_date").alias("day"), F.col("line_no").alias("o1")),
         mode=matching.NEAREST, tolerance="1", days=7, turn=["o1", "o2"], place=["o1"],
         island_rows=DEFAULT.island_rows, hot_rows=DEFAULT.hot_rows)
@@ -320,8 +321,7 @@ def _events(spark, folder):
     rows = table(spark, folder, "events").select("event_id", "user_id", "ts", "value")
     scanned = ordered_scan(rows, ["user_id"], ["ts", "event_id"], previous={"before": F.col("ts")},
                            totals={"running": F.col("value").cast("decimal(18,2)")}, number="n")
-    return scanned.select("event_id", "user_id", "n", "running", (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(
-        F.col("before").cast("timestamp"))).alias("gap_micros"))
+    return scanned.select("event_id", "user_id", "n", "running", (micros(F.col("ts")) - micros(F.col("before"))).alias("gap_micros"))
 
 
 # -- verdicts, bridge, checks ---------------------------------------------------------------

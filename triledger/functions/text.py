@@ -161,7 +161,3 @@ def money(amount: Column, signed: bool = False) -> Column:
     """An amount as text with thousands separators and two decimals."""
     shown = F.format_number(amount.cast("decimal(18,2)"), 2)
     return F.concat(F.when(amount >= 0, "+").otherwise(""), shown) if signed else shown
-
-
-def month_of(day: Column) -> Column:
-    return F.date_format(day, "yyyy-MM")

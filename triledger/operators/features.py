@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from triledger.config import Config
+from triledger.functions.times import micros
 from triledger.operators.durable import durable, known_rows
 from triledger.operators.ordered import ordered_scan
 from triledger.operators.skew import salted_join
@@ -58,13 +59,12 @@ def build_features(ledger: DataFrame, groups: DataFrame, payments: DataFrame, jo
     rows = durable(labelled(ledger, groups, payments, config))
     n = known_rows(rows)
     agreements = ledger.groupBy("agent").agg(F.count_distinct("agreement_id").alias("agreements"))
-    numbered = ordered_scan(rows, ["agent", "ticket_text"], ["ts", "txn_id"], number="_seen")
+    numbered = ordered_scan(rows, ["agent", "ticket_text"], ["ts", "txn_id"], number="_seen", at_most=n)
     is_payment = F.col("kind") == config.words.payment
     timed = ordered_scan(
         numbered.withColumn("_paid", is_payment), ["_paid", "agent", "amount"], ["ts", "txn_id"],
-        previous={"_before": F.col("ts")})
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    hours = (micros("ts") - micros("_before")) / 3.6e9
+        previous={"_before": F.col("ts")}, at_most=n)
+    hours = (micros(F.col("ts")) - micros(F.col("_before"))) / 3.6e9
     out = timed.join(first_employee(rows, journal, config), "txn_id", "left")
     out = salted_join(out, agreements, ["agent"], hot_rows=config.hot_rows, at_most=n)
     out = salted_join(out, error_history(rows), ["agent", "month"], hot_rows=config.hot_rows, at_most=n)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from triledger.config import Config
-from triledger.functions.text import month_of
+from triledger.functions.times import month_of
 from triledger.operators.durable import known_rows
 from triledger.operators.ordered import ordered_scan, totals_before
 from triledger.operators.skew import salted_join
@@ -29,7 +29,7 @@ def opening_balances(ledger: DataFrame) -> DataFrame:
 def chain_breaks(ledger: DataFrame, config: Config) -> DataFrame:
     """Ledger rows whose balance does not follow from the row before."""
     rows = ledger.filter(F.col("agent").isNotNull()).select("agent", "ts", "txn_id", "amount", "balance_after")
-    scanned = ordered_scan(rows, ["agent"], ["ts", "txn_id"], previous={"previous_balance": F.col("balance_after")})
+    scanned = ordered_scan(rows, ["agent"], ["ts", "txn_id"], previous={"previous_balance": F.col("balance_after")}, at_most=known_rows(ledger))
     gap = (F.col("balance_after") - F.col("previous_balance") - F.col("amount")).cast(MONEY)
     return scanned.withColumn("chain_gap", gap).filter(F.abs("chain_gap") > F.expr(config.chain_tolerance))
 

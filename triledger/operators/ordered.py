@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from triledger.operators.durable import durable
 
+CHUNK_ROWS = 20_000
+
 
 def ordered_scan(
     rows: DataFrame,
@@ -22,6 +24,7 @@ def ordered_scan(
     previous: dict[str, Column] | None = None,
     number: str | None = None,
     chunks: int | None = None,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Per key, in ascending `order` (which must be unique within the key), add
 
@@ -30,10 +33,13 @@ def ordered_scan(
     * `number`: the row number, from 1.
 
     Rows are first written to the checkpoint folder together with their chunk, so the cut is the
-    same for the rows and for the summaries.
+    same for the rows and for the summaries.  `at_most`, a known bound of the rows, keeps small
+    inputs from being cut into more chunks than they are worth.
     """
     totals, previous = totals or {}, previous or {}
     n = chunks or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if at_most is not None and chunks is None:
+        n = min(n, at_most // CHUNK_ROWS + 1)
     cut = rows.select(
         "*",
         *[F.coalesce(e, F.lit(0)).alias(f"_t_{c}") for c, e in totals.items()],

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from triledger.config import Config
 from triledger.functions.text import money
+from triledger.functions.times import micros
 from triledger.operators.durable import durable
 from triledger.operators.ledger import with_month_missing
 from triledger.operators.matching import NEAREST, OTHER_AGENT, match_one_to_one
@@ -37,7 +38,7 @@ def match_payments(
     """Each payment, in order of time, takes the nearest free receipt of its agent."""
     pairs = durable(match_one_to_one(
         payments.select(F.col("txn_id").alias("id"), "agent", "amount", F.to_date("ts").alias("day"),
-                        F.unix_micros(F.col("ts").cast("timestamp")).alias("o1"), F.col("txn_id").alias("o2")),
+                        micros(F.col("ts")).alias("o1"), F.col("txn_id").alias("o2")),
         receipts.select(F.col("line_no").alias("id"), "agent", "amount", F.col("doc_date").alias("day"),
                         F.col("line_no").alias("o1")),
         mode=NEAREST, tolerance=config.payment_tolerance, days=config.payment_days,
@@ -49,18 +50,17 @@ def match_payments(
         receipts.join(used, "line_no", "left").withColumn("is_matched", F.coalesce("is_matched", F.lit(False))))
 
 
-def with_hours_since_same(payments: DataFrame) -> DataFrame:
+def with_hours_since_same(payments: DataFrame, at_most: int | None = None) -> DataFrame:
     """Hours since the agent's previous payment of the same amount, matched ones included."""
-    scanned = ordered_scan(payments, ["agent", "amount"], ["ts", "txn_id"], previous={"_before": F.col("ts")})
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    return scanned.withColumn("hours_since_same", (micros("ts") - micros("_before")) / 3.6e9).drop("_before")
+    scanned = ordered_scan(payments, ["agent", "amount"], ["ts", "txn_id"], previous={"_before": F.col("ts")}, at_most=at_most)
+    return scanned.withColumn("hours_since_same", (micros(F.col("ts")) - micros(F.col("_before"))) / 3.6e9).drop("_before")
 
 
 def unmatched_payments(
     match: PaymentMatch, missing: DataFrame, config: Config, at_most: int | None = None
 ) -> DataFrame:
     """Why a ledger payment has no receipt: repeated, lost month, or not booked."""
-    rows = with_hours_since_same(match.payments).filter(F.col("matched_line").isNull())
+    rows = with_hours_since_same(match.payments, at_most).filter(F.col("matched_line").isNull())
     rows = with_month_missing(rows, "ts", missing, config, at_most)
     amount = money(F.col("amount"))
     rules = [
@@ -89,7 +89,7 @@ def wrong_agent_pairs(
         receipts.filter(~F.col("is_matched")).select(
             F.col("line_no").alias("id"), "agent", "amount", F.col("doc_date").alias("day"), F.col("line_no").alias("o1")),
         free.select(F.col("txn_id").alias("id"), "agent", "amount", "day",
-                    F.unix_micros(F.col("ts").cast("timestamp")).alias("o1"), F.col("txn_id").alias("o2")),
+                    micros(F.col("ts")).alias("o1"), F.col("txn_id").alias("o2")),
         mode=OTHER_AGENT, tolerance=config.payment_tolerance, days=config.wrong_agent_days,
         turn=["o1"], place=["o1", "o2"], island_rows=config.island_rows, hot_rows=config.hot_rows, at_most=at_most,
     )).select(F.col("proposer").alias("line_no"), F.col("seat").alias("txn_id"))

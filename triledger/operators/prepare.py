@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from triledger.config import Config
 from triledger.functions import text
+from triledger.functions.times import month_of
 from triledger.operators.durable import known_rows
 from triledger.operators.skew import salted_join
 
@@ -61,7 +62,7 @@ def version_differences(rows: DataFrame, config: Config) -> DataFrame:
         F.count_if(F.col("_in_draft") & ~F.col("_in_new")).alias("rows_only_in_draft"))
     return versions.join(changes, key).select(
         "folder",
-        text.month_of(F.col("period_start")).alias("period"),
+        month_of(F.col("period_start")).alias("period"),
         "closing_draft",
         "closing_reissued",
         (F.col("closing_reissued") - F.col("closing_draft")).alias("closing_delta"),
@@ -79,7 +80,7 @@ def ledger_rows(raw: DataFrame) -> DataFrame:
         "*",
         text.extract_tickets(F.col("ticket_text")).alias("tickets"),
         F.to_date("ts").alias("day"),
-        text.month_of(F.col("ts")).alias("month"),
+        month_of(F.col("ts")).alias("month"),
     )
 
 

@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triledger.functions.text import money, month_of
+from triledger.functions.text import money
+from triledger.functions.times import day_text, month_of
 from triledger.operators.checks import long_form
+from triledger.operators.durable import known_rows
 from triledger.operators.ordered import ordered_scan
 from triledger.operators.risk import risk_by_agent
 from triledger.vocabulary import (
@@ -28,7 +30,7 @@ def labelled(df: DataFrame, code: str, labels: dict[str, str], name: str) -> Dat
 
 
 def _day(c: Column) -> Column:
-    return F.coalesce(F.date_format(c, "yyyy-MM-dd"), F.lit(NONE))
+    return F.coalesce(day_text(c), F.lit(NONE))
 
 
 def _or_none(c: str) -> Column:
@@ -37,7 +39,7 @@ def _or_none(c: str) -> Column:
 
 def numbered_groups(groups: DataFrame) -> DataFrame:
     """gid and a dense running number in gid order."""
-    numbered = ordered_scan(groups.select("gid"), [], ["gid"], number="_n")
+    numbered = ordered_scan(groups.select("gid"), [], ["gid"], number="_n", at_most=known_rows(groups))
     digits = (F.col("_n") - 1).cast("string")
     return numbered.select("gid", F.concat(F.lit("G"), F.lpad(digits, F.greatest(F.lit(5), F.length(digits)), F.lit("0"))).alias("group_id"))
 

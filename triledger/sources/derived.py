@@ -49,6 +49,12 @@ def _money(cents: Column) -> Column:
     return (cents / 100).cast("decimal(18,2)")
 
 
+def _at(day, seconds: Column) -> Column:
+    """A time without zone, some seconds into a day."""
+    day = F.col(day) if isinstance(day, str) else day
+    return day.cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+
+
 def _month_index(day: Column) -> Column:
     return ((F.year(day) - 1995) * 12 + F.month(day) - 1).cast("bigint")
 
@@ -110,9 +116,7 @@ def ledger(orders: DataFrame) -> DataFrame:
         _agent(F.col("owner")).alias("agent"),
         F.concat(_agent(F.col("owner")), F.lit("/"), ((k % 7) % 3).cast("string")).alias("agreement_id"),
         (k * 10 + F.col("number")).alias("txn_id"),
-        F.timestamp_seconds(
-            F.unix_date("d").cast("bigint") * 86400 + 32400 + k % 18000 + F.col("seconds")
-        ).cast("timestamp_ntz").alias("ts"),
+        _at("d", 32400 + k % 18000 + F.col("seconds")).alias("ts"),
         "kind",
         "ticket_text",
         _money(F.col("amount_cents")).alias("amount_orig"),
@@ -269,7 +273,7 @@ def journal(orders: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit("Party "), _two(F.col("ai"))))
     )
     return b.select("*", F.explode(rows).alias("row")).select(
-        F.date_format("d", "dd.MM.yyyy").alias("date_text"),
+        F.concat_ws(".", _two(F.dayofmonth("d")), _two(F.month("d")), F.year("d").cast("string")).alias("date_text"),
         F.concat(F.lit("E"), (F.col("k") % 7).cast("string")).alias("employee"),
         "row.kind",
         party.alias("party"),
@@ -294,7 +298,7 @@ def dense_payments(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
     amount = (_div(F.col("cents") + 5_000_000, 10_000_000) * 100_000).cast("decimal(18,2)")
     pay = b.select(
         _agent(F.col("ai")).alias("agent"), (F.col("k") * 10).alias("txn_id"),
-        F.timestamp_seconds(F.unix_date(day).cast("bigint") * 86400 + F.col("k") % 86400).cast("timestamp_ntz").alias("ts"),
+        _at(day, F.col("k") % 86400).alias("ts"),
         amount.alias("amount"))
     receipts = b.filter(~_is(39)).select(
         _agent(F.col("ai")).alias("agent"), (F.col("k") * 10).alias("line_no"),
