@@ -32,16 +32,10 @@ def main() -> None:
     started = time.perf_counter()
     run = run_of(spark, SF_DIR)
     deriving = time.perf_counter() - started
-    # The parts of one reconciliation, each from the tables the part before left behind.
     parts = {
-        "prepare": lambda: (run.latest, run.ledger_prepared, run.journal_prepared),
-        "resolve_names": lambda: (run.statements, run.journal_owned),
-        "windows": lambda: (run.missing, run.ledger_inside),
-        "components": lambda: (run.ledger, run.journal),
-        "classify": lambda: run.groups,
-        "match_payments": lambda: run.payment_match,
-        "payment_exceptions": lambda: run.payments,
-        "bridge": lambda: run.bridge,
+        # From the three raw tables to the bridge of every agent.
+        "reconcile": lambda: run.compute(),
+        # What is read off the tables it leaves behind.
         "monthly_identity": lambda: run.monthly.write.format("noop").mode("overwrite").save(),
         "actions": lambda: run.actions.write.format("noop").mode("overwrite").save(),
         "checks": lambda: run.checks.write.format("noop").mode("overwrite").save(),

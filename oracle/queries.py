@@ -172,7 +172,10 @@ union all select 'journal', party, agent, shared_tickets, round(confidence, 9) f
 """)
 add("q31_journal_agents", "select row_no, party, agent from jo")
 add("q32_components", "select node, root from roots")
-add("group_numbers", "select gid, 'G' || lpad(cast(row_number() over (order by gid) - 1 as varchar), 5, '0') as group_id from verdicts")
+add("group_numbers", """
+with r as (select gid, cast(row_number() over (order by gid) - 1 as varchar) as i from verdicts)
+select gid, 'G' || lpad(i, cast(greatest(5, length(i)) as integer), '0') as group_id from r
+""")
 add("q33_statement_aggregate", f"""
 select gid, {d('statement_sum')}, statement_rows, {day('statement_first', 'statement_last')}, statement_docs from g0 where statement_rows > 0
 """)

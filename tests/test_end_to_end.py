@@ -164,3 +164,18 @@ def test_result_does_not_depend_on_partitioning(spark, tmp_path, partitions):
         assert views.numbered_groups(r.groups).count() == 4
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_command_line(spark, tmp_path):
+    from triledger.__main__ import main
+
+    paths = {k: write(tmp_path / f"{k}.csv", COLUMNS[k], rows) for k, rows in base_case().items()}
+    main([x for k, v in paths.items() for x in (f"--{k}", v)] + ["--output", str(tmp_path / "out"), "--rounds", "0"])
+    rows = spark.read.option("header", True).csv(str(tmp_path / "out" / "agent_actions")).collect()
+    assert [(r.agent, r.ledger_adjust, r.status) for r in rows] == [(AGENT, "900.00", "ACTION_REQUIRED")]
+
+
+def test_everything_at_once_equals_one_by_one(spark, tmp_path):
+    r = run(spark, tmp_path, base_case()).compute()
+    assert sorted(g.rule for g in r.groups.collect()) == [10, 11, 14, 20]
+    assert r.features.filter("label = 'BOT'").count() == 2

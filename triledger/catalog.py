@@ -16,7 +16,7 @@ from triledger.operators import evaluate, features, ledger, matching, model, ris
 from triledger.operators import payments as payment_ops
 from triledger.operators.bands import band_partners
 from triledger.operators.bridge import status_counts
-from triledger.operators.durable import durable, shared_folder
+from triledger.operators.durable import durable, shared_folder, side_by_side
 from triledger.operators.groups import repeated_debits
 from triledger.operators.ordered import ordered_scan
 from triledger.plans import views
@@ -69,7 +69,7 @@ def run_of(spark: SparkSession, folder: str) -> Result:
 def stored_sources(spark: SparkSession, folder: str) -> Sources:
     """The derived ledgers as tables, the way a real run would find its input."""
     raw = derived.derive(spark, folder)
-    return Sources(durable(raw.statements), durable(raw.ledger), durable(raw.journal))
+    return Sources(*side_by_side(spark, *[lambda t=t: durable(t) for t in (raw.statements, raw.ledger, raw.journal)]))
 
 
 def model_of(spark: SparkSession, folder: str) -> ModelResult:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,14 @@ def durable(df: DataFrame, checksum: Column | None = None) -> DataFrame:
     return table
 
 
+def side_by_side(spark: SparkSession, *steps) -> list:
+    """Run independent steps at the same time, so that one step's last tasks do not idle the cluster."""
+    shared_folder(spark)
+    with ThreadPoolExecutor(len(steps)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]
+        return [step.result() for step in running]
+
+
 def known_rows(*tables: DataFrame) -> int | None:
     """The total row count of tables made by `durable`."""
     counts = [getattr(t, "_known_rows", None) for t in tables]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from triledger.config import Config
 from triledger.functions.text import norm_text
-from triledger.operators.durable import durable, known_rows
+from triledger.operators.durable import durable, known_rows, side_by_side
 from triledger.operators.skew import salted_join
 
 
@@ -69,8 +69,10 @@ def folder_agents(latest: DataFrame, ledger: DataFrame, seen: DataFrame, owners:
 
 
 def resolve(latest: DataFrame, ledger: DataFrame, journal: DataFrame, config: Config) -> Votes:
-    owners = durable(ticket_owners(ledger))
-    seen = durable(occurrences(latest, "folder", "line_no"))
+    owners, seen = side_by_side(
+        ledger.sparkSession,
+        lambda: durable(ticket_owners(ledger)),
+        lambda: durable(occurrences(latest, "folder", "line_no")))
     folders = durable(folder_agents(latest, ledger, seen, owners, config.hot_rows))
 
     # Tickets the ledger does not know belong to the folder that names them first.

@@ -14,7 +14,7 @@ from triledger.operators import payments as payment_ops
 from triledger.operators import prepare, risk, voting
 from triledger.operators.checks import integrity_checks
 from triledger.operators.components import connected_components, ticket_edges, with_group
-from triledger.operators.durable import durable, known_rows
+from triledger.operators.durable import durable, known_rows, side_by_side
 from triledger.operators.features import build_features
 from triledger.operators.groups import build_groups, group_tickets
 from triledger.plans.classify import classify_groups
@@ -32,6 +32,15 @@ class Result:
     sources: Sources
     config: Config = DEFAULT
 
+    def compute(self) -> Result:
+        """Write the shared tables now, independent ones at the same time."""
+        for step in (
+            ("latest", "ledger_prepared", "journal_prepared"), ("votes",), ("statements", "journal_owned"), ("windows",),
+            ("missing", "ledger_inside"), ("groups", "payments", "acts"), ("bridge",),
+        ):
+            side_by_side(self.sources.ledger.sparkSession, *[lambda name=name: getattr(self, name) for name in step])
+        return self
+
     # -- prepared sources -------------------------------------------------------------------
     @cached_property
     def statement_versions(self) -> DataFrame:
