@@ -84,8 +84,10 @@ def source_totals(statements: DataFrame, ledger: DataFrame, journal: DataFrame,
     )
 
 
-def build_groups(statements: DataFrame, ledger: DataFrame, journal: DataFrame, config: Config) -> DataFrame:
-    tickets = group_tickets(statements, ledger, journal)
+def build_groups(
+    statements: DataFrame, ledger: DataFrame, journal: DataFrame, tickets: DataFrame, config: Config
+) -> DataFrame:
+    """One row per group; `tickets` is the table made by `group_tickets`."""
     counted = tickets.groupBy("gid").agg(F.min("agent").alias("agent"), F.count("*").alias("ticket_count"))
     shown = first_values(tickets, "gid", "ticket", ["ticket"], config.tickets_spelled, "tickets", "|")
     facts = statement_facts(statements)

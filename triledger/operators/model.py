@@ -50,6 +50,11 @@ def fit_encoder(rows: DataFrame) -> PipelineModel:
     return Pipeline(stages=[*indexers, assembler]).fit(rows)
 
 
+def _class_count(indexer) -> int:
+    """The classes are few and fixed; their models train side by side."""
+    return max(1, len(indexer.labels))
+
+
 def _bins(encoder: PipelineModel) -> int:
     return max(32, *[len(s.labels) + 1 for s in encoder.stages if hasattr(s, "labels")])
 
@@ -66,7 +71,7 @@ def train_fold(rows: DataFrame, train_months: list[str], test_month: str, settin
     encoded = to_class.transform(encoder.transform(train))
     by_class = OneVsRest(
         classifier=GBTClassifier(labelCol="class", **trees), labelCol="class", weightCol="weight",
-        predictionCol="class_guess").fit(encoded)
+        predictionCol="class_guess", parallelism=_class_count(to_class)).fit(encoded)
     error_model = GBTClassifier(labelCol="is_err", **trees).fit(encoded)
 
     guessed = by_class.transform(encoder.transform(test))

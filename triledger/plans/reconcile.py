@@ -100,11 +100,11 @@ class Result:
     @cached_property
     def components(self) -> DataFrame:
         edges = ticket_edges(self.statements, self.ledger_inside, self.journal_owned)
-        return connected_components(edges, hot_rows=self.config.hot_rows)
+        return durable(connected_components(edges, hot_rows=self.config.hot_rows))
 
     @cached_property
     def statements_grouped(self) -> DataFrame:
-        return with_group(self.statements, self.components, self.config.hot_rows)
+        return durable(with_group(self.statements, self.components, self.config.hot_rows))
 
     @cached_property
     def ledger(self) -> DataFrame:
@@ -116,11 +116,11 @@ class Result:
 
     @cached_property
     def group_tickets(self) -> DataFrame:
-        return group_tickets(self.statements_grouped, self.ledger, self.journal)
+        return durable(group_tickets(self.statements_grouped, self.ledger, self.journal))
 
     @cached_property
     def group_totals(self) -> DataFrame:
-        return build_groups(self.statements_grouped, self.ledger, self.journal, self.config)
+        return build_groups(self.statements_grouped, self.ledger, self.journal, self.group_tickets, self.config)
 
     @cached_property
     def groups(self) -> DataFrame:
