@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triledger.llm import bpe, chat, mixing, toxicity
 from triledger.llm.exact_dedup import exact_groups
+from triledger.llm.quality import judged
+from triledger.llm.url_filter import host_and_path, judge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -19,7 +22,8 @@ def query(run):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    # Read in plain calls: vectored reads keep a buffer outside the heap for each thread, as large as a column of a row group.
+    return spark.read.option("parquet.hadoop.vectored.io.enabled", "false").parquet(f"{folder}/{name}.parquet")
 
 
 @query
@@ -32,3 +36,109 @@ select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
        doc_id = max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
 from documents window w as (partition by coalesce(text, ''))
 """
+
+
+@query
+def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ids = bpe.encode(table(spark, folder, "documents"))
+    return bpe.decode(ids).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+@query
+def op7_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_conversations(turns.unionByName(extra)))
+
+
+# Rules of the query: verdict, host, path.
+RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+@query
+def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """The list holds the hosts whose md5 begins with 0, about a sixteenth of all; it stands for a published list."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    host, _ = host_and_path("url")
+    listed = pages.select(host.alias("key")).distinct().filter("key <> '' and md5(cast(key as binary)) like '0%'")
+    return judge(pages, RULES, listed)
+
+
+ORACLE["op9_url_filter"] = """
+with rest as (
+    select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+parts as (
+    select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+           regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from rest),
+named as (
+    select *, case
+        when (host = 'example.net' or suffix(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/'
+        when (host = 'example.com' or suffix(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
+        when (host = 'org' or suffix(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/'
+        when (host = 'net' or suffix(host, '.net')) and starts_with(path, '/') then 'net/' end as rule from parts)
+select page_id, host, path, rule, case
+    when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
+    when host <> '' and starts_with(md5(host), '0') then 'block' else 'allow' end as verdict
+from named
+"""
+
+
+# Topics of the query, by marks in the text.
+TOPICS = [("licences", ["icense", "icence"]), ("contacts", ["@"]), ("symbols", ["##", "**", "%%", "||"])]
+POWER = 0.9
+
+
+def topic():
+    return mixing.marked_topic("text", TOPICS, "prose")
+
+
+@query
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), topic(), power=POWER)
+
+
+def _rounds(n: int) -> tuple[str, str]:
+    """The raking of the cells in SQL, margin by margin."""
+    steps, last = [], "cells"
+    for i in range(n):
+        for margin in mixing.MARGINS:
+            steps.append(f"""m{i}{margin} as materialized (
+                select c.source, c.lang, c.topic, c.tokens, c.w * t.share / sum(c.w) over (partition by c.{margin}) as w
+                from {last} c join target_{margin} t on c.{margin} is not distinct from t.{margin})""")
+            last = f"m{i}{margin}"
+    return ", ".join(steps), last
+
+
+_STEPS, _LAST = _rounds(30)
+ORACLE["op2_mixing"] = f"""
+with rows as (
+    select doc_id, source, lang, case
+        when contains(text, 'icense') or contains(text, 'icence') then 'licences' when contains(text, '@') then 'contacts'
+        when contains(text, '##') or contains(text, '**') or contains(text, '%%') or contains(text, '||') then 'symbols'
+        else 'prose' end as topic,
+        cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) as n_tokens
+    from documents),
+cells as (select source, lang, topic, sum(n_tokens)::double as tokens, sum(n_tokens)::double as w from rows group by all),
+{', '.join(f'''target_{m} as (select {m}, pow(sum(tokens), {POWER}) / sum(pow(sum(tokens), {POWER})) over () as share
+    from cells group by {m})''' for m in mixing.MARGINS)},
+{_STEPS},
+rates as (select source, lang, topic, (w / tokens) / max(w / tokens) over () as p from {_LAST})
+select doc_id, r.source, r.lang, r.topic, n_tokens, round(p, 6) as probability,
+       cast(('0x' || substr(md5('mix' || doc_id), 1, 13)) as bigint) / 4503599627370496.0 < p as sampled
+from rows r join rates c on r.source is not distinct from c.source and r.lang is not distinct from c.lang and r.topic = c.topic
+"""
+
+
+@query
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return judged(table(spark, folder, "documents"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.scored(docs, toxicity.learn(docs, table(spark, folder, "labels")))

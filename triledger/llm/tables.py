@@ -19,7 +19,7 @@ def saved(df: DataFrame, **observed: Column) -> DataFrame:
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in observed.items()]).write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).option("parquet.hadoop.vectored.io.enabled", "false").parquet(path)
     table._folder, table.facts = path, seen.get
     return table
 
