@@ -25,10 +25,10 @@ WINDOW = 8
 SHARE = 0.75
 # Deviations below these are never unusual; they also keep the covariance invertible where most documents have no symbols or
 # repeats at all.  In the units of `FEATURES`.
-FLOORS = (0.15, 0.35, 0.35, 0.35)
+FLOORS = (0.15, 0.35, 0.5, 0.8)
 # Distance beyond which a document is rejected: the 1 - 1e-6 quantile of chi-square with four degrees of freedom.
 CUTOFF = 33.4
-STEPS, SETTLED = 25, 1e-7
+STEPS, SETTLED = 25, 1e-6
 BINS_PER_OCTAVE, LOWEST, HIGHEST = 4, -40, 120
 P = 4
 GROUP = ["_lang", "_source"]
@@ -178,10 +178,15 @@ def mcd(rows: DataFrame, *, share: float = SHARE) -> DataFrame:
     """Per group the mean m_i, inverse factor r_ij and log_det of the minimum covariance determinant estimate."""
     state = saved(_factored(_starts(rows)), total=F.sum("log_det"))
     for _ in range(STEPS):
-        last, state = state, saved(_factored(_concentrated(rows, state, share)), total=F.sum("log_det"))
-        total, was = state.facts["total"] or 0.0, last.facts["total"] or 0.0
-        release(last)
-        if abs(was - total) <= SETTLED * max(1.0, abs(total)):
+        step = saved(_factored(_concentrated(rows, state, share)), total=F.sum("log_det"))
+        gain = (state.facts["total"] or 0.0) - (step.facts["total"] or 0.0)
+        # Determinants fall until the closest documents stay the same; distance bins let them rise a little at the end.
+        if gain <= 0:
+            release(step)
+            break
+        release(state)
+        state = step
+        if gain <= SETTLED * abs(state.facts["total"]):
             break
     best = Window.partitionBy(*GROUP).orderBy("log_det", "start")
     return state.withColumn("_best", F.row_number().over(best)).filter("_best = 1").drop("_best", "start")

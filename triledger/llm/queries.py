@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triledger.llm import bpe, chat, mixing, toxicity
+from triledger.llm import bpe, chat, licences, mixing, ngram_join, token_edits, toxicity
 from triledger.llm.exact_dedup import exact_groups
 from triledger.llm.quality import judged
+from triledger.llm.tables import plain_reads
 from triledger.llm.url_filter import host_and_path, judge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,8 +23,8 @@ def query(run):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    # Read in plain calls: vectored reads keep a buffer outside the heap for each thread, as large as a column of a row group.
-    return spark.read.option("parquet.hadoop.vectored.io.enabled", "false").parquet(f"{folder}/{name}.parquet")
+    plain_reads(spark)
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 @query
@@ -142,3 +143,78 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return toxicity.scored(docs, toxicity.learn(docs, table(spark, folder, "labels")))
+
+
+@query
+def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.components(table(spark, folder, "documents"))
+
+
+@query
+def op5_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The notices of every document, with the best coverage and the names in order."""
+    found = licences.scanned(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", F.size("notices").cast("long").alias("n_notices"),
+        F.coalesce(F.array_max(F.transform("notices", lambda x: x["coverage"])), F.lit(0.0)).alias("coverage"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("notices", lambda x: x["name"]))), ",").alias("names"),
+        F.to_json("notices").alias("notices"))
+
+
+def _edits():
+    """Three edits of each document, by hashes of its id: up to eleven characters out, up to eleven of its own in."""
+    size = F.char_length("_text")
+
+    def number(salt, j, n):
+        return F.pmod(F.xxhash64(F.lit(salt), j, "doc_id"), n).cast("int")
+
+    return F.transform(F.sequence(F.lit(1), F.lit(3)), lambda j: F.struct(
+        number(1, j, size + 1).cast("long").alias("at"), number(2, j, F.lit(12)).cast("long").alias("removed"),
+        F.substring("_text", number(3, j, size + 1) + 1, number(4, j, F.lit(12))).alias("added")))
+
+
+@query
+def op6_token_edits(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts of every document before and after three edits."""
+    trees = token_edits.grow(table(spark, folder, "documents"))
+    after = token_edits.edited(trees, _edits())
+    return after.select(
+        "doc_id", F.col("n_before").alias("n_tokens"), F.col("n_after").alias("n_tokens_after"),
+        F.char_length("_text").cast("long").alias("n_chars_after"), F.col("n_encoded").alias("n_chars_encoded"))
+
+
+ORACLE["op4_ngram_join"] = r"""
+with recursive words as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (
+    select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s
+    from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) as i from words where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+common as (
+    select a.doc_id as a, b.doc_id as b, count(*) as n
+    from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+links as (
+    select c.a, c.b from common c join sizes x on c.a = x.doc_id join sizes y on c.b = y.doc_id
+    where 100 * c.n >= 80 * (x.n + y.n - c.n)),
+reached as (
+    select doc_id, doc_id as r from documents
+    union select reached.doc_id, links.b from reached join links on reached.r = links.a)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, min(r) as component_id
+from documents d join reached using (doc_id) left join sizes s using (doc_id) group by d.doc_id, s.n
+"""
+
+
+ORACLE["op7_chat_format"] = r"""
+with turns as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+escaped as (
+    select *, length(replace(replace(replace(replace(replace(role || text, '\', '\\'), '</s>', '<\/s>'), '<s>', '<\s>'),
+        '[INST]', '[\INST]'), '[/INST]', '[\/INST]')) + length('<s>[INST][/INST]</s>') as chars from turns)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+    coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
+    sum(chars)::bigint as formatted_chars
+from escaped group by conv_id
+"""

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from triledger.operators.durable import shared_folder
 
 
+def plain_reads(spark: SparkSession) -> None:
+    """Read Parquet in plain calls from now on: vectored reads keep a buffer outside the heap for each thread, as large as a
+    column of a row group, beyond what executors of a few gigabytes can spare."""
+    spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
+
+
 def saved(df: DataFrame, **observed: Column) -> DataFrame:
     """The same rows, read back from a Parquet table in the checkpoint folder.
 
@@ -19,7 +25,8 @@ def saved(df: DataFrame, **observed: Column) -> DataFrame:
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in observed.items()]).write.parquet(path)
-    table = spark.read.schema(df.schema).option("parquet.hadoop.vectored.io.enabled", "false").parquet(path)
+    plain_reads(spark)
+    table = spark.read.schema(df.schema).parquet(path)
     table._folder, table.facts = path, seen.get
     return table
 
