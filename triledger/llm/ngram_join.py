@@ -4,10 +4,10 @@ Sets are grouped into bands of sizes; a set also enters the next band if a partn
 shingles is cut into `n1` partitions of `n2` parts; the signatures of a set are the contents of the subsets of n2 - k2 parts of
 each partition.  Sets with a similarity of at least `percent` differ in at most k = (a + b)(100 - percent) / (100 + percent)
 shingles, and a shingle is in few subsets; so all but that many signatures agree, and if each set keeps its first
-k * subsets + 1 signatures in one common order, two such sets share one.  Signatures of frequent shingles only come last in that
+k * subsets + t signatures in one common order, two such sets share t (or, where a set has fewer than that, as many fewer).  Signatures of frequent shingles only come last in that
 order; which shingles are frequent is a matter of a sample, and changes the work but never the result.
 
-Sets that share a signature are candidates.  Their shingles are compared first with one member of each signature group; what
+Sets that share t signatures are candidates.  Their shingles are compared first with one member of each signature group; what
 is connected then needs no further comparison, and in the end all candidates that are still apart have been compared: the
 components are exact.  Shingles are 64-bit hashes.
 """
@@ -28,6 +28,8 @@ from triledger.operators.components import connected_components
 WORDS, PERCENT = 5, 80
 # Partitions per shingle of the largest set of a band, and at least; parts of a partition, and how many a subset leaves out.
 SHARE, LEAST, N2, K2 = 0.35, 32, 1, 0
+# t per shingle of the largest set of a band; at least one.
+COMMON = 0.04
 # Documents in the sample for frequent shingles, in how many of them a shingle must be, and how many shingles are taken.
 SAMPLE, FREQUENT, FREQUENT_MOST = 4_000, 4, 100_000
 SIGNATURES_PER_TASK = 2_000_000
@@ -89,8 +91,11 @@ def _keys(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def signatures(hashes: np.ndarray, sizes: np.ndarray, frequent: np.ndarray, *, percent: int = PERCENT, n2: int = N2, k2: int = K2,
-               share: float = SHARE, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of the sets, one set after the other, and how many each has."""
+               share: float = SHARE, least: int = LEAST, common: float = COMMON) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of the sets, one set after the other; how many each has; how many it shares with any partner at least.
+
+    Two partners share at least the smaller one's number.
+    """
     subsets = list(combinations(range(n2), n2 - k2))
     hit = comb(n2 - 1, n2 - k2 - 1)  # subsets that a shingle is in
     band = np.zeros(len(sizes), dtype=np.int64)
@@ -101,6 +106,7 @@ def signatures(hashes: np.ndarray, sizes: np.ndarray, frequent: np.ndarray, *, p
         place = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
         rare = frequent[place] != hashes
     out, owner = [], []
+    needs = np.full(len(sizes), np.iinfo(np.int64).max)
     for step in (0, 1):
         upper = (np.int64(2) << (band + step)) - 1
         chosen = (sizes > 0) & ((largest > upper // 2) | (step == 0))
@@ -135,7 +141,10 @@ def signatures(hashes: np.ndarray, sizes: np.ndarray, frequent: np.ndarray, *, p
         sig, own = sig[order], own[order]
         counts = np.bincount(own, minlength=len(sizes))
         rank = np.arange(len(own)) - (np.cumsum(counts) - counts)[own]
-        kept = rank < (differ * hit + 1)[own]
+        # One number for the band: then one partner that surely has so many in common with others is enough.
+        asked = np.maximum(np.floor(common * upper).astype(np.int64), 1)
+        needs = np.where(chosen, np.minimum(needs, np.clip(counts - differ * hit, 1, asked)), needs)
+        kept = rank < (differ * hit + asked)[own]
         out.append(sig[kept])
         owner.append(own[kept])
         # Sets so small or so uneven that all their signatures may differ also meet each other.
@@ -143,9 +152,9 @@ def signatures(hashes: np.ndarray, sizes: np.ndarray, frequent: np.ndarray, *, p
         out.append(_mix((band + step)[poor].astype(np.uint64) + _B))
         owner.append(poor)
     if not out:
-        return np.empty(0, np.uint64), np.zeros(len(sizes), np.int64)
+        return np.empty(0, np.uint64), np.zeros(len(sizes), np.int64), needs
     sig, own = np.concatenate(out), np.concatenate(owner)
-    return sig[np.argsort(own, kind="stable")], np.bincount(own, minlength=len(sizes)).astype(np.int64)
+    return sig[np.argsort(own, kind="stable")], np.bincount(own, minlength=len(sizes)).astype(np.int64), needs
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,17 +171,17 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 
 def _set_table(rows: DataFrame, frequent: np.ndarray | None, options: dict) -> DataFrame:
-    """doc_id, n, hi, lo and the signatures of each row's set; without `frequent` its shingles instead."""
+    """doc_id, n, hi, lo, need and the signatures of each row's set; without `frequent` its shingles instead."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches):
             hashes, sizes = shingle_sets(batch.column("_text").to_pylist())
             hi, lo = _keys(hashes, sizes)
-            values, counts = (hashes, sizes) if frequent is None else signatures(hashes, sizes, frequent, **options)
+            values, counts, needs = (hashes, sizes, sizes) if frequent is None else signatures(hashes, sizes, frequent, **options)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes), pa.array(hi), pa.array(lo), _lists(values, counts)],
-                names=["doc_id", "n", "hi", "lo", "items"])
+                [batch.column("doc_id"), pa.array(sizes), pa.array(hi), pa.array(lo), pa.array(needs), _lists(values, counts)],
+                names=["doc_id", "n", "hi", "lo", "need", "items"])
 
-    return rows.select("doc_id", "_text").mapInArrow(run, "doc_id long, n long, hi long, lo long, items array<long>")
+    return rows.select("doc_id", "_text").mapInArrow(run, "doc_id long, n long, hi long, lo long, need long, items array<long>")
 
 
 def _frequent(rows: DataFrame) -> np.ndarray:
@@ -231,7 +240,7 @@ def _near(percent: int) -> Column:
 
 
 class _Candidates:
-    """Sets by signature (sig, rep, n), and the pairs that have been compared."""
+    """Sets by signature (sig, rep, n, need), and the pairs that have been compared."""
 
     def __init__(self, groups: DataFrame, rows: DataFrame, percent: int):
         self.groups, self.percent = groups, percent
@@ -264,10 +273,13 @@ class _Candidates:
         weight = self.groups.groupBy("rep").agg(F.count("*").alias("w"))
         weighted = self.groups.join(weight, "rep")
         pivots = weighted.groupBy("sig").agg(F.max(F.struct("w", F.col("rep").alias("pivot"), F.col("n").alias("m"))).alias("p")).select("sig", "p.*")
-        return self.groups.join(pivots, "sig").filter(_near(self.percent)).select(*_ordered("rep", "pivot"))
+        met = self.groups.join(pivots, "sig").filter(_near(self.percent) & (F.col("rep") != F.col("pivot")))
+        # A partner shares more than a few groups, the same one central member in many of them.
+        often = met.groupBy(*_ordered("rep", "pivot")).agg(F.count("*").alias("times"), F.min("need").alias("need"))
+        return often.filter("4 * times >= need").select("a", "b")
 
     def apart(self) -> DataFrame:
-        """Members of groups whose members are not all connected: sig, rep, n, c (component), core (the largest there)."""
+        """Members of groups whose members are not all connected: sig, rep, n, need, c (component), core (the largest there)."""
         placed = self.groups.join(self.components().withColumnsRenamed({"node": "rep", "root": "c"}), "rep", "left")
         placed = placed.withColumn("c", F.coalesce("c", "rep"))
         counts = placed.groupBy("sig", "c").agg(F.count("*").alias("members"))
@@ -284,29 +296,45 @@ class _Candidates:
             _near(self.percent)).select(*_ordered("rep", "pivot"))
 
     def remaining(self, apart: DataFrame) -> DataFrame:
-        """Every two members that are apart, at least one of them outside the core."""
-        outer = apart.filter("c <> core").select("sig", "rep", "n", "c", "core")
-        inner = apart.select("sig", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("c").alias("d"))
+        """Every two members that are apart, at least one of them outside the core, and share enough signatures."""
+        outer = apart.filter("c <> core").select("sig", "rep", "n", "need", "c", "core")
+        inner = apart.select("sig", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("need").alias("needs"), F.col("c").alias("d"))
         both = (F.col("c") != F.col("d")) & ((F.col("d") == F.col("core")) | (F.col("rep") < F.col("other"))) & _near(self.percent)
-        return outer.join(inner, "sig").filter(both).select(*_ordered("rep", "other"))
+        met = outer.join(inner, "sig").filter(both)
+        often = met.groupBy(*_ordered("rep", "other")).agg(F.count("*").alias("times"), F.min(F.least("need", "needs")).alias("need"))
+        return often.filter("times >= need").select("a", "b")
+
+
+def _sharing(groups: DataFrame) -> DataFrame:
+    """Without the sets that share fewer signatures than partners do, and without groups of one."""
+    for _ in range(2):
+        enough = groups.groupBy("rep").agg(F.count("*").alias("times"), F.min("need").alias("need")).filter("times >= need").select("rep")
+        groups = groups.join(enough, "rep", "left_semi")
+        several = groups.groupBy("sig").count().filter("count > 1").select("sig")
+        groups = saved(groups.join(several, "sig", "left_semi"))
+    return groups
 
 
 def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, percent: int = PERCENT, n2: int = N2, k2: int = K2,
-               share: float = SHARE, least: int = LEAST, turns: int = 8) -> DataFrame:
+               share: float = SHARE, least: int = LEAST, common: float = COMMON, turns: int = 8) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
     Rows with equal ids are one document.  Null and empty texts have no shingles, link with nothing and are components of their
     own; a row without an id is a component without an id unless an equal set has one.  Other columns are not read.
     """
-    options = {"percent": percent, "n2": n2, "k2": k2, "share": share, "least": least}
+    options = {"percent": percent, "n2": n2, "k2": k2, "share": share, "least": least, "common": common}
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"))
     table = saved(_set_table(rows, _frequent(rows), options), signatures=F.sum(F.size("items")))
     key = ["n", "hi", "lo"]
-    reps = saved(table.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep")))
+    reps = saved(table.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min("need").alias("need")))
     spread = partitions(docs.sparkSession, table.facts["signatures"] or 0, SIGNATURES_PER_TASK)
     members = table.select(F.explode("items").alias("sig"), "lo").repartition(spread, "sig").sortWithinPartitions("sig", "lo")
     shared = saved(_shared(members))
-    groups = saved(shared.join(reps.filter("rep is not null"), "lo").select("sig", "rep", "n").distinct())
+    # The signatures are not needed any more.
+    narrow = saved(table.select("doc_id", *key))
+    release(table)
+    groups = _sharing(saved(shared.join(reps.filter("rep is not null"), "lo").select("sig", "rep", "n", "need").distinct()))
+    release(shared)
     found = _Candidates(groups, rows, percent)
     found.compare(found.central())
     apart = found.apart()
@@ -320,7 +348,7 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, p
         apart = found.apart()
     found.compare(found.remaining(apart))
     roots = found.components().withColumnsRenamed({"node": "rep", "root": "component_id"})
-    whole = table.select("doc_id", *key).join(reps, key, "left").join(roots, "rep", "left")
+    whole = narrow.join(reps, key, "left").join(roots, "rep", "left")
     return whole.select("doc_id", F.col("n").alias("n_shingles"),
                         F.coalesce("component_id", "rep", "doc_id").alias("component_id"))
 

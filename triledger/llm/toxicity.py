@@ -16,12 +16,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from triledger.llm.tables import partitions, saved
+
 # Labelled rows that a model is fitted on; the smallest hashes of the ids are taken.
 LABELLED = 12_000
 SHORTEST, LONGEST, TERMS = 4, 12, 2_000
 # A term of fewer letters must be spelled right.
 MISSPELLED_FROM = 5
 MISSPELLED, QUOTED = 0.6, 0.25
+# In so many clean documents of the sample a misspelling means that the term has common neighbours.
+CLOSE = 3
 WINDOW, NEAR = 25, 8
 THRESHOLD = 0.3
 QUOTES = "\"“”„«»‹›「」"
@@ -31,7 +35,9 @@ _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 class Lexicon:
     """Terms as a trie; `find` tells how a word begins with one of them, up to one edit behind the first letter."""
 
-    def __init__(self, terms: list[str], remembered: int = 500_000):
+    def __init__(self, terms: list[str], spelled: frozenset[str] = frozenset(), remembered: int = 500_000):
+        """`spelled` are terms that must be spelled right, like those of fewer than MISSPELLED_FROM letters."""
+        self.terms: dict[int, str] = {}
         self.children: list[dict[str, int]] = [{}]
         self.allowed: list[int] = [-1]  # edits allowed at the end of a term
         for term in terms:
@@ -42,7 +48,8 @@ class Lexicon:
                     self.children.append({})
                     self.allowed.append(-1)
                 node = self.children[node][c]
-            self.allowed[node] = 1 if len(term) >= MISSPELLED_FROM else 0
+            self.allowed[node] = 1 if len(term) >= MISSPELLED_FROM and term not in spelled else 0
+            self.terms[node] = term
         # States of the automaton run over the trie: trie nodes with the edits used so far.
         self.states: dict[frozenset, int] = {}
         self.members: list[frozenset] = []
@@ -90,6 +97,15 @@ class Lexicon:
                     break
         return best
 
+    def near(self, word: str) -> set[str]:
+        """Terms that the word begins with, misspelled."""
+        state, out = self.begin, set()
+        for c in word:
+            to = self.moves[state].get(c)
+            state = self._move(state, c) if to is None else to
+            out |= {self.terms[node] for node, e in self.members[state] if node in self.terms and e == 1 and self.allowed[node] == 1}
+        return out
+
     def find(self, token: str) -> int:
         """As `edits`, for a token of a text; the last ones seen are remembered."""
         best = self.words.get(token)
@@ -126,9 +142,9 @@ def evidence(text: str | None, lexicon: Lexicon) -> tuple[float, float, float]:
     return float(np.log1p(sums[-1])), float(np.log1p(densest)), float(np.log1p(1000 * sums[-1] / len(tokens)))
 
 
-def evidence_of(text: str, terms: list[str]) -> Column:
+def evidence_of(text: str, terms: list[str], spelled: frozenset[str]) -> Column:
     def run(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        lexicon = Lexicon(terms)
+        lexicon = Lexicon(terms, spelled)
         for series in columns:
             yield pd.DataFrame([evidence(t, lexicon) for t in series], columns=["total", "densest", "share"])
 
@@ -138,11 +154,15 @@ def evidence_of(text: str, terms: list[str]) -> Column:
 @dataclass(frozen=True)
 class Model:
     terms: list[str]
+    spelled: frozenset[str]
     weights: list[float]
 
+    def lexicon(self) -> Lexicon:
+        return Lexicon(self.terms, self.spelled)
+
     def score(self, text: str) -> Column:
         """The probability of label 1 for a text column; a null or empty text has no finds."""
-        found = evidence_of(text, self.terms)
+        found = evidence_of(text, self.terms, self.spelled)
         return F.get(F.transform(F.array(found), self._probability), F.lit(0))
 
     def _probability(self, e: Column) -> Column:
@@ -160,6 +180,9 @@ def _terms(sample: DataFrame) -> list[str]:
     words = F.array_distinct(F.filter(F.split(F.lower("_text"), r"[^\p{L}]+"), lambda w: F.char_length(w) >= SHORTEST))
     starts = F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(
         F.sequence(F.lit(SHORTEST), F.least(F.char_length(w), F.lit(LONGEST))), lambda n: F.left(w, n)))))
+    # Copies and near copies of one document, told by the smallest hash of three words in a row, are one witness.
+    sample = sample.withColumn("_sketch", F.get(F.transform(F.array(F.split("_text", r"\s+")), lambda a: F.array_min(F.transform(
+        a, lambda w, i: F.xxhash64(w, F.get(a, i + 1), F.get(a, i + 2))))), F.lit(0))).dropDuplicates(["_sketch", "_toxic"])
     totals = sample.agg(F.sum("_toxic").alias("bad"), F.count("*").alias("all")).first()
     bad, share = totals["bad"] or 0, (totals["bad"] or 0) / max(1, totals["all"])
     if not 0 < bad < totals["all"]:
@@ -179,6 +202,26 @@ def _terms(sample: DataFrame) -> list[str]:
     return sorted(out)
 
 
+def _spelled(sample: DataFrame, terms: list[str]) -> frozenset[str]:
+    """Terms that other words of clean documents are too close to."""
+    def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        lexicon, seen = Lexicon(terms), {}
+        for series in columns:
+            out = []
+            for text in series:
+                found = set()
+                for token in set((text or "").lower().split()):
+                    if token not in seen:
+                        seen[token] = lexicon.near(_EDGE.sub("", token)) if lexicon.find(token) == 1 else ()
+                    found.update(seen[token])
+                out.append(sorted(found))
+            yield pd.Series(out)
+
+    close = sample.filter("_toxic = 0").select(F.explode(F.pandas_udf(run, "array<string>")("_text")).alias("term"))
+    # At most as many rows as there are terms.
+    return frozenset(r["term"] for r in close.groupBy("term").count().filter(F.col("count") >= CLOSE).collect())
+
+
 def _fitted(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> list[float]:
     """Logistic regression by Newton's method, with a small penalty on the slopes."""
     x = np.hstack([np.ones((len(x), 1)), x])
@@ -203,17 +246,20 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
         .groupBy("_id").agg(F.max("_toxic").alias("_toxic")).filter(~held_out("_id"))
         .orderBy(F.xxhash64("_id"), "_id").limit(labelled))
     # At most `labelled` ids.
-    sample = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(known), "_id")
+    sample = saved(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(known), "_id"))
+    sample = sample.repartition(partitions(docs.sparkSession, 0, 1))
     terms = _terms(sample)
-    rows = sample.select("_toxic", evidence_of("_text", terms).alias("e")).select("_toxic", "e.*").collect()
+    spelled = _spelled(sample, terms) if terms else frozenset()
+    # At most `labelled` rows of four numbers, but for repeated ids.
+    rows = sample.select("_toxic", evidence_of("_text", terms, spelled).alias("e")).select("_toxic", "e.*").collect()
     if not rows:
-        return Model(terms, [0.0, 0.0, 0.0, 0.0])
+        return Model(terms, spelled, [0.0, 0.0, 0.0, 0.0])
     data = np.array(rows, dtype=float)
     y = data[:, 0]
     if not terms:
         share = min(max(y.mean(), 1e-3), 1 - 1e-3)
-        return Model(terms, [log(share / (1 - share)), 0.0, 0.0, 0.0])
-    return Model(terms, _fitted(data[:, 1:], y))
+        return Model(terms, spelled, [log(share / (1 - share)), 0.0, 0.0, 0.0])
+    return Model(terms, spelled, _fitted(data[:, 1:], y))
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
