@@ -2,7 +2,8 @@
 
 A long text is cut into chunks that overlap.  Chunks are split into pre-tokens in parallel, each from its own first character.
 The pattern never looks back, so from any boundary that a chunk shares with its left neighbour on, both see the same
-boundaries: the text is cut at the first shared boundary of every overlap, and the pieces are encoded in parallel.  Decoding
+boundaries: the text is cut at the first shared boundary of every overlap (not behind white space, where the pattern looks
+ahead), and the pieces are encoded in parallel.  Decoding
 concatenates the bytes of the ids.
 """
 
@@ -92,7 +93,8 @@ def _seams(chunks: DataFrame, chunk: int, overlap: int) -> DataFrame:
             for start, piece in zip(batch.column("_start").to_pylist(), batch.column("_piece").to_pylist(), strict=True):
                 seen = boundaries(piece)
                 heads.append([start + b for b in seen if b < overlap])
-                tails.append([start + b for b in seen if b >= chunk])
+                # Behind white space a piece would end otherwise than the text goes on: the pattern looks ahead there.
+                tails.append([start + b for b in seen if b >= chunk and not piece[b - 1].isspace()])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_row"), batch.column("_chunk"), pa.array(heads, kind), pa.array(tails, kind)],
                 names=["_row", "_chunk", "_head", "_tail"])
