@@ -42,10 +42,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids and whether decoding them gives the text's bytes again."""
     plain_reads(spark)
-    rows = bpe.decode(bpe.encode(docs.withColumn("_llm_sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)),
-                                 keep=("doc_id", "lang", "source", "_llm_sha")))
+    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    rows = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text", sha.alias("sha")), keep=("doc_id", "lang", "source", "sha")))
     return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
-                       (F.sha2("bytes", 256) == F.col("_llm_sha")).alias("restored"))
+                       (F.sha2("bytes", 256) == F.col("sha")).alias("restored"))
 
 
 STAGES = [("toxicity", toxic), ("exact_dedup", exact), ("ngram_join", near), ("mixing", mixed), ("byte_bpe", encoded)]

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from triledger.llm.tables import saved
+from triledger.llm.tables import packed, saved
 
 BLOCK_BYTES = 4096
 ROW = ["doc_id", "sha"]
@@ -107,11 +107,9 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *,
 
 def without_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents that stay, with all their columns."""
-    kept = exact_groups(docs, text, doc_id).filter("kept").select(
-        F.col("doc_id").alias("_llm_id"), F.col("text_sha256").alias("_llm_sha"))
-    own = docs.withColumn("_llm_sha", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
-    same = [own[doc_id].eqNullSafe(kept["_llm_id"]), own["_llm_sha"] == kept["_llm_sha"]]
-    both = own.join(kept, same).select(own["*"])
+    kept = exact_groups(docs, text, doc_id).filter("kept").select(F.col("doc_id").alias("keep"), F.col("text_sha256").alias("keep_sha"))
+    own = docs.select(F.col(doc_id).alias("id"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("sha"), packed(docs))
+    both = own.join(kept, F.col("id").eqNullSafe(F.col("keep")) & (F.col("sha") == F.col("keep_sha")))
     # A repeated row is there several times; one of them stays.
-    one = Window.partitionBy(doc_id, "_llm_sha").orderBy(F.lit(0))
-    return both.withColumn("_llm_copy", F.row_number().over(one)).filter("_llm_copy = 1").drop("_llm_copy", "_llm_sha")
+    one = Window.partitionBy("id", "sha").orderBy(F.lit(0))
+    return both.withColumn("copy", F.row_number().over(one)).filter("copy = 1").select("_doc.*")

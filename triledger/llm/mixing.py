@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triledger.llm.tables import release, saved
+from triledger.llm.tables import packed, release, saved
 
 MARGINS = ("source", "lang", "topic")
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,9 +33,10 @@ def marked_topic(text: str, marks: list[tuple[str, list[str]]], other: str) -> C
     return topic
 
 
-def _key(margin: str) -> Column:
+def _key(margin: Column | str) -> Column:
     """A text that is never null; a null value is a value of its own."""
-    return F.coalesce(F.concat(F.lit("="), F.col(margin).cast("string")), F.lit("null"))
+    value = F.col(margin) if isinstance(margin, str) else margin
+    return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit("null"))
 
 
 def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
@@ -97,9 +98,8 @@ def chance(doc_id: str, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(2.0 ** 52)
 
 
-def keyed(docs: DataFrame, topic: Column) -> DataFrame:
-    return docs.withColumn("_topic", topic).withColumns(
-        {"_source": _key("source"), "_lang": _key("lang"), "_topic": _key("_topic")})
+def _keys(topic: Column | str) -> list[Column]:
+    return [_key("source").alias("_source"), _key("lang").alias("_lang"), _key(topic).alias("_topic")]
 
 
 def mix(docs: DataFrame, topic: Column, *, power: float | None = None, targets: dict[str, DataFrame] | None = None,
@@ -111,7 +111,7 @@ def mix(docs: DataFrame, topic: Column, *, power: float | None = None, targets:
     columns are not read.  `targets` has (_source | _lang | _topic, share) by margin, with values written as `=value`.
     """
     rows = docs.select("doc_id", "source", "lang", topic.alias("topic"), word_count("text").alias("n_tokens"))
-    rows = saved(keyed(rows, F.col("topic")))
+    rows = saved(rows.select("*", *_keys("topic")))
     whole = with_probability(rows, rows.withColumnRenamed("n_tokens", "_tokens"), power=power, targets=targets)
     return whole.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("_probability", 6).alias("probability"),
                         (chance("doc_id", seed) < F.col("_probability")).alias("sampled"))
@@ -120,7 +120,7 @@ def mix(docs: DataFrame, topic: Column, *, power: float | None = None, targets:
 def sampled(docs: DataFrame, topic: Column, *, power: float | None = None, targets: dict[str, DataFrame] | None = None,
             seed: str = "mix") -> DataFrame:
     """The sampled documents with all their columns."""
-    own = keyed(docs, topic)
-    cells_of = own.select("_source", "_lang", "_topic", word_count("text").alias("_tokens"))
+    own = docs.select("doc_id", *_keys(topic), packed(docs))
+    cells_of = docs.select(*_keys(topic), word_count("text").alias("_tokens"))
     whole = with_probability(own, cells_of, power=power, targets=targets)
-    return whole.filter(chance("doc_id", seed) < F.col("_probability")).select(*docs.columns)
+    return whole.filter(chance("doc_id", seed) < F.col("_probability")).select("_doc.*")

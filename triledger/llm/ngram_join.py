@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triledger.llm.tables import bitmap, may_contain, partitions, release, saved
+from triledger.llm.tables import bitmap, may_contain, packed, partitions, release, saved
 from triledger.operators.components import connected_components
 
 WORDS, PERCENT = 5, 80
@@ -355,5 +355,6 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, p
 
 def without_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The document with the smallest id of each component, with all its columns."""
-    others = components(docs, text, doc_id).filter("component_id <> doc_id").select(F.col("doc_id").alias("_llm_id")).distinct()
-    return docs.join(others, docs[doc_id] == F.col("_llm_id"), "left_anti")
+    others = components(docs, text, doc_id).filter("component_id <> doc_id").select(F.col("doc_id").alias("dropped")).distinct()
+    own = docs.select(F.col(doc_id).cast("long").alias("id"), packed(docs))
+    return own.join(others, F.col("id") == F.col("dropped"), "left_anti").select("_doc.*")

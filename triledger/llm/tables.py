@@ -11,9 +11,19 @@ from triledger.operators.durable import shared_folder
 
 
 def plain_reads(spark: SparkSession) -> None:
-    """Read Parquet in plain calls from now on: vectored reads keep a buffer outside the heap for each thread, as large as a
-    column of a row group, beyond what executors of a few gigabytes can spare."""
+    """Settings of the session that keep memory outside the heap small, from now on.
+
+    Parquet is read in plain calls: vectored reads keep a buffer for each thread, as large as a column of a row group.  Python
+    workers get batches of a bounded size.
+    """
     spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+def packed(docs: DataFrame) -> Column:
+    """All columns of the documents as one, so that no name of theirs can clash; `select("_doc.*")` unpacks them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
 
 
 def saved(df: DataFrame, **observed: Column) -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triledger.llm.tables import partitions, saved
+from triledger.llm.tables import packed, partitions, saved
 
 # Labelled rows that a model is fitted on; the smallest hashes of the ids are taken.
 LABELLED = 12_000
@@ -270,4 +270,4 @@ def scored(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc
 
 def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows that are not predicted toxic, with all their columns."""
-    return docs.withColumn("_llm_score", model.score(text)).filter(F.col("_llm_score") < threshold).drop("_llm_score")
+    return docs.select(model.score(text).alias("score"), packed(docs)).filter(F.col("score") < threshold).select("_doc.*")
