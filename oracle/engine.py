@@ -105,7 +105,7 @@ with n as (select *, {number("regexp_extract(part, '[-+]?[0-9][0-9 .,]*[0-9]|[-+
                   when contains(part, 'RUB') or contains(part, 'РУБ') then rate_rub
                   when contains(part, 'KZT') or contains(part, 'ТГ') or contains(part, 'ТЕНГЕ') then rate_kzt else 1.0 end as rate
            from parts)
-select row_no, sum(cast(v as decimal(28,4)) * cast(rate as decimal(9,6))) as amount from n group by row_no
+select row_no, cast(sum(try_cast(v as decimal(24,8)) * try_cast(rate as decimal(12,6))) as decimal(30,8)) as amount from n group by row_no
 """
 C["jou"] = rf"""
 select j.*, row_number() over (partition by date_text, employee, kind, party, ticket_text, pax, pnr, airline, route, pay_cell,
@@ -306,7 +306,8 @@ select p.agent as scope, p.txn_id as proposer, r.line_no as seat, epoch_us(p.ts)
 from pay p join rec r on r.agent = p.agent and abs(r.amount - p.amount) <= 1 and abs(datediff('day', p.day, r.doc_date)) <= 7
 """)
 C["pay_open"] = """
-with h as (select *, date_diff('microsecond', lag(ts) over (partition by agent, amount order by ts, txn_id), ts) / 3.6e9 as hours from pay)
+with h as (select *, case when agent is not null and amount is not null then
+       date_diff('microsecond', lag(ts) over (partition by agent, amount order by ts, txn_id), ts) / 3.6e9 end as hours from pay)
 select h.*, case when hours <= 72 then 'REPEATED_CREDIT' when f.month is not null then 'PAYMENT_IN_MISSING_MONTH' else 'PAYMENT_NOT_IN_STATEMENT' end as status
 from h left join flagged f on f.agent = h.agent and f.month = cast(date_trunc('month', ts) as date)
 where txn_id not in (select proposer from near_pairs)

@@ -2,6 +2,8 @@
 
 from oracle.engine import COMPONENTS, GROUP_STATUSES, digit_pattern, money, number, tickets, with_ctes
 
+from triledger.vocabulary import SOURCE_LABELS, SOURCE_OWNERS, STATUS_LABELS
+
 ORACLE: dict[str, str] = {}
 
 
@@ -62,6 +64,16 @@ select row_no, cast({number("token")} as double) as value from (select row_no, r
 """)
 add("q06_parse_amount", f"select row_no, {d('amount')} from jou")
 add("q07_amount_issues", "select row_no, pay_cell, is_foreign, amount_issue, cast(round(amount, 4) as double) as amount from jou")
+add("q06_document_amounts", f"""
+with marked as (select doc_id, regexp_replace(regexp_replace(regexp_replace(replace(upper(replace(text, 'ß', 'SS')), chr(160), ' '), '\\(.*?\\)', ' ', 'g'),
+                    '\\s\\+\\s', chr(1), 'g'), '\\+(\\s*[A-ZА-Я$€0-9])', chr(1) || '\\1', 'g') as t from documents),
+     parts as (select doc_id, unnest(string_split(t, chr(1))) as part from marked),
+     n as (select doc_id, {number("regexp_extract(part, '[-+]?[0-9][0-9 .,]*[0-9]|[-+]?[0-9]')")} as v,
+             case when contains(part, 'KGS') or contains(part, 'СОМ') then 1 when contains(part, 'USD') or contains(part, '$') then 2
+                  when contains(part, 'EUR') or contains(part, '€') then 3 when contains(part, 'RUB') or contains(part, 'РУБ') then 4
+                  when contains(part, 'KZT') or contains(part, 'ТГ') or contains(part, 'ТЕНГЕ') then 5 else 1 end as rate from parts)
+select doc_id, cast(sum(try_cast(v as decimal(24,8)) * rate) as double) as amount from n group by doc_id
+""")
 add("q08_digit_pattern", f"select gid, {d('statement_sum', 'ledger_sum')}, {digit_pattern('statement_sum', 'ledger_sum')} as pattern from g0")
 add("q09_document_kind", "select line_kind, count(*) as rows, cast(sum(mv) as double) as mv from st_rows group by line_kind")
 add("q10_journal_agrees", """
@@ -77,19 +89,19 @@ add("date_parts", """
 select txn_id, cast(hour(ts) as bigint) as hour, cast(isodow(ts) - 1 as bigint) as weekday, cast(day(ts) as bigint) as dom,
        cast(day(ts) >= 28 as bigint) as month_end, month from led
 """)
-add("tolerant_casts", """
-select doc_id, cast(try_cast(split_part(text, ' ', 1) as decimal(18,2)) as double) as number,
-       strftime(try_strptime(split_part(text, ' ', 1), '%d.%m.%Y'), '%Y-%m-%d') as day, try_cast(source as bigint) as whole from documents
+add("tolerant_casts", r"""
+with w as (select doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as word from documents)
+select doc_id, count(*) as words, count(try_cast(word as bigint)) as wholes, count(try_cast(word as decimal(18,2))) as numbers,
+       coalesce(sum(try_cast(word as decimal(18,2))), 0)::double as total, count(try_strptime(word, '%Y-%m-%d')) as days
+from w where regexp_full_match(word, '[-+]?[0-9][0-9.:-]*|[^0-9]*') group by doc_id
 """)
 add("money_text", f"select txn_id, {money('amount', True)} as signed, round(ln(1 + abs(cast(amount as double))), 6) as log_amount from led")
-add("labels_lookup", """
-select status, case status when 'AMOUNT_RESIDUAL' then 'Amounts differ' when 'NOT_IN_STATEMENT' then 'Debited, not invoiced'
-         when 'STATEMENT_ONLY_JOURNAL_SALE' then 'Sale not carried to the ledger' when 'STATEMENT_ONLY' then 'Only in the statement'
-         when 'DOUBLE_DEBIT' then 'Ticket debited twice' when 'LEDGER_IN_MISSING_MONTH' then 'Operation in a month without statement'
-         when 'VOID_UNBALANCED' then 'Void not fully returned' when 'JOURNAL_ONLY_SALE' then 'Sale only in the journal'
-         when 'JOURNAL_AMOUNT_DIFF' then 'Wrong amount in the journal' else status end as status_label,
-       case error_source when 'STATEMENT' then 'Accounting' when 'BOT' then 'Bot' when 'AGENT' then 'Agent' when 'REVIEW' then 'Clarify'
-         when 'EXPORT' then 'Export' else error_source end as source_label, count(*) as groups
+def spelled(column: str, names: dict[str, str]) -> str:
+    return f"case {column} " + " ".join(f"when '{k}' then '{v}'" for k, v in names.items()) + f" else {column} end"
+
+
+add("labels_lookup", f"""
+select status, {spelled('status', STATUS_LABELS)} as status_label, {spelled('error_source', SOURCE_LABELS)} as source_label, count(*) as groups
 from verdicts group by status, error_source
 """)
 add("q12_latest_statements", f"select folder, {day('period_start')}, version, line_no, {d('mv')} from st_latest")
@@ -139,7 +151,7 @@ _engine.CTES["feats"] = """
 with a as (select agent, count(distinct agreement_id) as agreements from led_g group by agent)
 select l.*, coalesce(f.employee, 'none') as employee, a.agreements, h.prior_error_rate, h.prior_rows,
        case when len(tickets) > 0 then row_number() over (partition by l.agent, ticket_text order by ts, l.txn_id) - 1 else 0 end as prior_same_ticket,
-       case when kind = 'payment' then coalesce(date_diff('microsecond', lag(ts) over (partition by kind = 'payment', l.agent, amount order by ts, l.txn_id), ts)
+       case when kind = 'payment' and l.agent is not null and amount is not null then coalesce(date_diff('microsecond', lag(ts) over (partition by kind = 'payment', l.agent, amount order by ts, l.txn_id), ts)
             / 3.6e9, 9999.0) else 9999.0 end as hours_since_same
 from lab l left join first_emp f using (txn_id) left join a on a.agent = l.agent left join history h on h.agent = l.agent and h.month = l.month
 """
@@ -188,7 +200,7 @@ add("q36_journal_aggregate", """
 select gid, cast(round(journal_sum, 4) as double) as journal_sum, journal_rows, journal_unread, journal_foreign, journal_kinds, employees,
        journal_issue, journal_copies from g0 where journal_rows + journal_copies > 0
 """)
-add("q37_group_tickets", "select gid, min(agent) as agent, count(*) as ticket_count, min(ticket) as first_ticket from g_tickets group by gid")
+add("q37_group_tickets", "select gid, agent, ticket from g_tickets")
 add("q38_residuals", f"select gid, agent, tickets, ticket_count, {d('residual')} from g0")
 add("q39_statement_table", f"select agent, {day('period_start', 'period_end')}, {d('opening', 'closing', 'mv')}, rows, version from acts")
 add("q40_value_counts", """
@@ -269,7 +281,13 @@ add("q46_totals", totals(("gap_close", "opening_gap", "unexplained"), "bridge"))
 add("q47_dense_matching", "select proposer, seat from dense_pairs")
 add("q47_payment_matches", "select proposer as txn_id, seat as matched_line from near_pairs")
 add("q48_hours_since_same", """
-select txn_id, round(date_diff('microsecond', lag(ts) over (partition by agent, amount order by ts, txn_id), ts) / 3.6e9, 6) as hours_since_same from pay
+select txn_id, case when agent is not null and amount is not null then
+       round(date_diff('microsecond', lag(ts) over (partition by agent, amount order by ts, txn_id), ts) / 3.6e9, 6) end as hours_since_same from pay
+""")
+add("q48_null_amounts", """
+with p as (select agent, txn_id, ts, case when txn_id % 7 = 0 then null else amount end as amount from pay)
+select txn_id, case when amount is not null then
+       round(date_diff('microsecond', lag(ts) over (partition by agent, amount order by ts, txn_id), ts) / 3.6e9, 6) end as hours_since_same from p
 """)
 add("q49_unmatched_payments", f"select agent, txn_id, {d('amount')}, status from pay_open")
 add("q50_wrong_agent", f"select agent, found_in, reference, {d('amount', 'gap_effect')} from exceptions where status = 'PAYMENT_WRONG_AGENT'")
@@ -290,6 +308,12 @@ add("q55_best_version", f"select folder, {day('period_start')}, cast(max(version
 add("q56_prior_same_ticket", "select txn_id, prior_same_ticket from feats")
 add("q57_hours_since_payment", "select txn_id, round(hours_since_same, 6) as hours_since_same from feats")
 add("q58_error_history", "select agent, month, round(prior_error_rate, 9) as prior_error_rate, prior_rows from history")
+add("ordered_scan_null_keys", """
+with e as (select event_id, case when event_id % 5 = 0 then null else user_id % 3 end as key, ts, value from events)
+select event_id, key, row_number() over w as n, cast(sum(cast(value as decimal(18,2))) over w as double) as running,
+       date_diff('microsecond', lag(ts) over w, ts) as gap_micros
+from e window w as (partition by key order by ts, event_id)
+""")
 add("chain_on_events", """
 select event_id, user_id, row_number() over w as n, cast(sum(cast(value as decimal(18,2))) over w as double) as running,
        date_diff('microsecond', lag(ts) over (partition by user_id order by ts, event_id), ts) as gap_micros
@@ -360,7 +384,14 @@ select count(*) filter (where top) as k, round(avg(bad) filter (where top), 9) a
        round(avg(bad) filter (where top) / avg(bad), 9) as lift_at_top, round(sum(bad) filter (where top) / sum(bad), 9) as recall_at_top from t
 """)
 add("q77_baseline", f"select round({ap('length')}, 9) as baseline, round(avg(bad), 9) as random from judged")
-add("q78_shuffled_column", "select count(*) as rows, sum(score) as score, cast(sum(bad) as bigint) as bad from judged")
+add("q78_shuffled_column", """
+with a as (select doc_id, bad, row_number() over (order by doc_id) as place from judged),
+     b as (select score, row_number() over (order by md5('7|' || doc_id), doc_id) as place from judged)
+select doc_id, score, cast(bad as bigint) as bad from a join b using (place)
+""")
+add("q70_category_codes", " union all ".join(
+    f"select '{c}' as \"column\", {c} as value, row_number() over (order by {c}) - 1 as code from (select distinct {c} from feats where {c} is not null)"
+    for c in ("kind", "creator", "currency", "employee")))
 WILSON = """
 round((k / n + 1.96 * 1.96 / (2 * n)) / (1 + 1.96 * 1.96 / n) - 1.96 * sqrt(k / n * (1 - k / n) / n + 1.96 * 1.96 / (4 * n * n)) / (1 + 1.96 * 1.96 / n), 9)
 """
@@ -383,6 +414,12 @@ with t as (select sum(k) as tk, sum(n) as tn from emp)
 select round(sum(power(k - n * tk / tn, 2) / (n * tk / tn) + power(n - k - n * (1 - tk / tn), 2) / (n * (1 - tk / tn))), 9) as statistic, count(*) - 1 as dof
 from emp, t
 """)
+add("q81_significance", """
+with t as (select sum(k) as tk, sum(n) as tn from emp),
+     x as (select sum(power(k - n * tk / tn, 2) / (n * tk / tn) + power(n - k - n * (1 - tk / tn), 2) / (n * (1 - tk / tn))) / 2 as half, count(*) - 1 as dof from emp, t),
+     p as (select exp(-half) * list_sum(list_transform(range(0, dof // 2), lambda i: power(half, i) / gamma(i + 1))) as p from x where dof % 2 = 0)
+select employee, round(p, 9) as chi2_p_value, p < 0.05 as significant from emp, p
+""")
 add("q82_agent_balances", """
 with c as (select agent, arg_max(closing, (period_start, period_end)) as sc from acts group by agent)
 select agent, cast(sc as double) as statement_closing, cast(gap_close - sc as double) as ledger_closing, cast(gap_close as double) as gap,
@@ -391,15 +428,7 @@ select agent, cast(sc as double) as statement_closing, cast(gap_close - sc as do
        case when abs(priority) < 1 then 'Settled' else 'Needs attention' end as verdict, recommended_action as recommendation
 from actions join c using (agent)
 """)
-STATUS_LABEL = """case status when 'AMOUNT_RESIDUAL' then 'Amounts differ' when 'NOT_IN_STATEMENT' then 'Debited, not invoiced'
- when 'STATEMENT_ONLY_JOURNAL_SALE' then 'Sale not carried to the ledger' when 'STATEMENT_ONLY' then 'Only in the statement'
- when 'DOUBLE_DEBIT' then 'Ticket debited twice' when 'LEDGER_IN_MISSING_MONTH' then 'Operation in a month without statement'
- when 'VOID_UNBALANCED' then 'Void not fully returned' when 'JOURNAL_ONLY_SALE' then 'Sale only in the journal'
- when 'JOURNAL_AMOUNT_DIFF' then 'Wrong amount in the journal' when 'PAYMENT_NOT_IN_LEDGER' then 'Receipt without ledger payment'
- when 'REPEATED_CREDIT' then 'Payment credited again' when 'PAYMENT_NOT_IN_STATEMENT' then 'Payment without receipt'
- when 'PAYMENT_WRONG_AGENT' then 'Payment credited to another agent' when 'PAYMENT_IN_MISSING_MONTH' then 'Payment in a month without statement' else status end"""
-SOURCE_LABEL = """case error_source when 'STATEMENT' then 'Accounting' when 'BOT' then 'Bot' when 'AGENT' then 'Agent' when 'REVIEW' then 'Clarify'
- when 'EXPORT' then 'Export' else error_source end"""
+STATUS_LABEL, SOURCE_LABEL, OWNER = spelled("status", STATUS_LABELS), spelled("error_source", SOURCE_LABELS), spelled("error_source", SOURCE_OWNERS)
 add("q83_discrepancies", f"""
 with g as (select *, coalesce(cast(statement_first as timestamp), ledger_first) as seen from verdicts
            where status not in ('OK', 'VOID_CLOSED', 'DIRECT_CLIENT', 'TICKET_IN_AMOUNT', 'JOURNAL_DUPLICATE'))
@@ -412,8 +441,7 @@ select agent, strftime(ts, '%Y-%m-%d'), strftime(ts, '%Y-%m'), '-', cast(abs(amo
 add("q83_group_sheet", f"""
 select gid, agent, tickets, {STATUS_LABEL} as error_type, {SOURCE_LABEL} as source, confidence, {d('statement_sum', 'ledger_sum')},
        cast(cast(journal_sum as decimal(18,2)) as double) as journal_sum, {d('residual')}, {ts('ledger_first')}, {day('statement_first')}, amount_pattern,
-       case error_source when 'STATEMENT' then 'Accountant' when 'BOT' then 'Ledger support' when 'AGENT' then 'Journal keeper'
-            when 'REVIEW' then 'Accountant and agent manager' when 'EXPORT' then 'Whoever exports the statements' else 'Nobody' end as who_checks,
+       {OWNER} as who_checks,
        employees, ledger_txns from verdicts where status not in ('OK', 'VOID_CLOSED', 'DIRECT_CLIENT')
 """)
 add("q83_payment_sheet", f"""
@@ -445,6 +473,10 @@ union all select 'anomalies', (select cast(count(*) as double) from verdicts whe
    + (select count(*) from exceptions where status in ('REPEATED_CREDIT', 'PAYMENT_WRONG_AGENT')) + (select count(*) from acts where continuity_break)
 union all select 'roc_auc', null
 """)
+add("q86_kpi_quality", """
+with p as (select is_err, txn_id % 97 / 97.0 as s from lab), r as (select *, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2.0 as place from p)
+select 'roc_auc' as name, round((sum(place) filter (is_err = 1) - sum(is_err) * (sum(is_err) + 1) / 2.0) / (sum(is_err) * (count(*) - sum(is_err))), 9) as value from r
+""")
 add("q87_bridge_sheet", totals(("gap_close", *COMPONENTS, "components_sum", "unexplained"), "bridge"))
 _PROBLEMS = " + ".join(c for c in _COUNTS if c not in ("n_OK", "n_VOID_CLOSED", "n_DIRECT_CLIENT"))
 _SHEET = ("opening_gap", "gap_close", "ledger_adjust", "statement_adjust", "to_clarify", "rounding", "unexplained")
@@ -469,3 +501,7 @@ union all select * from (select 'ticket debited twice', agent, cast(extra_amount
 union all select * from (select 'payment credited again', agent, cast(amount as double), reference from exceptions where status = 'REPEATED_CREDIT'
   order by abs(amount) desc, reference desc limit 1)
 """)
+
+for _forced, _usual in {"forced_components": "q32_components", "forced_votes": "q28_all_ticket_owners", "forced_groups": "q16_group_totals",
+                        "forced_payments": "q51_payment_exceptions", "forced_bridge": "q62_agent_bridge"}.items():
+    ORACLE[_forced] = ORACLE[_usual]

@@ -5,7 +5,10 @@ from decimal import Decimal
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from triledger import Config, reconcile
+from triledger.operators.features import NUMERIC
 from triledger.plans import views
 from triledger.sources.files import JOURNAL_FILE, LEDGER_FILE, STATEMENT_FILE, load_sources
 from triledger.sources.sinks import report_tables, result_tables, write_tables
@@ -179,3 +182,46 @@ def test_everything_at_once_equals_one_by_one(spark, tmp_path):
     r = run(spark, tmp_path, base_case()).compute()
     assert sorted(g.rule for g in r.groups.collect()) == [10, 11, 14, 20]
     assert r.features.filter("label = 'BOT'").count() == 2
+
+
+def test_exported_ids_dates_and_columns(spark, tmp_path):
+    """Ids with .0 behind them, days before months, and a journal column nobody knows."""
+    case = base_case()
+    for row in case["ledger"]:
+        row["txn_id"] = f"{row['txn_id']}.0"
+        row["date"] = f"{row['date'][8:10]}.{row['date'][5:7]}.{row['date'][:4]} {row['date'][11:16]}"
+    for row in case["statements"]:
+        row["date"] = f"{row['date'][8:10]}/{row['date'][5:7]}/{row['date'][:4]}"
+    case["journal"].append(dict(case["journal"][0]))
+    for i, row in enumerate(case["journal"]):
+        row["remark"] = f"written on line {i}"
+    paths = {k: write(tmp_path / f"{k}.csv", [*COLUMNS[k], *(["remark"] if k == "journal" else [])], rows) for k, rows in case.items()}
+    sources = load_sources(spark, paths)
+    assert [r["txn_id"] for r in sources.ledger.orderBy("txn_id").collect()] == list(range(500, 506))
+    assert sources.ledger.filter("ts is null").count() == 0 and sources.statements.filter("doc_date is null").count() == 0
+    assert [r["row_no"] for r in sources.journal.orderBy("row_no").collect()] == [1, 2, 3, 4, 5]
+    r = reconcile(sources, Config(words=RUSSIAN))
+    assert r.journal_prepared.filter("is_copy").count() == 0
+
+
+def test_a_model_fills_the_reports(spark, tmp_path):
+    from triledger.operators.model import Settings
+    from triledger.plans.learn import learn
+
+    rows = spark.range(400).select(
+        (F.col("id") + 1).alias("txn_id"), F.concat(F.lit("a"), F.col("id") % 5).alias("agent"),
+        F.concat(F.lit("2026-0"), F.col("id") % 4 + 1).alias("month"), F.lit(10).cast("decimal(18,2)").alias("amount"),
+        F.when(F.col("id") % 7 == 0, "BOT").otherwise("OK").alias("label"), (F.col("id") % 7 == 0).cast("int").alias("is_err"),
+        F.when(F.col("id") % 7 == 0, "k1").otherwise("k2").alias("kind"), F.lit("c").alias("creator"), F.lit(None).cast("string").alias("currency"),
+        F.lit("e").alias("employee"), *[F.lit(1.0).alias(c) for c in NUMERIC])
+    trained = learn(rows, Settings(rounds=5, leaf_rows=1))
+    assert [(f.number, f.train_months[-1], f.test_month, f.n_train) for f in trained.folds] == [(1, "2026-03", "2026-04", 300), (2, "2026-02", "2026-03", 200)]
+    scored = trained.folds[0].scored
+    assert scored.filter("(predicted = 'OK') <> (is_err = 0) or p_error < 0 or p_error > 1").count() == 0
+    drops = {r["feature"]: r["pr_auc_drop"] for r in trained.importance.collect()}
+    assert drops["kind"] > 0.3 and drops["employee"] == 0
+    r = run(spark, tmp_path, base_case())
+    write_tables(report_tables(r, trained), str(tmp_path / "report"), "json")
+    quality = {x["name"]: x.asDict().get("value") for x in spark.read.json(str(tmp_path / "report" / "kpi")).collect()}
+    assert quality["roc_auc"] == 1.0
+    assert spark.read.json(str(tmp_path / "report" / "risk")).count() == 5

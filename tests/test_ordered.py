@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from triledger.operators.ordered import gap_islands, ordered_scan, totals_before
-from triledger.operators.skew import salted_join
+from triledger.operators.skew import hot_keys, salted_join
 
 
 def hot_rows(seed, n):
@@ -70,3 +70,20 @@ def test_salted_join_equals_join(spark, how):
     assert sorted(map(tuple, salted.collect()), key=repr) == plain
     bounded = salted_join(rows, lookup, ["k"], hot_rows=20, at_most=10, how=how).select("k", "id", "x")
     assert sorted(map(tuple, bounded.collect()), key=repr) == plain
+
+
+@pytest.mark.parametrize("chunks", [1, 4, 64])
+def test_rows_without_a_key_are_one_key(spark, chunks):
+    rows = spark.range(40).select("id", F.when(F.col("id") % 4 == 1, 1).alias("key"))
+    got = ordered_scan(rows, ["key"], ["id"], totals={"running": F.lit(1)}, previous={"before": F.col("id")}, number="n", chunks=chunks)
+    last = {r["key"]: r for r in got.orderBy("id").collect()}
+    assert (last[None]["n"], last[None]["running"], last[None]["before"]) == (30, 30, 38)
+    assert (last[1]["n"], last[1]["before"]) == (10, 33)
+
+
+def test_salts_follow_the_size_of_a_key(spark):
+    rows = spark.range(1000).select("id", F.when(F.col("id") % 10 < 6, "hot").when(F.col("id") % 10 < 9, F.col("id").cast("string")).alias("key"))
+    lookup = rows.select("key").distinct().filter("key is not null").withColumn("seen", F.lit(True))
+    got = salted_join(rows, lookup, ["key"], hot_rows=7)
+    assert got.count() == 1000 and got.filter("key is not null and not coalesce(seen, false)").count() == 0
+    assert hot_keys(rows.filter("key is not null"), ["key"], 7).first()["_salts"] == 86

@@ -55,17 +55,3 @@ def test_all_rules_occur_and_the_bridge_is_exact(spark):
     assert r.bridge.filter("unexplained <> 0").count() == 0
     # Every ledger row with a ticket is in exactly one group.
     assert r.groups.agg({"ledger_rows": "sum"}).first()[0] == r.ledger.filter("gid is not null").count()
-
-
-@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
-def test_skew_paths_give_the_same_result(spark):
-    """Every key counts as hot and every island as oversized: the result must not change."""
-    from triledger import Config, reconcile
-    from triledger.catalog import run_of
-
-    usual = run_of(spark, FOLDER)
-    forced = reconcile(usual.sources, Config(hot_rows=20, island_rows=1))
-    rows = lambda df: sorted(map(repr, df.collect()))
-    assert rows(forced.groups) == rows(usual.groups)
-    assert rows(forced.payments) == rows(usual.payments)
-    assert rows(forced.bridge) == rows(usual.bridge)

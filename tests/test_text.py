@@ -75,3 +75,13 @@ def test_document_kind(spark):
     docs = ["Реализация сервисный сбор 1", "Реализация NB", "Возврат 2", "Поступление на р/с", "Приход", "Прочее", None]
     assert values(spark, docs, lambda c: text.document_kind(c, RUSSIAN)) == [
         "service_fee", "sale", "refund", "receipt", "receipt", "other", "other"]
+
+
+@pytest.mark.parametrize("cell", ["2459531798 2459531800", "9" * 14, "9" * 15, "9" * 20, "9" * 30, "9" * 60, "1" * 30 + " + 5", ("9" * 16 + " + ") * 20 + "1"])
+def test_no_cell_ends_a_run(spark, cell):
+    row = spark.createDataFrame([(cell, 1.0)], "cell string, r double").withColumn("rate", F.lit("999999").cast("decimal(18,6)"))
+    rates = {name: F.col("rate") for name in ("rate_usd", "rate_eur", "rate_rub", "rate_kzt")}
+    amount = row.select(text.parse_amount(F.col("cell"), rates).alias("a"), text.parse_amount(F.concat(F.col("cell"), F.lit(" USD")), rates)).first()["a"]
+    digits = cell.replace(" ", "")
+    if digits.isdigit():
+        assert amount == (int(digits) if len(digits) <= 16 else None) or len(digits) > 16 and amount is None

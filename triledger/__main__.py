@@ -24,19 +24,18 @@ def main(argv: list[str] | None = None) -> None:
         parser.add_argument(f"--{kind}", required=True)
     parser.add_argument("--words", choices=("russian", "english"), default="russian")
     parser.add_argument("--format", choices=("parquet", "csv"), default="csv")
-    parser.add_argument("--rounds", type=int, default=Settings().rounds, help="boosting rounds; 0 skips the model")
+    parser.add_argument("--rounds", type=int, default=Settings().rounds, help="trees of the model; 0 skips it")
     args = parser.parse_args(argv)
 
     spark = SparkSession.builder.appName("triledger").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     sources = load_sources(spark, {k: getattr(args, k) for k in ("statements", "ledger", "journal")})
     result = reconcile(sources, Config(words=RUSSIAN if args.words == "russian" else ENGLISH))
     write_tables(result_tables(result), args.output, args.format)
-    scored = None
+    trained = None
     if args.rounds:
         trained = learn(result.features, Settings(rounds=args.rounds))
         write_tables(model_tables(trained), args.output, args.format)
-        scored = trained.folds[0].scored
-    write_tables(report_tables(result, scored), f"{args.output}/report", "json")
+    write_tables(report_tables(result, trained), f"{args.output}/report", "json")
 
 
 if __name__ == "__main__":

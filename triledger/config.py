@@ -22,9 +22,6 @@ class Config:
     jump_tolerance: str = "0.01"
     docs_shown: int = 3
     txns_shown: int = 6
-    # Ticket lists longer than this are not spelled out in one text cell; the whole list of
-    # every group is always in the group_tickets table.
-    tickets_spelled: int = 1000
     # A key with more rows than this is salted in joins.
     hot_rows: int = 1_000_000
     # Larger islands of payments and receipts are matched by the distributed method.

@@ -18,6 +18,8 @@ PART_MARK = "\u0001"
 NBSP = "\u00a0"
 
 AMOUNT = "decimal(30,8)"
+# Factors whose product is exact; longer numbers and rates cannot be read.
+READABLE, RATE = "decimal(24,8)", "decimal(12,6)"
 
 
 def extract_tickets(text: Column) -> Column:
@@ -66,7 +68,7 @@ def parse_number(token: Column) -> Column:
         value = _let(F.ltrim(text, F.lit("+-")), lambda d: _plain_digits(d).try_cast(AMOUNT))
         return value * F.when(F.startswith(text, F.lit("-")), -1).otherwise(1).cast("decimal(1,0)")
 
-    return _let(squeezed, signed).cast(AMOUNT)
+    return _let(squeezed, signed).try_cast(AMOUNT)
 
 
 def _spelled(text: Column, spellings: tuple[str, ...]) -> Column:
@@ -75,10 +77,10 @@ def _spelled(text: Column, spellings: tuple[str, ...]) -> Column:
 
 def _rate_of(part: Column, rates: dict[str, Column]) -> Column:
     """The rate of the first currency spelled in the text; the base currency when none is."""
-    base = F.lit(1).cast("decimal(18,6)")
+    base = F.lit(1).cast(RATE)
     chain = None
     for _, spellings, column in CURRENCIES:
-        rate = base if column is None else rates[column].cast("decimal(18,6)")
+        rate = base if column is None else rates[column].try_cast(RATE)
         chain = F.when(_spelled(part, spellings), rate) if chain is None else chain.when(_spelled(part, spellings), rate)
     return chain.otherwise(base)
 
@@ -93,12 +95,12 @@ def parse_amount(cell: Column, rates: dict[str, Column]) -> Column:
     parts = F.split(F.regexp_replace(text, PART_BREAK, PART_MARK), PART_MARK)
     values = F.transform(
         parts,
-        lambda part: parse_number(F.regexp_extract(part, NUMBER, 0)).cast("decimal(18,4)") * _rate_of(part, rates),
+        lambda part: parse_number(F.regexp_extract(part, NUMBER, 0)).try_cast(READABLE) * _rate_of(part, rates),
     )
 
     def total(known: Column) -> Column:
         return F.when(F.size(known) > 0, F.aggregate(
-            known, F.lit(0).cast(AMOUNT), lambda acc, v: (acc + v).cast(AMOUNT)))
+            known, F.lit(0).cast(AMOUNT), lambda acc, v: F.try_add(acc, v).try_cast(AMOUNT)))
 
     return _let(F.filter(values, lambda v: v.isNotNull()), total)
 

@@ -19,7 +19,7 @@ def band_partners(
     left rows meets only the amounts and days around it, so a crowd of equal amounts costs one row.
     With `same_agent` false the partners are all agents' rows less the agent's own.
     """
-    cell = F.floor(F.col("amount") / tolerance).cast("bigint")
+    cell = F.floor(F.col("amount") / max(tolerance, 1)).cast("bigint")
     bucket = F.floor(F.unix_date("day") / (days + 1)).cast("bigint")
     around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
     scope = ["agent"] if same_agent else []

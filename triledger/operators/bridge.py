@@ -11,7 +11,7 @@ from triledger.config import Config
 from triledger.functions.text import money
 from triledger.operators.ledger import MONEY, balance_points
 from triledger.vocabulary import (
-    CLARIFY_SIDE, COMPONENTS, GROUP_STATUSES, LEDGER_SIDE, PAYMENT_STATUSES, ROUNDING_STATUSES, STATEMENT_SIDE,
+    COMPONENTS, GROUP_STATUSES, PAYMENT_STATUSES, ROUNDING_STATUSES,
 )
 
 # Components that are the summed gap effect of one status.
@@ -89,15 +89,20 @@ def agent_actions(bridge: DataFrame, groups: DataFrame, payments: DataFrame, mis
     """What to move, what to correct and what to clarify, largest first."""
     counts = [f"n_{s}" for s in GROUP_STATUSES + PAYMENT_STATUSES]
     months = missing.groupBy("agent").agg(F.count("*").alias("missing_months"))
+    # Every verdict names the side to mend; what belongs to whole statements is added by hand.
+    sides = groups.select("agent", "fix_side", "gap_effect").unionByName(payments.select("agent", "fix_side", "gap_effect"))
+    sides = sides.groupBy("agent").agg(*[
+        _sum_where("gap_effect", F.col("fix_side") == s).alias(f"_{s}") for s in ("ledger", "statement", "clarify")])
     rows = (
-        bridge.join(status_counts(groups, GROUP_STATUSES), "agent", "left")
+        bridge.join(sides, "agent", "left").fillna(0, ["_ledger", "_statement", "_clarify"])
+        .join(status_counts(groups, GROUP_STATUSES), "agent", "left")
         .join(status_counts(payments, PAYMENT_STATUSES), "agent", "left")
         .join(months, "agent", "left").fillna(0, [*counts, "missing_months"]))
     rows = rows.withColumns({
-        "ledger_adjust": (-_add(LEDGER_SIDE)).cast(MONEY),
-        "statement_adjust": (-_add(STATEMENT_SIDE)).cast(MONEY),
-        "to_clarify": _add(CLARIFY_SIDE).cast(MONEY),
-    })
+        "ledger_adjust": (-F.col("_ledger")).cast(MONEY),
+        "statement_adjust": (-_add(["_statement", "continuity_breaks", "statement_arithmetic"])).cast(MONEY),
+        "to_clarify": _add(["_clarify", "opening_gap", "jumps_over_missing"]).cast(MONEY),
+    }).drop("_ledger", "_statement", "_clarify")
     rows = rows.withColumn("gap_after_fixes", _add(["gap_close", "ledger_adjust", "statement_adjust"]).cast(MONEY))
     rows = rows.withColumns({
         "check_after_fixes": (F.col("gap_after_fixes") - _add(["to_clarify", "rounding", "unexplained"])).cast(MONEY),

@@ -9,9 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from triledger.operators.durable import durable, fingerprint, known_rows
-from triledger.operators.skew import SALTS, salted_join
-
-MAX_ROUNDS = 60
+from triledger.operators.skew import hot_limit, salted_join, salts_for
 
 
 def _with_minimum(pairs: DataFrame, node: str, other: str, hot_rows: int | None) -> DataFrame:
@@ -20,12 +18,12 @@ def _with_minimum(pairs: DataFrame, node: str, other: str, hot_rows: int | None)
         # No node is busy, so a node's pairs fit one window.
         return pairs.withColumn("m", F.min(other).over(Window.partitionBy(node)))
     minima = pairs.groupBy(node).agg(F.min(other).alias("m"), F.count("*").alias("degree"))
-    # At most pairs / hot_rows nodes are that busy.
-    busy = F.broadcast(minima.filter(F.col("degree") > hot_rows).select(node, F.lit(True).alias("_busy")))
-    dealt = F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")
-    left = pairs.join(busy, node, "left").withColumn("_salt", F.when(F.col("_busy"), dealt).otherwise(0)).drop("_busy")
-    salts = F.when(F.col("degree") > hot_rows, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = minima.select(node, "m", F.explode(salts).alias("_salt"))
+    # At most pairs / hot_rows nodes are that busy; each gets the salts that its degree asks for.
+    busy = F.broadcast(minima.filter(F.col("degree") > hot_rows).select(node, salts_for(F.col("degree"), hot_rows).alias("_salts")))
+    dealt = F.pmod(F.xxhash64(other), F.col("_salts").cast("bigint"))
+    left = pairs.join(busy, node, "left").withColumn("_salt", F.coalesce(dealt, F.lit(0).cast("bigint"))).drop("_salts")
+    salts = F.when(F.col("degree") > hot_rows, salts_for(F.col("degree"), hot_rows)).otherwise(1)
+    right = minima.select(node, "m", F.explode(F.sequence(F.lit(0).cast("bigint"), (salts - 1).cast("bigint"))).alias("_salt"))
     return left.join(right, [node, "_salt"]).drop("_salt")
 
 
@@ -47,7 +45,7 @@ def _small_star(edges: DataFrame, hot_rows: int | None) -> DataFrame:
     )
 
 
-def connected_components(edges: DataFrame, *, hot_rows: int = 1_000_000, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def connected_components(edges: DataFrame, *, hot_rows: int = 1_000_000) -> DataFrame:
     """(node, root) for every node that has an edge; the root is the smallest node of its component.
 
     `edges` has the columns u and v; direction, repetition and loops do not matter.
@@ -57,17 +55,13 @@ def connected_components(edges: DataFrame, *, hot_rows: int = 1_000_000, max_rou
     state = durable(
         edges.filter(F.col("u") != F.col("v"))
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), content)
-    for _ in range(max_rounds):
-        n = known_rows(state)
-        if n == 0:
-            break
+    # Every round at least shortens all paths, so the rounds end by themselves: about the logarithm of the longest path.
+    while (n := known_rows(state)) > 0:
         # A node has at most twice as many neighbours as there are edges: below that, none is busy.
-        hot = hot_rows if 2 * n > hot_rows else None
+        hot = hot_limit(hot_rows, 2 * n) if 2 * n > hot_rows else None
         before, state = state, durable(_small_star(_large_star(state, hot), hot), content)
         if fingerprint(before) == fingerprint(state):
             break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return state.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 

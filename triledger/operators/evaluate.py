@@ -91,9 +91,16 @@ def class_summary(cells: DataFrame, classes: tuple[str, ...] = CLASSES, majority
         macro.select("balanced_accuracy").scalar().alias("balanced_accuracy"))
 
 
+def donors(rows: DataFrame, row_id: str, seed: int = 7) -> DataFrame:
+    """A permutation of the ids: the row of each rank by id meets the row of that rank by a seeded digest of the id."""
+    ids = rows.select(row_id)
+    by_id = ordered_scan(ids, [], [row_id], number="_rank")
+    digest = F.md5(F.concat_ws("|", F.lit(seed), F.col(row_id).cast("string")).cast("binary"))
+    by_digest = ordered_scan(ids.select(F.col(row_id).alias("donor"), digest.alias("_h")), [], ["_h", "donor"], number="_rank")
+    return by_id.join(by_digest.select("_rank", "donor"), "_rank").select(row_id, "donor")
+
+
 def shuffled_column(rows: DataFrame, column: str, row_id: str, seed: int = 7) -> DataFrame:
-    """The rows with one column permuted: ranks by id meet ranks by a seeded hash of the id."""
-    by_id = ordered_scan(rows.drop(column), [], [row_id], number="_rank")
-    values = rows.select(column, row_id, F.xxhash64(F.lit(seed), F.col(row_id)).alias("_h"))
-    by_hash = ordered_scan(values, [], ["_h", row_id], number="_rank").select("_rank", column)
-    return by_id.join(by_hash, "_rank").select(*rows.columns)
+    """The rows with one column permuted."""
+    values = rows.select(F.col(row_id).alias("donor"), column)
+    return rows.drop(column).join(donors(rows, row_id, seed), row_id).join(values, "donor").select(*rows.columns)

@@ -80,7 +80,7 @@ def build_features(ledger: DataFrame, groups: DataFrame, payments: DataFrame, jo
         tickets.alias("n_tickets"),
         "agreements",
         F.when(tickets > 0, F.col("_seen") - 1).otherwise(0).alias("prior_same_ticket"),
-        F.when(F.col("_paid"), F.coalesce(hours, F.lit(NO_EARLIER_PAYMENT))).otherwise(NO_EARLIER_PAYMENT).alias("hours_since_same"),
+        F.when(F.col("_paid") & F.col("agent").isNotNull() & F.col("amount").isNotNull(), F.coalesce(hours, F.lit(NO_EARLIER_PAYMENT))).otherwise(NO_EARLIER_PAYMENT).alias("hours_since_same"),
         "prior_error_rate", "prior_rows",
     )
 

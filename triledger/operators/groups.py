@@ -88,8 +88,10 @@ def build_groups(
     statements: DataFrame, ledger: DataFrame, journal: DataFrame, tickets: DataFrame, config: Config
 ) -> DataFrame:
     """One row per group; `tickets` is the table made by `group_tickets`."""
-    counted = tickets.groupBy("gid").agg(F.min("agent").alias("agent"), F.count("*").alias("ticket_count"))
-    shown = first_values(tickets, "gid", "ticket", ["ticket"], config.tickets_spelled, "tickets", "|")
+    # The tickets are distinct already, so this list is what the group is made of, whole.
+    counted = tickets.groupBy("gid").agg(
+        F.min("agent").alias("agent"), F.count("*").alias("ticket_count"),
+        F.array_join(F.array_sort(F.collect_list("ticket")), "|").alias("tickets"))
     facts = statement_facts(statements)
     docs = first_values(
         facts.groupBy("gid", "doc").agg(F.min("line_no").alias("_first")), "gid", "doc", ["_first"],
@@ -97,7 +99,7 @@ def build_groups(
     txns = first_values(
         ledger.filter(F.col("gid").isNotNull()), "gid", "txn_id", ["ts", "txn_id"], config.txns_shown, "ledger_txns", ",")
     joined = counted
-    for part in (shown, source_totals(statements, ledger, journal, config), docs, txns, repeated_debits(ledger, config)):
+    for part in (source_totals(statements, ledger, journal, config), docs, txns, repeated_debits(ledger, config)):
         joined = joined.join(part, "gid", "left")
     zero, empty = F.lit(0), F.lit("")
     defaults = {
@@ -109,8 +111,4 @@ def build_groups(
         "statement_docs": empty, "ledger_txns": empty,
     }
     joined = joined.withColumns({c: F.coalesce(c, d.cast(joined.schema[c].dataType)) for c, d in defaults.items()})
-    spelled = F.when(F.col("ticket_count") <= config.tickets_spelled, F.col("tickets"))
-    return joined.withColumns({
-        "tickets": spelled,
-        "residual": (F.col("statement_sum") + F.col("ledger_sum")).cast(MONEY),
-    })
+    return joined.withColumn("residual", (F.col("statement_sum") + F.col("ledger_sum")).cast(MONEY))

@@ -48,11 +48,11 @@ def islands(members: DataFrame, mode: str, tolerance_cents: int, days: int, skew
     scope = ["agent"] if mode == NEAREST else []
     classes = members.groupBy(*CLASS).agg(
         F.count_if(F.col("side") == 0).alias("proposers"), F.count_if(F.col("side") == 1).alias("seats"))
-    classes = durable(classes.withColumn("cell", F.floor(F.col("cents") / tolerance_cents)))
+    classes = durable(classes.withColumn("cell", F.floor(F.col("cents") / max(tolerance_cents, 1))))
     by_amount = gap_islands(classes, scope, "cell", 1, "amount_island")
-    classes = durable(classes.join(by_amount, [*scope, "cell"]))
+    classes = durable(salted_join(classes, by_amount, [*scope, "cell"], how="inner", **skew))
     by_day = gap_islands(classes, [*scope, "amount_island"], "day_no", days, "day_island")
-    classes = classes.join(by_day, [*scope, "amount_island", "day_no"])
+    classes = salted_join(classes, by_day, [*scope, "amount_island", "day_no"], how="inner", **skew)
     island = [*scope, "amount_island", "day_island"]
     sizes = classes.groupBy(*island).agg(
         F.sum("proposers").alias("island_proposers"), F.sum("seats").alias("island_seats"))
@@ -86,14 +86,20 @@ def take_turns(members: list[dict], mode: str, tolerance_cents: int, days: int)
         i = bisect_left(amounts, p["cents"] - tolerance_cents)
         while i < len(amounts) and amounts[i] <= p["cents"] + tolerance_cents:
             for (agent, day_no), queue in free[amounts[i]].items():
-                if not queue or abs(day_no - p["day_no"]) > days or (agent == p["agent"]) != (mode == NEAREST):
+                if abs(day_no - p["day_no"]) > days or (agent == p["agent"]) != (mode == NEAREST):
                     continue
                 liking = _preference(mode, agent, amounts[i], day_no, p["day_no"])
                 if best is None or liking < best:
-                    best, where = liking, queue
+                    best, where = liking, (amounts[i], agent, day_no)
             i += 1
         if where is not None:
-            pairs.append((p["id"], where.popleft()))
+            at, queue = free[where[0]], free[where[0]][where[1:]]
+            pairs.append((p["id"], queue.popleft()))
+            # What is taken is not looked at again.
+            if not queue:
+                del at[where[1:]]
+            if not at:
+                del free[where[0]], amounts[bisect_left(amounts, where[0])]
     return pairs
 
 

@@ -1,38 +1,47 @@
-"""A classifier of error sources, trained on earlier months and tested on a later one."""
+"""A classifier of error sources, trained on earlier months and tested on a later one.
+
+A random forest gives the probabilities of all classes at once: the guess is the likeliest class, and the probability of an
+error is what is left beside "OK", so the two cannot contradict each other.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triledger.operators import evaluate
-from triledger.operators.durable import durable
+from triledger.operators.durable import durable, known_rows
 from triledger.operators.features import CATEGORICAL, NUMERIC, balanced_weights
+from triledger.operators.ordered import ordered_scan
+from triledger.operators.skew import salted_join
 from triledger.vocabulary import CLASSES
 
 ID = "txn_id"
+HOT_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
 class Settings:
-    depth: int = 4
-    step: float = 0.08
-    rounds: int = 200
+    rounds: int = 200       # trees
+    depth: int = 6
+    leaf_rows: int = 5
     seed: int = 7
 
 
 @dataclass(frozen=True)
 class Fold:
+    number: int
+    train_months: list[str]
     test_month: str
-    encoder: PipelineModel
-    error_model: object
-    scored: DataFrame       # test rows with p_error and predicted
+    n_train: int
+    forest: object
+    scored: DataFrame       # test rows with the codes, p_error and predicted
 
 
 def temporal_folds(months: list[str]) -> list[tuple[list[str], str]]:
@@ -41,48 +50,43 @@ def temporal_folds(months: list[str]) -> list[tuple[list[str], str]]:
     return [([m for m in ordered if m < test], test) for test in reversed(ordered[-2:]) if test > ordered[0]]
 
 
-def fit_encoder(rows: DataFrame) -> PipelineModel:
-    """Category codes over all rows (alphabetical) and one feature vector."""
-    indexers = [
-        StringIndexer(inputCol=c, outputCol=f"{c}_code", stringOrderType="alphabetAsc", handleInvalid="keep")
-        for c in CATEGORICAL]
-    assembler = VectorAssembler(inputCols=[f"{c}_code" for c in CATEGORICAL] + list(NUMERIC), outputCol="features")
-    return Pipeline(stages=[*indexers, assembler]).fit(rows)
-
-
-def _class_count(indexer) -> int:
-    """The classes are few and fixed; their models train side by side."""
-    return max(1, len(indexer.labels))
+def category_codes(rows: DataFrame) -> DataFrame:
+    """column, value, code: the distinct values of every category, numbered from 0 in order.  Nothing is collected."""
+    values = [rows.select(F.lit(c).alias("column"), F.col(c).alias("value")).filter("value is not null").distinct() for c in CATEGORICAL]
+    numbered = ordered_scan(reduce(DataFrame.unionByName, values), ["column"], ["value"], number="n")
+    return numbered.select("column", "value", (F.col("n") - 1).alias("code"))
 
 
-def _bins(encoder: PipelineModel) -> int:
-    return max(32, *[len(s.labels) + 1 for s in encoder.stages if hasattr(s, "labels")])
+def with_codes(rows: DataFrame, codes: DataFrame) -> DataFrame:
+    """The rows with one code column per category; -1 for a missing value."""
+    for c in CATEGORICAL:
+        own = codes.filter(F.col("column") == c).select(F.col("value").alias(c), F.col("code").alias(f"{c}_code"))
+        rows = salted_join(rows, own, [c], hot_rows=HOT_ROWS, at_most=known_rows(rows)).withColumn(
+            f"{c}_code", F.coalesce(f"{c}_code", F.lit(-1)))
+    return rows
 
 
-def train_fold(rows: DataFrame, train_months: list[str], test_month: str, settings: Settings = Settings()) -> Fold:
-    encoder = fit_encoder(rows)
-    train = rows.filter(F.col("month").isin(train_months))
-    train = durable(train.join(balanced_weights(train).select("label", "weight"), "label"))
-    test = rows.filter(F.col("month") == test_month)
-    trees = {"maxDepth": settings.depth, "stepSize": settings.step, "maxIter": settings.rounds,
-             "seed": settings.seed, "maxBins": _bins(encoder), "weightCol": "weight"}
+def _vector() -> VectorAssembler:
+    return VectorAssembler(inputCols=[f"{c}_code" for c in CATEGORICAL] + list(NUMERIC), outputCol="features")
 
-    to_class = StringIndexer(inputCol="label", outputCol="class", stringOrderType="alphabetAsc").fit(train)
-    encoded = to_class.transform(encoder.transform(train))
-    by_class = OneVsRest(
-        classifier=GBTClassifier(labelCol="class", **trees), labelCol="class", weightCol="weight",
-        predictionCol="class_guess", parallelism=_class_count(to_class)).fit(encoded)
-    error_model = GBTClassifier(labelCol="is_err", **trees).fit(encoded)
 
-    guessed = by_class.transform(encoder.transform(test))
-    named = IndexToString(inputCol="class_guess", outputCol="predicted", labels=to_class.labels).transform(guessed)
-    scored = _with_p_error(named.drop("rawPrediction", "probability", "prediction"), error_model)
-    return Fold(test_month, encoder, error_model, durable(scored.drop("features", *[f"{c}_code" for c in CATEGORICAL])))
+def train_fold(coded: DataFrame, number: int, train_months: list[str], test_month: str, settings: Settings = Settings()) -> Fold:
+    """`coded` are the features with the category codes."""
+    train = coded.filter(F.col("month").isin(train_months))
+    position = F.array_position(F.array(*[F.lit(c) for c in CLASSES]), F.col("label")) - 1
+    train = durable(train.join(balanced_weights(train).select("label", "weight"), "label").withColumn("class", position.cast("double")))
+    forest = RandomForestClassifier(
+        labelCol="class", weightCol="weight", numTrees=settings.rounds, maxDepth=settings.depth,
+        minInstancesPerNode=settings.leaf_rows, seed=settings.seed).fit(_vector().transform(train))
+    scored = durable(_scored(coded.filter(F.col("month") == test_month), forest))
+    return Fold(number, train_months, test_month, known_rows(train), forest, scored)
 
 
-def _with_p_error(encoded: DataFrame, error_model) -> DataFrame:
-    out = error_model.transform(encoded)
-    return out.withColumn("p_error", vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction")
+def _scored(rows: DataFrame, forest) -> DataFrame:
+    out = forest.transform(_vector().transform(rows)).withColumn("_p", vector_to_array("probability"))
+    named = F.element_at(F.array(*[F.lit(c) for c in CLASSES]), F.col("prediction").cast("int") + 1)
+    # "OK" is the first class.
+    return out.withColumn("predicted", named).withColumn("p_error", 1 - F.col("_p")[0]).select(*rows.columns, "predicted", "p_error")
 
 
 def fold_metrics(fold: Fold) -> DataFrame:
@@ -96,20 +100,27 @@ def fold_metrics(fold: Fold) -> DataFrame:
         evaluate.roc_auc(scored, "p_error", "is_err"),
         evaluate.at_top(scored, "p_error", "is_err", ID).drop("k"),
     ]
-    out = out.withColumn("test_month", F.lit(fold.test_month))
+    out = out.withColumns({
+        "fold": F.lit(fold.number), "train_months": F.lit(f"{fold.train_months[0]}..{fold.train_months[-1]}"),
+        "test_month": F.lit(fold.test_month), "n_train": F.lit(fold.n_train).cast("bigint")})
     for part in parts:
+        # One-row tables.
         out = out.withColumns({c: part.select(c).scalar() for c in part.columns})
     return out
 
 
 def permutation_importance(fold: Fold, features: tuple[str, ...] = CATEGORICAL + NUMERIC, seed: int = 7) -> DataFrame:
     """How much average precision is lost when one feature of the test rows is shuffled."""
-    rows = fold.scored.select(ID, "is_err", *CATEGORICAL, *NUMERIC)
+    used = {f: f"{f}_code" if f in CATEGORICAL else f for f in features}
+    # Each row gets the features of another one beside its own; the rows are numbered once.
+    rows = fold.scored.select(ID, "is_err", *[f"{c}_code" for c in CATEGORICAL], *NUMERIC)
+    given = rows.select(F.col(ID).alias("donor"), *[F.col(c).alias(f"other_{c}") for c in used.values()])
+    paired = durable(rows.join(evaluate.donors(rows, ID, seed), ID).join(given, "donor"))
     base = evaluate.average_precision(fold.scored, "p_error", "is_err").select("average_precision")
     out = None
-    for feature in features:
-        mixed = evaluate.shuffled_column(rows, feature, ID, seed)
-        rescored = _with_p_error(fold.encoder.transform(mixed), fold.error_model)
+    for feature, column in used.items():
+        mixed = paired.withColumn(column, F.col(f"other_{column}")).select(*rows.columns)
+        rescored = _scored(mixed, fold.forest)
         lost = evaluate.average_precision(rescored.select("is_err", "p_error"), "p_error", "is_err").select(
             F.lit(feature).alias("feature"),
             (base.scalar() - F.col("average_precision")).alias("pr_auc_drop"))

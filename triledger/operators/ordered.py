@@ -7,12 +7,21 @@ inside a chunk, and what precedes a chunk is carried over from small per-chunk s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from triledger.operators.durable import durable
+from triledger.operators.durable import durable, known_rows
 
-CHUNK_ROWS = 20_000
+# A chunk is worth a task from so many rows on, and has at most so many.
+CHUNK_ROWS, MOST_ROWS = 20_000, 1_000_000
+# With so many chunks, the one carried row of each is still small enough to broadcast.
+BROADCAST_CHUNKS = 100_000
+
+
+def chunk_count(spark: SparkSession, rows: int) -> int:
+    """Chunks for so many rows: as many as shuffle partitions, fewer for small and more for large inputs."""
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(min(usual, rows // CHUNK_ROWS + 1), -(-rows // MOST_ROWS))
 
 
 def ordered_scan(
@@ -33,18 +42,22 @@ def ordered_scan(
     * `number`: the row number, from 1.
 
     Rows are first written to the checkpoint folder together with their chunk, so the cut is the
-    same for the rows and for the summaries.  `at_most`, a known bound of the rows, keeps small
-    inputs from being cut into more chunks than they are worth.
+    same for the rows and for the summaries.  The chunks grow in number with the rows: `at_most`, a
+    known bound, or the count of the rows.  Rows whose key is null are one key.
     """
     totals, previous = totals or {}, previous or {}
-    n = chunks or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if at_most is not None and chunks is None:
-        n = min(n, at_most // CHUNK_ROWS + 1)
     cut = rows.select(
         "*",
         *[F.coalesce(e, F.lit(0)).alias(f"_t_{c}") for c, e in totals.items()],
         *[e.alias(f"_p_{c}") for c, e in previous.items()],
     )
+    n = chunks
+    if n is None:
+        known = known_rows(rows) if at_most is None else at_most
+        if known is None:
+            cut = durable(cut)
+            known = known_rows(cut)
+        n = chunk_count(rows.sparkSession, known)
     cut = durable(cut.repartitionByRange(n, *keys, *order).withColumn("_chunk", F.spark_partition_id()))
 
     inside = Window.partitionBy("_chunk", *keys).orderBy(*order)
@@ -65,16 +78,17 @@ def ordered_scan(
     before = Window.partitionBy(*keys).orderBy("_chunk")
     earlier = before.rowsBetween(Window.unboundedPreceding, -1)
     # Only the first key of a chunk can have begun in an earlier one, so this table has at most
-    # one row per chunk and may be broadcast whatever the size of the data.
+    # one row per chunk.
     carried = summary.select(
-        "_chunk",
-        *keys,
+        F.col("_chunk").alias("_c_chunk"),
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.sum("_rows").over(earlier).alias("_c_number"),
         *[F.sum(f"_t_{c}").over(earlier).alias(f"_c_{c}") for c in totals],
         *[F.lag(f"_p_{c}").over(before).getField("v").alias(f"_c_{c}") for c in previous],
     ).filter(F.col("_c_number").isNotNull())
 
-    joined = local.join(F.broadcast(carried), ["_chunk", *keys], "left")
+    same = [F.col("_chunk") == F.col("_c_chunk"), *[F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]]
+    joined = local.join(F.broadcast(carried) if n <= BROADCAST_CHUNKS else carried, same, "left")
     return joined.select(
         *rows.columns,
         *[(F.col(c) + F.coalesce(F.col(f"_c_{c}"), F.lit(0))).alias(c) for c in totals],

@@ -51,9 +51,11 @@ def match_payments(
 
 
 def with_hours_since_same(payments: DataFrame, at_most: int | None = None) -> DataFrame:
-    """Hours since the agent's previous payment of the same amount, matched ones included."""
+    """Hours since the agent's previous payment of the same amount, matched ones included; null without agent or amount."""
     scanned = ordered_scan(payments, ["agent", "amount"], ["ts", "txn_id"], previous={"_before": F.col("ts")}, at_most=at_most)
-    return scanned.withColumn("hours_since_same", (micros(F.col("ts")) - micros(F.col("_before"))) / 3.6e9).drop("_before")
+    hours = (micros(F.col("ts")) - micros(F.col("_before"))) / 3.6e9
+    comparable = F.col("agent").isNotNull() & F.col("amount").isNotNull()
+    return scanned.withColumn("hours_since_same", F.when(comparable, hours)).drop("_before")
 
 
 def unmatched_payments(

@@ -4,15 +4,26 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 64
+# The list of hot keys is broadcast; where more keys than this could be hot, only hotter ones count as hot.
+HOT_KEYS = 100_000
+
+
+def hot_limit(hot_rows: int, at_most: int | None) -> int:
+    """Rows from which a key is hot, so that at most HOT_KEYS keys can be."""
+    return hot_rows if at_most is None else max(hot_rows, at_most // HOT_KEYS)
+
+
+def salts_for(rows: Column, hot_rows: int) -> Column:
+    """As many salts as leave each with `hot_rows` rows."""
+    return F.ceil(rows / F.lit(hot_rows)).cast("int")
 
 
 def hot_keys(df: DataFrame, on: list[str], hot_rows: int) -> DataFrame:
-    """Keys with more than `hot_rows` rows.  There are at most rows / hot_rows of them."""
-    return df.groupBy(*on).count().filter(F.col("count") > hot_rows).select(*on, F.lit(True).alias("_hot"))
+    """Keys with more than `hot_rows` rows and their number of salts.  There are at most rows / hot_rows of them."""
+    return df.groupBy(*on).count().filter(F.col("count") > hot_rows).select(*on, salts_for(F.col("count"), hot_rows).alias("_salts"))
 
 
 def salted_join(
@@ -20,25 +31,25 @@ def salted_join(
 ) -> DataFrame:
     """Equi-join of a large table with a lookup that is unique on `on`.
 
-    Rows of a hot key are dealt over SALTS partitions and the lookup row of that key is repeated
-    for each; all other keys join as usual.  The list of hot keys has at most rows / hot_rows
-    entries, which is what makes broadcasting it safe.  When no key is known to have more than
-    `at_most` rows and that is no more than `hot_rows`, nothing can be hot and nothing is salted.
+    Rows of a hot key are dealt over as many salts as its count asks for, and the lookup row of that key is repeated for
+    each; all other keys join as usual.  When no key is known to have more than `at_most` rows and that is no more than
+    `hot_rows`, nothing can be hot and nothing is salted.
     """
     if at_most is not None and at_most <= hot_rows:
         return rows.join(lookup, on, how)
-    hot = F.broadcast(hot_keys(rows, on, hot_rows))
-    dealt = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns if c not in on]), F.lit(SALTS)).cast("int")
-    # Rows without a key match nothing; they are dealt out too, so they do not pile up.
+    hot = F.broadcast(hot_keys(rows, on, hot_limit(hot_rows, at_most)))
+    spread_by = F.xxhash64(*[F.col(c) for c in rows.columns if c not in on])
+    # Rows without a key match nothing; any salt will do, so each goes anywhere.
     keyless = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in on))
     marked = (
         rows.join(hot, on, "left")
-        .withColumn("_salt", F.when(F.col("_hot") | keyless, dealt).otherwise(0))
-        .drop("_hot")
+        .withColumn("_salt", F.when(keyless, spread_by).otherwise(
+            F.coalesce(F.pmod(spread_by, F.col("_salts").cast("bigint")), F.lit(0).cast("bigint"))))
+        .drop("_salts")
     )
     spread = (
         lookup.join(hot, on, "left")
-        .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_salts") - 1, F.lit(0)).cast("bigint"))))
+        .drop("_salts")
     )
     return marked.join(spread, [*on, "_salt"], how).drop("_salt")

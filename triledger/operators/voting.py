@@ -76,7 +76,8 @@ def resolve(latest: DataFrame, ledger: DataFrame, journal: DataFrame, config: Co
     folders = durable(folder_agents(latest, ledger, seen, owners, config.hot_rows))
 
     # Tickets the ledger does not know belong to the folder that names them first.
-    unknown = seen.join(folders.select("folder", "agent"), "folder").select(
+    unknown = salted_join(seen, folders.select("folder", "agent"), ["folder"], how="inner",
+                          hot_rows=config.hot_rows, at_most=known_rows(seen)).select(
         "ticket", F.lit(1).alias("source"), "first", "agent")
     known = owners.select(
         "ticket", F.lit(0).alias("source"),

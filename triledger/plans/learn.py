@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triledger.operators import evaluate, model
+from triledger.operators.durable import durable
 from triledger.operators.risk import risk_by_agent
 
 
@@ -28,6 +29,15 @@ class ModelResult:
             for f in self.folds]
         return reduce(DataFrame.unionByName, parts)
 
+    @cached_property
+    def quality(self) -> DataFrame:
+        """ROC-AUC of the last month, one cell."""
+        return evaluate.roc_auc(self.folds[0].scored, "p_error", "is_err")
+
+    @cached_property
+    def last_classes(self) -> DataFrame:
+        return evaluate.per_class(evaluate.confusion(self.folds[0].scored, "label", "predicted")).drop("position")
+
     @cached_property
     def importance(self) -> DataFrame:
         return model.permutation_importance(self.folds[0])
@@ -45,4 +55,6 @@ def learn(features: DataFrame, settings: model.Settings = model.Settings()) -> M
     """Two temporal folds: the last month and the one before."""
     # The list of months is bounded by the calendar.
     months = [r.month for r in features.select("month").distinct().collect()]
-    return ModelResult([model.train_fold(features, tr, te, settings) for tr, te in model.temporal_folds(months)], features)
+    coded = durable(model.with_codes(features, model.category_codes(features)))
+    folds = [model.train_fold(coded, i, tr, te, settings) for i, (tr, te) in enumerate(model.temporal_folds(months), 1)]
+    return ModelResult(folds, features)

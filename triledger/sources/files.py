@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triledger.operators.durable import durable
+from triledger.operators.ordered import ordered_scan
 from triledger.sources.derived import Sources
 
 # The columns of the three exported files and the names used here.
@@ -38,21 +40,30 @@ def _typed(name: str, text) -> F.Column:
     if name in RATES:
         return text.try_cast("decimal(18,6)")
     if name in DATES:
-        return text.try_cast("date")
+        return F.coalesce(text.try_cast("date"), _local_time(text).cast("date"))
     if name == "ts":
-        return text.try_cast("timestamp_ntz")
+        return F.coalesce(text.try_cast("timestamp_ntz"), _local_time(text))
     if name == "txn_id":
-        return text.try_cast("bigint")
+        # A column with gaps is often exported with ".0" behind its whole numbers.
+        return F.regexp_replace(text, r"\.0+\s*$", "").try_cast("bigint")
     return text
 
 
+def _local_time(text) -> F.Column:
+    """Day first, with points or slashes, with or without a time."""
+    plain = F.translate(text, "/", ".")
+    return F.coalesce(*[F.try_to_timestamp(plain, F.lit(p)).cast("timestamp_ntz")
+                        for p in ("d.M.yyyy H:m:s", "d.M.yyyy H:m", "d.M.yyyy")])
+
+
 def read_source(spark: SparkSession, kind: str, path: str, multi_line: bool = False) -> DataFrame:
     """One source from CSV (by its exported column names) or Parquet (by these or our own names).
 
     Every CSV column is read as text, so ticket numbers never turn into floating point numbers.
-    Rows keep their order in the file: a `line_no` / `row_no` column if there is one, else the
-    position given by the scan itself, before anything is shuffled.  `multi_line` is for CSV files
-    with line breaks inside quoted cells; such files cannot be split between tasks.
+    Rows keep their order: a `line_no` / `row_no` column if there is one, else they are numbered by
+    file, place in the file and place in the scan.  Journal columns that are not known go into
+    `other`, so rows that differ there only are no copies.  `multi_line` is for CSV files with line
+    breaks inside quoted cells; such files cannot be split between tasks.
     """
     names = FILES[kind]
     if path.rstrip("/").endswith(".parquet"):
@@ -65,9 +76,21 @@ def read_source(spark: SparkSession, kind: str, path: str, multi_line: bool = Fa
         found = source if source in raw.columns else name if name in raw.columns else None
         text = F.lit(None).cast("string") if found is None else F.col(f"`{found}`").cast("string")
         columns.append(_typed(name, text).alias(name))
-    if order:
-        columns.append((F.col(order).cast("bigint") if order in raw.columns else F.monotonically_increasing_id()).alias(order))
-    return raw.select(*columns)
+    known = {*names.keys(), *names.values(), order, "other"}
+    unknown = [c for c in raw.columns if c not in known]
+    if kind == "journal":
+        other = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(unknown)])) if unknown else F.lit(None).cast("string")
+        columns.append(F.col("other").cast("string") if "other" in raw.columns else other.alias("other"))
+    if order is None:
+        return raw.select(*columns)
+    if order in raw.columns:
+        return raw.select(*columns, F.col(order).cast("bigint").alias(order))
+    # Written once by the scan, so the numbers hold whatever is recomputed later.
+    place = ["_path", "_block", "_at"]
+    scanned = durable(raw.select(
+        *columns, F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at")))
+    return ordered_scan(scanned, [], place, number=order).drop(*place)
 
 
 def load_sources(

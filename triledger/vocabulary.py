@@ -88,7 +88,7 @@ CLEAN_STATUSES = ("OK", "VOID_CLOSED", "DIRECT_CLIENT", "TICKET_IN_AMOUNT", "JOU
 
 CLASSES = ("OK", "BOT", "STATEMENT", "AGENT", "REVIEW")
 
-# The nineteen parts of an agent's balance bridge, in report order.
+# The nineteen parts of an agent's balance bridge, in report order.
 COMPONENTS = (
     "opening_gap", "continuity_breaks", "jumps_over_missing", "statement_arithmetic", "rounding",
     "residual_statement", "residual_bot", "residual_review",
@@ -97,41 +97,37 @@ COMPONENTS = (
     "payment_not_in_statement", "payment_not_in_ledger", "repeated_credit", "payment_wrong_agent",
     "payment_in_missing_month",
 )
-LEDGER_SIDE = (
-    "residual_bot", "double_debit", "statement_only_journal_sale", "void_unbalanced",
-    "payment_not_in_ledger", "repeated_credit", "payment_wrong_agent",
-)
-STATEMENT_SIDE = (
-    "residual_statement", "not_in_statement", "payment_not_in_statement",
-    "continuity_breaks", "statement_arithmetic",
-)
-CLARIFY_SIDE = (
-    "opening_gap", "jumps_over_missing", "residual_review", "statement_only",
-    "ledger_in_missing_month", "payment_in_missing_month",
-)
-
-# Readable names, used by the report views.
+# Readable names of every status, used by the report views.
 STATUS_LABELS = {
-    "AMOUNT_RESIDUAL": "Amounts differ",
-    "NOT_IN_STATEMENT": "Debited, not invoiced",
-    "STATEMENT_ONLY_JOURNAL_SALE": "Sale not carried to the ledger",
-    "STATEMENT_ONLY": "Only in the statement",
-    "DOUBLE_DEBIT": "Ticket debited twice",
-    "LEDGER_IN_MISSING_MONTH": "Operation in a month without statement",
-    "VOID_UNBALANCED": "Void not fully returned",
-    "JOURNAL_ONLY_SALE": "Sale only in the journal",
-    "JOURNAL_AMOUNT_DIFF": "Wrong amount in the journal",
-    "PAYMENT_NOT_IN_LEDGER": "Receipt without ledger payment",
-    "REPEATED_CREDIT": "Payment credited again",
-    "PAYMENT_NOT_IN_STATEMENT": "Payment without receipt",
-    "PAYMENT_WRONG_AGENT": "Payment credited to another agent",
-    "PAYMENT_IN_MISSING_MONTH": "Payment in a month without statement",
+    # Groups.
+    "OK": "In order",
+    "VOID_CLOSED": "Purchase and void cancel out",
+    "VOID_UNBALANCED": "Void returns too little or too much",
+    "LEDGER_IN_MISSING_MONTH": "Ledger entry, statement of the month missing",
+    "NOT_IN_STATEMENT": "Ledger entry never invoiced",
+    "STATEMENT_ONLY_JOURNAL_SALE": "Invoiced and sold, no ledger entry",
+    "STATEMENT_ONLY": "Invoiced only",
+    "JOURNAL_AMOUNT_DIFF": "Journal amount off",
+    "JOURNAL_DUPLICATE": "Journal row repeated",
+    "DOUBLE_DEBIT": "Debited more than once",
+    "AMOUNT_RESIDUAL": "Statement and ledger amounts apart",
+    "DIRECT_CLIENT": "Client without an agent",
+    "JOURNAL_ONLY_SALE": "Journal sale only",
+    "JOURNAL_ONLY_OTHER": "Journal refund or void only",
+    "TICKET_IN_AMOUNT": "Ticket number typed as amount",
+    # Payments.
+    "REPEATED_CREDIT": "Same payment credited twice",
+    "PAYMENT_IN_MISSING_MONTH": "Payment, statement of the month missing",
+    "PAYMENT_NOT_IN_STATEMENT": "Payment without a receipt",
+    "PAYMENT_WRONG_AGENT": "Payment on the wrong agent",
+    "PAYMENT_NOT_IN_LEDGER": "Receipt without a payment",
 }
 SOURCE_LABELS = {
-    "STATEMENT": "Accounting", "BOT": "Bot", "AGENT": "Agent", "REVIEW": "Clarify", "EXPORT": "Export", "OK": "OK",
+    "OK": "None", "BOT": "Ledger bot", "STATEMENT": "Statement", "AGENT": "Journal", "REVIEW": "Undecided", "EXPORT": "Statement export",
 }
+# Who mends an error of each source.
 SOURCE_OWNERS = {
-    "STATEMENT": "Accountant", "BOT": "Ledger support", "AGENT": "Journal keeper",
-    "REVIEW": "Accountant and agent manager", "EXPORT": "Whoever exports the statements", "OK": "Nobody",
+    "OK": "No one", "BOT": "Operator of the ledger", "STATEMENT": "Issuer of the statements", "AGENT": "Writer of the journal row",
+    "REVIEW": "Issuer and agent together", "EXPORT": "Operator of the export",
 }
 SEVERITIES = ("critical", "high", "medium", "low")
