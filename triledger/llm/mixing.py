@@ -11,14 +11,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triledger.llm.tables import packed, release, saved
 
 MARGINS = ("source", "lang", "topic")
 WORD = r"[^\x20\x09-\x0D]+"
-TOLERANCE, ROUNDS = 1e-12, 200
+TOLERANCE, ROUNDS = 1e-10, 200
 
 
 def word_count(text: str) -> Column:
@@ -50,28 +50,32 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], *, tolerance: float =
 
     A value without a target gets no weight.  Where zero cells make the targets unreachable, raking ends after `rounds`.
     """
-    shares = {}
-    for margin, target in targets.items():
-        shares[margin] = saved(target.select(margin, F.col("share").cast("double").alias("share")), total=F.sum("share"))
-    # All margins are scaled to a sum of one.
-    state = saved(cells.withColumn("weight", F.col("tokens").cast("double")).withColumn("off", F.lit(1.0)), off=F.max("off"))
+    state = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for i, (margin, target) in enumerate(targets.items()):
+        aim = target.select(margin, F.col("share").cast("double").alias(f"_t{i}"))
+        state = state.join(aim, margin, "left")
+    # All margins are scaled to a sum of one; shares of values that have no cells cannot be met and do not count.
+    there = [f"_t{i}" for i in range(len(targets))]
+    sums = [target.join(cells.select(margin).distinct(), margin, "left_semi").agg(F.sum("share").cast("double").alias("s"))
+            for margin, target in targets.items()]
+    state = saved(state.select(
+        *cells.columns, "weight", *[F.coalesce(F.col(c) / s.select("s").scalar(), F.lit(0.0)).alias(c) for c, s in zip(there, sums, strict=True)],
+        F.lit(1.0).alias("off")))
     for _ in range(rounds):
-        step, off = state.drop("off"), F.lit(0.0)
-        for i, (margin, share) in enumerate(shares.items()):
-            total = float(share.facts["total"] or 1.0)
-            sums = step.groupBy(margin).agg(F.sum("weight").alias("_sum"))
-            scales = sums.join(share, margin, "left").select(
-                margin, F.when((F.col("_sum") > 0) & (F.col("share") > 0), F.col("share") / F.lit(total) / F.col("_sum"))
-                .otherwise(0.0).alias(f"_s{i}"))
-            step = step.join(scales, margin).withColumn("weight", F.col("weight") * F.col(f"_s{i}"))
-            # Off is how far a scale is from one; the first margin sets the unit in the first round.
-            off = F.greatest(off, F.when(F.col("weight") > 0, F.abs(F.col(f"_s{i}") - 1)).otherwise(0.0))
-        before, state = state, saved(step.select(*cells.columns, "weight", off.alias("off")), off=F.max("off"))
+        step, off = state, F.lit(0.0)
+        for c, margin in zip(there, targets, strict=True):
+            # Windows see cells, one row for each combination, never documents.
+            whole = F.sum("weight").over(Window.partitionBy(margin))
+            step = step.withColumn("_scale", F.when((whole > 0) & (F.col(c) > 0), F.col(c) / whole).otherwise(0.0))
+            step = step.withColumn("weight", F.col("weight") * F.col("_scale")).withColumn(
+                f"_off{c}", F.when(F.col("weight") > 0, F.abs(F.col("_scale") - 1)).otherwise(0.0))
+            off = F.greatest(off, F.col(f"_off{c}"))
+        before, state = state, saved(step.select(*cells.columns, "weight", *there, off.alias("off")), off=F.max("off"))
         release(before)
+        # How far the last scales were from one; the first round also sets the unit.
         if (state.facts["off"] or 0.0) <= tolerance:
             break
-    release(*shares.values())
-    return state.drop("off")
+    return state.select(*cells.columns, "weight")
 
 
 def with_probability(docs: DataFrame, cells_of: DataFrame, *, power: float | None = None,
@@ -113,7 +117,7 @@ def mix(docs: DataFrame, topic: Column, *, power: float | None = None, targets:
     rows = docs.select("doc_id", "source", "lang", topic.alias("topic"), word_count("text").alias("n_tokens"))
     rows = saved(rows.select("*", *_keys("topic")))
     whole = with_probability(rows, rows.withColumnRenamed("n_tokens", "_tokens"), power=power, targets=targets)
-    return whole.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("_probability", 6).alias("probability"),
+    return whole.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("_probability", 5).alias("probability"),
                         (chance("doc_id", seed) < F.col("_probability")).alias("sampled"))
 
 

@@ -128,7 +128,7 @@ cells as (select source, lang, topic, sum(n_tokens)::double as tokens, sum(n_tok
     from cells group by {m})''' for m in mixing.MARGINS)},
 {_STEPS},
 rates as (select source, lang, topic, (w / tokens) / max(w / tokens) over () as p from {_LAST})
-select doc_id, r.source, r.lang, r.topic, n_tokens, round(p, 6) as probability,
+select doc_id, r.source, r.lang, r.topic, n_tokens, round(p, 5) as probability,
        cast(('0x' || substr(md5('mix' || doc_id), 1, 13)) as bigint) / 4503599627370496.0 < p as sampled
 from rows r join rates c on r.source is not distinct from c.source and r.lang is not distinct from c.lang and r.topic = c.topic
 """
