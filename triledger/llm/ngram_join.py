@@ -35,6 +35,8 @@ SAMPLE, FREQUENT, FREQUENT_MOST = 4_000, 4, 100_000
 SIGNATURES_PER_TASK = 2_000_000
 PIECE = 4_000_000
 BITS_MOST = 1 << 25
+# Members of a signature group that are gathered in one row.
+BLOCK = 400
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -286,7 +288,7 @@ class _Candidates:
         cores = counts.groupBy("sig").agg(F.max(F.struct("members", "c")).alias("most"), F.sum("members").alias("all")).filter("most.members < all")
         rest = F.col("all") - F.col("most.members")
         return saved(placed.join(cores.select("sig", F.col("most.c").alias("core"), "all", rest.alias("rest")), "sig"),
-                     pairs=F.sum(F.when(F.col("c") != F.col("core"), F.col("all"))))
+                     pairs=F.sum(F.when(F.col("c") != F.col("core"), F.col("all"))), most=F.max("all"))
 
     def by_pivot(self, apart: DataFrame, turn: int) -> DataFrame:
         """Members outside the core, with one member of the core that is another one each turn."""
@@ -296,12 +298,34 @@ class _Candidates:
             _near(self.percent)).select(*_ordered("rep", "pivot"))
 
     def remaining(self, apart: DataFrame) -> DataFrame:
-        """Every two members that are apart, at least one of them outside the core, and share enough signatures."""
-        outer = apart.filter("c <> core").select("sig", "rep", "n", "need", "c", "core")
-        inner = apart.select("sig", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("need").alias("needs"), F.col("c").alias("d"))
-        both = (F.col("c") != F.col("d")) & ((F.col("d") == F.col("core")) | (F.col("rep") < F.col("other"))) & _near(self.percent)
-        met = outer.join(inner, "sig").filter(both)
-        often = met.groupBy(*_ordered("rep", "other")).agg(F.count("*").alias("times"), F.min(F.least("need", "needs")).alias("need"))
+        """Every two members that are apart and share enough signatures.
+
+        A pair shares many signatures but is made once: the members of a group come in blocks, the blocks that a set meets are
+        gathered, and the partners in them are counted.
+        """
+        percent = self.percent
+        blocks = max(1, -(-(apart.facts["most"] or 1) // BLOCK))
+        outer = apart.filter("c <> core").select("sig", "rep", "n", "need", "c")
+        inner = apart.groupBy("sig", F.pmod(F.xxhash64("rep"), F.lit(blocks)).alias("block")).agg(
+            F.collect_list(F.struct("rep", "n", "need", "c")).alias("members"))
+        met = outer.join(inner, "sig").groupBy("rep", "n", "need", "c", "block").agg(F.flatten(F.collect_list("members")).alias("members"))
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = [np.empty((0, 4), dtype=np.int64)]
+                for i in range(len(batch)):
+                    rep, n, need, c = (batch.column(k)[i].as_py() for k in range(4))
+                    others = np.stack([batch.column(5)[i].values.field(k).to_numpy() for k in range(4)])
+                    fits = (others[3] != c) & (100 * np.minimum(others[1], n) >= percent * np.maximum(others[1], n))
+                    partners, at, times = np.unique(others[0, fits], return_index=True, return_counts=True)
+                    least = np.minimum(others[2, fits][at], need)
+                    out.append(np.stack([np.minimum(partners, rep), np.maximum(partners, rep), times, least], axis=1))
+                rows = np.concatenate(out)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(4)], names=["a", "b", "times", "need"])
+
+        pairs = met.select("rep", "n", "need", "c", "block", "members").mapInArrow(counted, "a long, b long, times long, need long")
+        # Either side counts the groups in whose core it is not; together they count every shared group at least once.
+        often = pairs.groupBy("a", "b").agg(F.sum("times").alias("times"), F.min("need").alias("need"))
         return often.filter("times >= need").select("a", "b")
 
 
@@ -340,7 +364,7 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, p
     apart = found.apart()
     for turn in range(turns):
         # Few enough to compare them all, in proportion to the groups.
-        if (apart.facts["pairs"] or 0) <= 2 * groups.facts["rows"]:
+        if (apart.facts["pairs"] or 0) <= groups.facts["rows"] // 64:
             break
         if not found.compare(found.by_pivot(apart, turn)):
             break
