@@ -18,7 +18,7 @@ from triledger.llm.tables import packed, release, saved
 
 MARGINS = ("source", "lang", "topic")
 WORD = r"[^\x20\x09-\x0D]+"
-TOLERANCE, ROUNDS = 1e-10, 200
+TOLERANCE, ROUNDS = 1e-10, 30
 
 
 def word_count(text: str) -> Column:
