@@ -9,9 +9,6 @@ def spark():
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
-        # The inputs are tiny: compiling a stage takes longer than running it.  The registered queries run compiled elsewhere.
-        .config("spark.sql.codegen.wholeStage", "false")
-        .config("spark.sql.codegen.factoryMode", "NO_CODEGEN")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )

@@ -59,7 +59,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], *, tolerance: float =
     sums = [target.join(cells.select(margin).distinct(), margin, "left_semi").agg(F.sum("share").cast("double").alias("s"))
             for margin, target in targets.items()]
     state = saved(state.select(
-        *cells.columns, "weight", *[F.coalesce(F.col(c) / s.select("s").scalar(), F.lit(0.0)).alias(c) for c, s in zip(there, sums, strict=True)],
+        *cells.columns, "weight", *[F.coalesce(F.try_divide(F.col(c), s.select("s").scalar()), F.lit(0.0)).alias(c) for c, s in zip(there, sums, strict=True)],
         F.lit(1.0).alias("off")))
     for _ in range(rounds):
         step, off = state, F.lit(0.0)
