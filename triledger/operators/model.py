@@ -75,9 +75,11 @@ def train_fold(coded: DataFrame, number: int, train_months: list[str], test_mont
     train = coded.filter(F.col("month").isin(train_months))
     position = F.array_position(F.array(*[F.lit(c) for c in CLASSES]), F.col("label")) - 1
     train = durable(train.join(balanced_weights(train).select("label", "weight"), "label").withColumn("class", position.cast("double")))
+    # All classes are named, whichever of them the earlier months have.
+    named = F.col("class").alias("class", metadata={"ml_attr": {"type": "nominal", "name": "class", "vals": list(CLASSES)}})
     forest = RandomForestClassifier(
         labelCol="class", weightCol="weight", numTrees=settings.rounds, maxDepth=settings.depth,
-        minInstancesPerNode=settings.leaf_rows, seed=settings.seed).fit(_vector().transform(train))
+        minInstancesPerNode=settings.leaf_rows, seed=settings.seed).fit(_vector().transform(train.withColumn("class", named)))
     scored = durable(_scored(coded.filter(F.col("month") == test_month), forest))
     return Fold(number, train_months, test_month, known_rows(train), forest, scored)
 
