@@ -82,6 +82,22 @@ def test_learned_terms_generalise(spark):
     assert without_toxic(none(spark), model).count() == 0 and scored(none(spark), model).count() == 0
 
 
+def test_misspellings_weigh_alike_whatever_the_size_of_the_sample(spark):
+    docs, labels = training(spark)
+    given = labels.collect()
+    weights = []
+    for copies in (1, 8):
+        # In each copy of the corpus, two clean rows have a word that is one edit from a term.
+        many = [(600 * k + i, f"{text} snackbar" if i in (1, 2) else text, *rest) for k in range(copies) for i, text, *rest in docs]
+        frame = spark.createDataFrame(many, "doc_id long, text string, lang string, source string, n_chars long")
+        model = learn(frame, spark.createDataFrame([(600 * k + i, 1, t) for k in range(copies) for i, _, t in given], labels.schema))
+        assert "snark" in model.terms
+        weights.append(dict(finds("a snurk walk".split(), model.lexicon())).get(1, 0))
+    assert all(0.5 * toxicity.MISSPELLED < w <= toxicity.MISSPELLED for w in weights)
+    lexicon = Lexicon(["idiot", "loser"], misspelled={"loser": 0.2})
+    assert finds("idiat losen loser".split(), lexicon) == [(0, toxicity.MISSPELLED), (1, 0.2), (2, 1.0)]
+
+
 def test_labels_of_the_held_out_quarter_are_not_used(spark):
     docs, labels = training(spark)
     frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")

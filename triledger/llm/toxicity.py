@@ -2,8 +2,9 @@
 
 The lexicon is learned from labelled documents: beginnings of words that occur in toxic documents and hardly elsewhere.  Words
 are matched with it up to a misspelling: the automaton of all words within the edit distance of a term runs over the trie of all
-terms at once.  Each find counts by its distance, and less between quotation marks; a document's finds, its densest window and
-their share of the words give its score.
+terms at once.  Each find counts by its distance, and less between quotation marks; a misspelled one also by how much oftener
+its term's misspellings occur in toxic rows than in clean ones.  A document's finds, its densest window and their share of the
+words give its score.
 """
 
 import re
@@ -24,8 +25,8 @@ SHORTEST, LONGEST, TERMS = 4, 12, 2_000
 # A term of fewer letters must be spelled right.
 MISSPELLED_FROM = 5
 MISSPELLED, QUOTED = 0.6, 0.25
-# In so many clean documents of the sample a misspelling means that the term has common neighbours.
-CLOSE = 3
+# The share of rows below which misspellings of a term say little about it.
+UNSURE = 0.01
 WINDOW, NEAR = 25, 8
 THRESHOLD = 0.3
 QUOTES = "\"“”„«»‹›「」"
@@ -35,8 +36,12 @@ _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 class Lexicon:
     """Terms as a trie; `find` tells how a word begins with one of them, up to one edit behind the first letter."""
 
-    def __init__(self, terms: list[str], spelled: frozenset[str] = frozenset(), remembered: int = 500_000):
-        """`spelled` are terms that must be spelled right, like those of fewer than MISSPELLED_FROM letters."""
+    def __init__(self, terms: list[str], spelled: frozenset[str] = frozenset(), remembered: int = 500_000,
+                 misspelled: dict[str, float] | None = None):
+        """`spelled` are terms that must be spelled right, like those of fewer than MISSPELLED_FROM letters.
+
+        `misspelled` has the weights of misspelled finds by term, MISSPELLED where it has none.
+        """
         self.terms: dict[int, str] = {}
         self.children: list[dict[str, int]] = [{}]
         self.allowed: list[int] = [-1]  # edits allowed at the end of a term
@@ -56,8 +61,9 @@ class Lexicon:
         self.found: list[int] = []
         self.moves: list[dict[str, int]] = []
         self.begin = self._state({(0, 0)})
-        self.words: dict[str, int] = {}
+        self.words: dict[str, float] = {}
         self.remembered = remembered
+        self.misspelled = misspelled or {}
 
     def _state(self, nodes: set) -> int:
         # A letter of the term may be missing in the word.
@@ -106,27 +112,31 @@ class Lexicon:
             out |= {self.terms[node] for node, e in self.members[state] if node in self.terms and e == 1 and self.allowed[node] == 1}
         return out
 
-    def find(self, token: str) -> int:
-        """As `edits`, for a token of a text; the last ones seen are remembered."""
+    def weight(self, token: str) -> float:
+        """Weight of a token of a text, 0 if it begins with no term; the last ones seen are remembered."""
         best = self.words.get(token)
         if best is None:
             if len(self.words) >= self.remembered:
                 self.words.clear()
-            best = self.words[token] = self.edits(_EDGE.sub("", token))
+            word = _EDGE.sub("", token)
+            edits = self.edits(word)
+            best = 1.0 if edits == 0 else 0.0
+            if edits == 1:
+                best = max(self.misspelled.get(t, MISSPELLED) for t in self.near(word))
+            self.words[token] = best
         return best
 
 
 def finds(tokens: list[str], lexicon: Lexicon) -> list[tuple[int, float]]:
     """Place and weight of every term: less if misspelled, less if a quotation opens before it and closes behind it."""
-    hits = {t: e for t in set(tokens) if (e := lexicon.find(t)) < 2}
+    hits = {t: w for t in set(tokens) if (w := lexicon.weight(t)) > 0}
     out = []
     for i, token in enumerate(tokens) if hits else ():
         if token in hits:
             before = sum(w.count(q) for w in tokens[max(0, i - NEAR):i] for q in QUOTES)
             before += sum(token[:len(token) - len(token.lstrip(QUOTES))].count(q) for q in QUOTES)
             behind = any(q in w for w in [token.lstrip(QUOTES), *tokens[i + 1:i + 1 + NEAR]] for q in QUOTES)
-            weight = 1.0 if hits[token] == 0 else MISSPELLED
-            out.append((i, weight * QUOTED if before % 2 and behind else weight))
+            out.append((i, hits[token] * QUOTED if before % 2 and behind else hits[token]))
     return out
 
 
@@ -142,9 +152,9 @@ def evidence(text: str | None, lexicon: Lexicon) -> tuple[float, float, float]:
     return float(np.log1p(sums[-1])), float(np.log1p(densest)), float(np.log1p(1000 * sums[-1] / len(tokens)))
 
 
-def evidence_of(text: str, terms: list[str], spelled: frozenset[str]) -> Column:
+def evidence_of(text: str, terms: list[str], misspelled: dict[str, float]) -> Column:
     def run(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        lexicon = Lexicon(terms, spelled)
+        lexicon = Lexicon(terms, misspelled=misspelled)
         for series in columns:
             yield pd.DataFrame([evidence(t, lexicon) for t in series], columns=["total", "densest", "share"])
 
@@ -154,15 +164,15 @@ def evidence_of(text: str, terms: list[str], spelled: frozenset[str]) -> Column:
 @dataclass(frozen=True)
 class Model:
     terms: list[str]
-    spelled: frozenset[str]
+    misspelled: dict[str, float]
     weights: list[float]
 
     def lexicon(self) -> Lexicon:
-        return Lexicon(self.terms, self.spelled)
+        return Lexicon(self.terms, misspelled=self.misspelled)
 
     def score(self, text: str) -> Column:
         """The probability of label 1 for a text column; a null or empty text has no finds."""
-        found = evidence_of(text, self.terms, self.spelled)
+        found = evidence_of(text, self.terms, self.misspelled)
         return F.get(F.transform(F.array(found), self._probability), F.lit(0))
 
     def _probability(self, e: Column) -> Column:
@@ -202,8 +212,11 @@ def _terms(sample: DataFrame) -> list[str]:
     return sorted(out)
 
 
-def _spelled(sample: DataFrame, terms: list[str]) -> frozenset[str]:
-    """Terms that other words of clean documents are too close to."""
+def _misspelled(sample: DataFrame, terms: list[str]) -> dict[str, float]:
+    """Weights of misspelled finds by term: the part of them in toxic rows that their rate in clean rows does not explain.
+
+    Only rates of the two kinds of rows count, so the weights do not depend on the size of the sample.
+    """
     def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         lexicon, seen = Lexicon(terms), {}
         for series in columns:
@@ -212,14 +225,21 @@ def _spelled(sample: DataFrame, terms: list[str]) -> frozenset[str]:
                 found = set()
                 for token in set((text or "").lower().split()):
                     if token not in seen:
-                        seen[token] = lexicon.near(_EDGE.sub("", token)) if lexicon.find(token) == 1 else ()
+                        word = _EDGE.sub("", token)
+                        seen[token] = lexicon.near(word) if lexicon.edits(word) == 1 else ()
                     found.update(seen[token])
-                out.append(sorted(found))
+                # Every row counts once under no term.
+                out.append(["", *sorted(found)])
             yield pd.Series(out)
 
-    close = sample.filter("_toxic = 0").select(F.explode(F.pandas_udf(run, "array<string>")("_text")).alias("term"))
-    # At most as many rows as there are terms.
-    return frozenset(r["term"] for r in close.groupBy("term").count().filter(F.col("count") >= CLOSE).collect())
+    near = sample.select("_toxic", F.explode(F.pandas_udf(run, "array<string>")("_text")).alias("term"))
+    # At most two rows for each term.
+    counts = {(r["term"], r["_toxic"]): r["count"] for r in near.groupBy("term", "_toxic").count().collect()}
+    out = {}
+    for term in terms:
+        clean, toxic = (counts.get((term, kind), 0) / max(1, counts.get(("", kind), 0)) for kind in (0, 1))
+        out[term] = MISSPELLED * (UNSURE + max(0.0, toxic - clean)) / (UNSURE + max(toxic, clean))
+    return out
 
 
 def _fitted(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> list[float]:
@@ -249,17 +269,17 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     sample = saved(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(known), "_id"))
     sample = sample.repartition(partitions(docs.sparkSession, 0, 1))
     terms = _terms(sample)
-    spelled = _spelled(sample, terms) if terms else frozenset()
+    misspelled = _misspelled(sample, terms) if terms else {}
     # At most `labelled` rows of four numbers, but for repeated ids.
-    rows = sample.select("_toxic", evidence_of("_text", terms, spelled).alias("e")).select("_toxic", "e.*").collect()
+    rows = sample.select("_toxic", evidence_of("_text", terms, misspelled).alias("e")).select("_toxic", "e.*").collect()
     if not rows:
-        return Model(terms, spelled, [0.0, 0.0, 0.0, 0.0])
+        return Model(terms, misspelled, [0.0, 0.0, 0.0, 0.0])
     data = np.array(rows, dtype=float)
     y = data[:, 0]
     if not terms:
         share = min(max(y.mean(), 1e-3), 1 - 1e-3)
-        return Model(terms, spelled, [log(share / (1 - share)), 0.0, 0.0, 0.0])
-    return Model(terms, spelled, _fitted(data[:, 1:], y))
+        return Model(terms, misspelled, [log(share / (1 - share)), 0.0, 0.0, 0.0])
+    return Model(terms, misspelled, _fitted(data[:, 1:], y))
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
