@@ -56,6 +56,28 @@ def test_prose_is_left_alone():
     assert scan("Released under the MIT", KNOWN) == [("MIT", 0.8, 0, 3)]
 
 
+def names(text):
+    return {f[0] for f in scan(text, KNOWN)}
+
+
+def test_other_licences_are_not_reported_under_a_wrong_name():
+    for text, wrong in (
+            ("Released under the BSD License.", "MIT"), ("Licensed under CC BY 4.0.", "CC-BY-NC-4.0"), ("Licensed under CC BY-SA 4.0.", "CC-BY-NC-4.0"),
+            ("Licensed under the Mozilla License, Version 2.0.", "Apache-2.0"), ("Licensed under the Apache License, Version 1.1.", "Apache-2.0"),
+            ("This work is licensed under the GNU General Public License, version 2.", "GPL-3.0"),
+            ("This work is licensed under the GNU Lesser General Public License, version 3.", "GPL-3.0")):
+        assert wrong not in names(text) and wrong not in names("some words " * 30 + text + " more words" * 30), text
+
+
+def test_versions_and_neighbours_do_not_hide_a_notice():
+    assert "GPL-3.0" in names("This work is licensed under the GNU General Public License, version 3.0")
+    assert "Apache-2.0" in names("Licensed under the Apache License, version 2")
+    for before in range(12):
+        text = "x " * before + "Released under the BSD License. Licensed under CC BY 4.0. Licensed under CC BY-NC 4.0. Released under the MIT License."
+        assert {"CC-BY-NC-4.0", "MIT"} <= names(text)
+        assert names("x " * before + "Licensed under CC BY-NC 4.0. " * 3) == {"CC-BY-NC-4.0"}
+
+
 def test_awkward_documents(spark):
     got = scanned(documents(spark, [(20, "x " * 50_000 + TEMPLATES["GPL-3.0"].upper(), None, None, 0)])).collect()
     assert len(got) == len(rows()) + 1

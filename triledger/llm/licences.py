@@ -2,10 +2,12 @@
 
 Words that occur once in both a stretch of text and a template are anchors; the longest increasing sequence of them aligns the
 two, and the gaps between anchors are aligned again by the words that are unique there.  The share of the template's words that
-get a partner is its coverage.  A text is looked at in stretches of twice the template's length that overlap by half, so a notice
+get a partner is its coverage.  The phrases that tell a licence from others (name, version, variant) must be aligned whole,
+whatever the coverage.  A text is looked at in stretches of twice the template's length that overlap by half, so a notice
 that stands several times is found each time, and the work is linear in the text.
 """
 
+import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 COVERAGE = 0.8
 _EDGES = ".,;:!?\"'()[]{}<>*#/-"
+_VERSION = re.compile(r"v?(\d+)(?:\.0)?")
 
 # Notices as they are commonly written.
 TEMPLATES = {
@@ -30,11 +33,32 @@ TEMPLATES = {
         "documentation files, to deal in the Software without restriction"),
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
 }
+# By template: phrases of it that no other licence has.
+REQUIRED = {
+    "Apache-2.0": ["Apache", "2.0"],
+    "Apache-2.0 header": ["Apache", "2.0"],
+    "GPL-3.0": ["GNU General Public License", "3"],
+    "MIT": ["MIT"],
+    "MIT grant": ["deal in the Software"],
+    "CC-BY-NC-4.0": ["CC BY-NC 4.0"],
+}
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-case words without punctuation around them."""
-    return [w for w in (t.strip(_EDGES) for t in text.lower().split()) if w]
+    """Lower-case words without punctuation around them; versions without a v before or a .0 behind."""
+    words = (w for t in text.lower().split() if (w := t.strip(_EDGES)))
+    return [m[1] if w[-1].isdigit() and (m := _VERSION.fullmatch(w)) else w for w in words]
+
+
+def places_of(phrases: list[str], template: list[str]) -> list[range]:
+    """Where the phrases stand in a template."""
+    out = []
+    for words in map(words_of, phrases):
+        at = [j for j in range(len(template) - len(words) + 1) if template[j:j + len(words)] == words]
+        if not words or not at:
+            raise ValueError(f"{' '.join(words)!r} is not in the template {' '.join(template)!r}")
+        out.append(range(at[0], at[0] + len(words)))
+    return out
 
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -78,23 +102,53 @@ def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def scan(text: str | None, templates: dict[str, list[str]], least: float = COVERAGE) -> list[tuple[str, float, int, int]]:
-    """(template, coverage, first word, last word) of every notice, at most one per stretch; touching finds are one."""
+def whole(pairs: list[tuple[int, int]], stretch: list[str], places: list[range]) -> bool:
+    """Whether all places of the template have partners in a row, but for the number or letter of a clause between them."""
+    partner = {j: i for i, j in pairs}
+
+    def adjoin(j: int) -> bool:
+        i, k = partner[j], partner[j + 1]
+        return k == i + 1 or k == i + 2 and len(stretch[i + 1]) == 1
+
+    return all(all(j in partner for j in p) and all(adjoin(j) for j in p[:-1]) for p in places)
+
+
+def scan(text: str | None, templates: dict[str, list[str]], least: float = COVERAGE,
+         required: dict[str, list[str]] | None = None) -> list[tuple[str, float, int, int]]:
+    """(template, coverage, first word, last word) of every notice, at most one per stretch; touching finds are one.
+
+    `required` has phrases by template, by default those of REQUIRED.
+    """
     words, out = words_of(text or ""), []
     known = set(words)
+    required = REQUIRED if required is None else required
     for name, template in templates.items():
         n = len(template)
         # A coverage needs so many of the template's words somewhere in the text.
         if not n or sum(w in known for w in template) < least * n:
             continue
+        places = places_of(required.get(name, []), template)
+        if any(template[j] not in known for p in places for j in p):
+            continue
+
+        def notice(begin: int, end: int) -> list[tuple[int, int]]:
+            stretch = words[begin:end]
+            pairs = aligned(stretch, template)
+            return [(begin + i, j) for i, j in pairs] if len(pairs) >= least * n and whole(pairs, stretch, places) else []
+
         found = []
         for begin in range(0, max(1, len(words) - n + 1), n):
             stretch = words[begin:begin + 2 * n]
             if sum((Counter(template) & Counter(stretch)).values()) < least * n:
                 continue
-            pairs = aligned(stretch, template)
-            if len(pairs) >= least * n:
-                first, last = begin + pairs[0][0], begin + pairs[-1][0]
+            pairs = notice(begin, begin + 2 * n)
+            if not pairs and places:
+                # Neighbouring notices share words, which are no anchors then: stretches of one length around the first phrase.
+                j = places[0][0]
+                starts = (max(0, i - j) for i, w in enumerate(stretch, begin) if w == template[j])
+                pairs = next((p for i in starts if (p := notice(i, i + n))), [])
+            if pairs:
+                first, last = pairs[0][0], pairs[-1][0]
                 if found and first <= found[-1][3]:
                     best = max(found.pop(), (name, len(pairs) / n, first, last), key=lambda f: f[1])
                     found.append(best)
@@ -105,17 +159,21 @@ def scan(text: str | None, templates: dict[str, list[str]], least: float = COVER
 
 
 def scanned(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, templates: dict[str, str] | None = None,
-            least: float = COVERAGE) -> DataFrame:
+            least: float = COVERAGE, required: dict[str, list[str]] | None = None) -> DataFrame:
     """doc_id and `notices` of every row: array of (name, coverage, first, last), places counted in words of the whole text.
 
     Null and empty texts and texts without notices get an empty array; repeated rows stay; other columns are not read.
+    `required` has phrases by template that must be there whole: those of REQUIRED with TEMPLATES, else none by default.
     """
     known = {name: words_of(t) for name, t in (templates or TEMPLATES).items()}
+    phrases = required if required is not None else {} if templates else REQUIRED
+    for name, template in known.items():
+        places_of(phrases.get(name, []), template)
     kind = pa.list_(pa.struct([("name", pa.string()), ("coverage", pa.float64()), ("first", pa.int64()), ("last", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[dict(zip(("name", "coverage", "first", "last"), f, strict=True)) for f in scan(t.as_py(), known, least)]
+            found = [[dict(zip(("name", "coverage", "first", "last"), f, strict=True)) for f in scan(t.as_py(), known, least, phrases)]
                      for t in batch.column("_text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], names=["doc_id", "notices"])
 
