@@ -1,6 +1,7 @@
 import random
 
 from tests.llm.cases import documents, none, rows
+from triledger.llm import licences
 from triledger.llm.licences import TEMPLATES, aligned, increasing, scan, scanned, words_of
 
 KNOWN = {name: words_of(t) for name, t in TEMPLATES.items()}
@@ -78,6 +79,42 @@ def test_versions_and_neighbours_do_not_hide_a_notice():
         assert names("x " * before + "Licensed under CC BY-NC 4.0. " * 3) == {"CC-BY-NC-4.0"}
 
 
+PUBLISHED = {
+    "BSD-3-Clause conditions": """Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+        following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright
+        holder nor the names of its contributors may be used to endorse or promote products derived from this software""",
+    "BSD-2-Clause conditions": """2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+        following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE
+        COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" """,
+    "ISC grant": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+        provided that the above copyright notice and this permission notice appear in all copies.""",
+    "MPL-2.0 header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+        distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "GPL-3.0 header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License
+        as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program
+        is distributed in the hope that it will be useful. See the GNU General Public License for more details.""",
+    "GPL-2.0 header": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License
+        as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.""",
+    "LGPL-2.1 header": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+        License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.""",
+    "GPL-3.0 title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "BSD": "Released under the BSD License.", "CC-BY-4.0": "Licensed under CC BY 4.0.", "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-NC-4.0 deed": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+}
+
+
+def test_published_notices_are_found_under_their_own_names(spark):
+    texts = [*PUBLISHED.items(), *licences.ALL.items(), ("", PUBLISHED["BSD-3-Clause conditions"].replace(
+        "3. Neither", "3. All advertising in print must name the makers. 4. Neither"))]
+    docs = documents(spark, [(100 + i, "one two three four " * 30 + t + " five six seven" * 30, None, None, 0) for i, (_, t) in enumerate(texts)])
+    got = {r["doc_id"]: {n["name"] for n in r["notices"]} for r in scanned(docs).collect() if (r["doc_id"] or 0) >= 100}
+    for i, (name, _) in enumerate(texts):
+        also = {"Apache-2.0"} if name == "Apache-2.0 header" else set()
+        assert got[100 + i] == ({name} if name else set()) | also, name
+    assert set(licences.REQUIRED) == set(licences.ALL)
+
+
 def test_awkward_documents(spark):
     got = scanned(documents(spark, [(20, "x " * 50_000 + TEMPLATES["GPL-3.0"].upper(), None, None, 0)])).collect()
     assert len(got) == len(rows()) + 1

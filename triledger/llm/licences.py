@@ -33,6 +33,51 @@ TEMPLATES = {
         "documentation files, to deal in the Software without restriction"),
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
 }
+# Further notices, headers and beginnings of full texts, as the licences' stewards publish them.
+MORE = {
+    "Apache-2.0 title": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "BSD-2-Clause": "Released under the BSD 2-Clause License.",
+    "BSD-3-Clause": "Released under the BSD 3-Clause License.",
+    "BSD": "Released under the BSD License.",
+    "BSD-2-Clause conditions": (
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+        "in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY"),
+    "BSD-3-Clause conditions": (
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+        "in the documentation and/or other materials provided with the distribution. Neither the name of"),
+    "BSD-4-Clause conditions": (
+        "All advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    "ISC": "Released under the ISC License.",
+    "ISC grant": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies"),
+    "MPL-2.0": "Licensed under the Mozilla Public License, Version 2.0.",
+    "MPL-2.0 header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+        "with this file, You can obtain one at"),
+    "MPL-2.0 title": "Mozilla Public License Version 2.0 1. Definitions",
+    **{f"{short}-{version}.0": f"This work is licensed under the GNU {name} General Public License, version {version}."
+       for short, name, version in (("GPL", "", 2), ("LGPL", "Lesser", 3), ("AGPL", "Affero", 3))},
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    **{f"{name} header": (
+        "is free software; you can redistribute it and/or modify it under the terms of the "
+        f"GNU {kind} General Public License as published by the Free Software Foundation, either version {version} of the License")
+       for name, kind, version in (("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.1", "Lesser", "2.1"), ("LGPL-3.0", "Lesser", "3"),
+                                   ("AGPL-3.0", "Affero", "3"))},
+    **{f"GPL-{version}.0 header, one version": (
+        f"under the terms of the GNU General Public License version {version} as published by the Free Software Foundation") for version in (2, 3)},
+    **{f"{name} title": f"GNU {kind} GENERAL PUBLIC LICENSE Version {version}, {date} Copyright (C)"
+       for name, kind, version, date in (("GPL-2.0", "", "2", "June 1991"), ("GPL-3.0", "", "3", "29 June 2007"), (
+           "LGPL-2.1", "LESSER", "2.1", "February 1999"), ("LGPL-3.0", "LESSER", "3", "29 June 2007"), ("AGPL-3.0", "AFFERO", "3", "19 November 2007"))},
+    **{f"CC-{kind}-4.0": f"Licensed under CC {kind} 4.0." for kind in ("BY", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND")},
+    **{f"CC-{kind}-4.0 deed": f"This work is licensed under a Creative Commons {name} 4.0 International License."
+       for kind, name in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"),
+                          ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+                          ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))},
+    "CC0-1.0": "Released under CC0 1.0 Universal.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+}
+ALL = {**TEMPLATES, **MORE}
 # By template: phrases of it that no other licence has.
 REQUIRED = {
     "Apache-2.0": ["Apache", "2.0"],
@@ -41,6 +86,29 @@ REQUIRED = {
     "MIT": ["MIT"],
     "MIT grant": ["deal in the Software"],
     "CC-BY-NC-4.0": ["CC BY-NC 4.0"],
+    "Apache-2.0 title": ["Apache License", "2.0"],
+    "BSD-2-Clause": ["BSD 2-Clause"],
+    "BSD-3-Clause": ["BSD 3-Clause"],
+    "BSD": ["BSD License"],
+    "BSD-2-Clause conditions": ["the distribution. THIS SOFTWARE"],
+    "BSD-3-Clause conditions": ["the distribution. Neither the name"],
+    "BSD-4-Clause conditions": ["advertising materials"],
+    "ISC": ["ISC"],
+    "ISC grant": ["for any purpose with or without fee"],
+    "MPL-2.0": ["Mozilla Public License", "2.0"],
+    "MPL-2.0 header": ["Mozilla Public License", "2.0"],
+    "MPL-2.0 title": ["Mozilla Public License", "2.0"],
+    **{f"{name}{form}": [f"GNU {kind} General Public License", version]
+       for name, kind, version in (("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.1", "Lesser", "2.1"), ("LGPL-3.0", "Lesser", "3"),
+                                   ("AGPL-3.0", "Affero", "3")) for form in ("", " header", " title")},
+    **{f"GPL-{version}.0 header, one version": [f"GNU General Public License version {version}"] for version in (2, 3)},
+    **{f"CC-{kind}-4.0": [f"CC {kind} 4.0"] for kind in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND")},
+    **{f"CC-{kind}-4.0 deed": [f"Creative Commons {name} 4.0"]
+       for kind, name in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"),
+                          ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+                          ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))},
+    "CC0-1.0": ["CC0 1.0"],
+    "Unlicense": ["free and unencumbered software"],
 }
 
 
@@ -163,9 +231,9 @@ def scanned(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, temp
     """doc_id and `notices` of every row: array of (name, coverage, first, last), places counted in words of the whole text.
 
     Null and empty texts and texts without notices get an empty array; repeated rows stay; other columns are not read.
-    `required` has phrases by template that must be there whole: those of REQUIRED with TEMPLATES, else none by default.
+    `required` has phrases by template that must be there whole: those of REQUIRED with the notices of ALL, else none by default.
     """
-    known = {name: words_of(t) for name, t in (templates or TEMPLATES).items()}
+    known = {name: words_of(t) for name, t in (templates or ALL).items()}
     phrases = required if required is not None else {} if templates else REQUIRED
     for name, template in known.items():
         places_of(phrases.get(name, []), template)
