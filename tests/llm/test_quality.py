@@ -118,3 +118,19 @@ def test_awkward_documents(spark):
     words = " ".join(f"w{i}" for i in range(40))
     alone = documents(spark, [(70, words, None, None, 0), (71, words, None, "z", 0)]).filter("doc_id >= 70")
     assert all(r["kept"] for r in quality.judged(alone.withColumn("x0", F.lit("own"))).collect())
+
+
+def test_estimates_of_a_group_do_not_depend_on_other_groups(spark):
+    rng = random.Random(5)
+    rows = []
+    for g in range(60):
+        size = 400 if g == 0 else 25
+        for i in range(size):
+            far = 3.0 if g == 0 and i % 10 < 2 else 0.0
+            rows.append(("=en", f"={g}", *[rng.gauss(far, 1.0) * (1 + k) for k in range(quality.P)]))
+    frame = spark.createDataFrame(rows, "_lang string, _source string, x0 double, x1 double, x2 double, x3 double").cache()
+    together = {r["_source"]: r["log_det"] for r in quality.mcd(frame).collect()}
+    assert len(together) == 60
+    for source in ("=0", "=7", "=23"):
+        alone = quality.mcd(frame.filter(F.col("_source") == source)).first()["log_det"]
+        assert abs(together[source] - alone) < 1e-4

@@ -2,7 +2,7 @@
 
 Four statistics of each document are transformed to a common scale.  For each language and source the minimum covariance
 determinant estimate is found by concentration steps (Rousseeuw and Van Driessen): the three quarters of the documents with the
-smallest Mahalanobis distances give the next mean and covariance, until the determinant settles; of two starts (all documents;
+smallest Mahalanobis distances give the next mean and covariance, until each group's determinant settles; of two starts (all documents;
 medians and quartiles) the smaller determinant wins.  Documents beyond the cutoff distance are rejected.
 
 A step is one pass over a narrow table: sums of products per group and distance bin, added up before the shuffle; running
@@ -176,20 +176,25 @@ def _concentrated(rows: DataFrame, estimates: DataFrame, share: float) -> DataFr
 
 def mcd(rows: DataFrame, *, share: float = SHARE) -> DataFrame:
     """Per group the mean m_i, inverse factor r_ij and log_det of the minimum covariance determinant estimate."""
-    state = saved(_factored(_starts(rows)), total=F.sum("log_det"))
+    keys = [*GROUP, "start"]
+    state = saved(_factored(_starts(rows)).withColumn("moving", F.lit(True)))
+    own = [c for c in state.columns if c not in (*keys, "moving")]
     for _ in range(STEPS):
-        step = saved(_factored(_concentrated(rows, state, share)), total=F.sum("log_det"))
-        gain = (state.facts["total"] or 0.0) - (step.facts["total"] or 0.0)
+        # A settled estimate would only be stepped to the same again.
+        new = _factored(_concentrated(rows, state.filter("moving"), share)).select(*keys, F.struct(*own).alias("_new"))
         # Determinants fall until the closest documents stay the same; distance bins let them rise a little at the end.
-        if gain <= 0:
-            release(step)
-            break
+        better = F.coalesce(F.col("_new.log_det") < F.col("log_det"), F.lit(False))
+        gained = F.col("log_det") - F.col("_new.log_det") > SETTLED * F.greatest(F.abs("log_det"), F.lit(1.0))
+        step = saved(
+            state.join(new, keys, "left").select(
+                *keys, *[F.when(better, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in own], (better & gained).alias("moving")),
+            moving=F.count_if("moving"))
         release(state)
         state = step
-        if gain <= SETTLED * abs(state.facts["total"]):
+        if not state.facts["moving"]:
             break
     best = Window.partitionBy(*GROUP).orderBy("log_det", "start")
-    return state.withColumn("_best", F.row_number().over(best)).filter("_best = 1").drop("_best", "start")
+    return state.withColumn("_best", F.row_number().over(best)).filter("_best = 1").drop("_best", "start", "moving")
 
 
 def judged(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", source: str = "source", *,
