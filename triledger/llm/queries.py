@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triledger.llm import bpe, chat, licences, mixing, ngram_join, token_edits, toxicity
+from triledger.llm import bpe, chat, licences, merkle, mixing, ngram_join, token_edits, toxicity
 from triledger.llm.exact_dedup import exact_groups
 from triledger.llm.quality import judged
 from triledger.llm.tables import plain_reads
@@ -218,3 +218,84 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
     sum(chars)::bigint as formatted_chars
 from escaped group by conv_id
 """
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def tampered_leaf():
+    """The leaf of a document whose text was lower-cased by someone; null for documents that nobody touched."""
+    text = F.translate("text", UPPER, LOWER)
+    return F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0,
+                  merkle.digest(*[text if f == "text" else F.col(f) for f in merkle.FIELDS]))
+
+
+def verified_manifest(found: DataFrame) -> DataFrame:
+    """The manifest with the digest of each witness, and what the leaf at hand folds to."""
+    at_hand = F.coalesce(F.lower(F.hex("carried")), "leaf")
+    rows = found.select("doc_id", "leaf", "subroot", "root", merkle.witness_digest(F.col("witness")).alias("proof_sha256"),
+                        merkle.folded(at_hand, F.col("witness")).alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return verified_manifest(merkle.manifest(table(spark, folder, "documents"), carried=tampered_leaf()))
+
+
+def _framed(value: str) -> str:
+    return f"coalesce(strlen(cast({value} as varchar)) || ':' || cast({value} as varchar), '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(_framed(text if f == 'text' else f) for f in merkle.FIELDS)})"
+
+
+_BIT = "lambda c, j: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end"
+ORACLE["op11_merkle_manifest"] = f"""
+with recursive base as (
+    select doc_id, coalesce('=' || source, '') as grp, {_leaf('text')} as leaf,
+           case when doc_id is not null and xor(4294967295, list_reduce(
+                    list_transform(string_split(cast(doc_id as varchar), ''), lambda c: cast(ascii(c) as bigint)),
+                    lambda crc, b: list_reduce(range(8), {_BIT}, xor(crc, b)), 4294967295)) % 5 = 0
+                then {_leaf(f"translate(text, '{UPPER}', '{LOWER}')")} end as forged
+    from documents),
+leaves as (
+    select *, row_number() over (partition by grp order by doc_id nulls first, leaf) - 1 as pos,
+           count(*) over (partition by grp) as n from base),
+inner_nodes as (
+    select grp, 0 as level, pos, leaf as node, n from leaves
+    union all
+    select grp, level + 1, pos // 16, sha256(string_agg(node, '' order by pos)), any_value((n + 15) // 16)
+    from inner_nodes where n > 1 group by grp, level, pos // 16),
+subroots as (select grp, node as subroot, row_number() over (order by grp) - 1 as pos, count(*) over () as n from inner_nodes where n = 1),
+outer_nodes as (
+    select 0 as level, pos, subroot as node, n from subroots
+    union all
+    select level + 1, pos // 16, sha256(string_agg(node, '' order by pos)), any_value((n + 15) // 16)
+    from outer_nodes where n > 1 group by level, pos // 16),
+inner_steps as (
+    select a.grp, a.level, a.pos, coalesce(string_agg(b.node, '' order by b.pos) filter (b.pos < a.pos), '') as l,
+           coalesce(string_agg(b.node, '' order by b.pos) filter (b.pos > a.pos), '') as r
+    from inner_nodes a join inner_nodes b on a.grp = b.grp and a.level = b.level and a.pos // 16 = b.pos // 16
+    where a.n > 1 group by a.grp, a.level, a.pos),
+outer_steps as (
+    select a.level, a.pos, coalesce(string_agg(b.node, '' order by b.pos) filter (b.pos < a.pos), '') as l,
+           coalesce(string_agg(b.node, '' order by b.pos) filter (b.pos > a.pos), '') as r
+    from outer_nodes a join outer_nodes b on a.level = b.level and a.pos // 16 = b.pos // 16
+    where a.n > 1 group by a.level, a.pos),
+steps as (
+    select x.grp, x.pos, 0 as part, s.level, s.l, s.r
+    from leaves x join inner_steps s on s.grp = x.grp and s.pos = x.pos // cast(pow(16, s.level) as bigint)
+    union all
+    select x.grp, x.pos, 1, s.level, s.l, s.r
+    from leaves x join subroots g on x.grp = g.grp join outer_steps s on s.pos = g.pos // cast(pow(16, s.level) as bigint)),
+proofs as (select grp, pos, string_agg(l || r, '' order by part, level) as proof, list(l || ',' || r order by part, level) as steps
+    from steps group by grp, pos),
+done as (
+    select x.doc_id, x.leaf, g.subroot, (select node from outer_nodes where n = 1) as root, sha256(coalesce(proof, '')) as proof_sha256,
+        list_reduce(coalesce(steps, []), lambda node, s: sha256(split_part(s, ',', 1) || node || split_part(s, ',', 2)), coalesce(forged, leaf))
+            as folded_root
+    from leaves x join subroots g on x.grp = g.grp left join proofs p on x.grp = p.grp and x.pos = p.pos)
+select *, folded_root = root as verified from done
+"""
