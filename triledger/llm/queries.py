@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triledger.llm import bpe, chat, licences, merkle, mixing, ngram_join, token_edits, toxicity
+from triledger.llm import bpe, chat, decontaminate, licences, merkle, mixing, ngram_join, token_edits, toxicity
 from triledger.llm.exact_dedup import exact_groups
 from triledger.llm.quality import judged
 from triledger.llm.tables import plain_reads
@@ -299,3 +299,27 @@ done as (
     from leaves x join subroots g on x.grp = g.grp left join proofs p on x.grp = p.grp and x.pos = p.pos)
 select *, folded_root = root as verified from done
 """
+
+
+@query
+def op13_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.judged(decontaminate.scan(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+
+
+_SPELLED = rf"""regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+ORACLE["op13_decontamination"] = f"""
+with items as (select item_id, {_SPELLED} as w from benchmark),
+windows as (
+    select distinct coalesce(cast(item_id as varchar), '') as item, least(len(w), {decontaminate.WINDOW}) as n,
+           array_to_string(w[i:i + {decontaminate.WINDOW - 1}], ' ') as pattern
+    from (select item_id, w, unnest(generate_series(1, greatest(len(w) - {decontaminate.WINDOW - 1}, 1))) as i from items where len(w) > 0)),
+docs as (select doc_id, row_number() over () as row, {_SPELLED} as w from documents),
+places as (select row, n, i, array_to_string(w[i:i + n - 1], ' ') as pattern
+    from (select row, w, n, unnest(generate_series(1, len(w) - n + 1)) as i from docs, (select distinct n from windows) where len(w) >= n)),
+found as (select row, p.n, i, item from places p join windows v on p.n = v.n and p.pattern = v.pattern),
+hits as (select row, count(distinct place) as n_hit from (select row, unnest(generate_series(i, i + n - 1)) as place from found) group by row),
+named as (select row, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct row, item from found) group by row)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 as contaminated
+from docs left join hits using (row) left join named using (row)
+"""
