@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triledger.llm import bpe, chat, decontaminate, licences, merkle, mixing, ngram_join, token_edits, toxicity
+from triledger.llm import bpe, chat, collocations, decontaminate, licences, merkle, mixing, ngram_join, token_edits, toxicity
 from triledger.llm.exact_dedup import exact_groups
 from triledger.llm.quality import judged
 from triledger.llm.tables import plain_reads
@@ -323,3 +323,35 @@ select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items,
        coalesce(n_hit, 0) > 0 as contaminated
 from docs left join hits using (row) left join named using (row)
 """
+
+
+@query
+def op12_phrase_collocation(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.top(collocations.scored(table(spark, folder, "documents")))
+
+
+ORACLE["op12_phrase_collocation"] = rf"""
+with pieces as (
+    select coalesce(lang, 'und') as lang,
+           unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+words as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+totals as (select lang, sum(len(w)) as n from words group by lang),
+grams as (
+    select lang, w[i:i + k - 1] as w
+    from (select lang, w, k, unnest(generate_series(1, len(w) - k + 1)) as i from words, range(1, 5) s(k) where len(w) >= k)),
+counts as (select lang, w, count(*) as f from grams group by all),
+candidates as (select lang, w, f as a from counts where len(w) > 1 and f >= 30),
+cuts as (
+    select c.lang, c.w, a, k, l.f as l, r.f as r, (2000000::hugeint * a) // (l.f + r.f) as score
+    from (select *, unnest(generate_series(1, len(w) - 1)) as k from candidates) c
+    join counts l on l.lang = c.lang and l.w = c.w[1:k] join counts r on r.lang = c.lang and r.w = c.w[k + 1:]),
+best as (select * from cuts qualify row_number() over (partition by lang, w order by score, k) = 1),
+inside as (
+    select lang, w[i:i + k - 1] as w, max(a) as longer
+    from (select lang, w, a, k, unnest(generate_series(1, len(w) - k + 1)) as i from candidates, range(2, 4) s(k) where len(w) > k) group by all),
+kept as (
+    select b.lang, array_to_string(b.w, ' ') as phrase, a, l, r, n, score
+    from best b join totals using (lang) left join inside i on i.lang = b.lang and i.w = b.w where coalesce(100 * longer < 80 * a, true)),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n::bigint as n, score::bigint as score from ranked where rank <= 2000
+"""
