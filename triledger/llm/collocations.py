@@ -258,7 +258,8 @@ def _passed(stream: DataFrame, longest: int) -> DataFrame:
                 still.append(i)
                 least = i
             rest = batch.take(pa.array(still, pa.int64()))
-            held = rest.set_column(rest.schema.get_field_index("own"), "own", pa.array([False] * len(still), pa.bool_()))
+            own = batch.schema.get_field_index("own")
+            held = rest.set_column(own, batch.schema.field(own), pa.array([False] * len(still)))
 
     kinds = ", ".join(f"p{k} long" for k in shorter)
     return stream.mapInArrow(run, f"lang string, key string, own boolean, size int, f long, {kinds}, ext long")
