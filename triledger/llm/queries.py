@@ -332,19 +332,28 @@ def op12_phrase_collocation(spark: SparkSession, folder: str) -> DataFrame:
 
 ORACLE["op12_phrase_collocation"] = rf"""
 with pieces as (
-    select coalesce(lang, 'und') as lang,
-           unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
-words as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
-totals as (select lang, sum(len(w)) as n from words group by lang),
+    select row_number() over () as id, lang, regexp_extract_all(piece, '[^\x20\x09]+') as w
+    from (select coalesce(lang, 'und') as lang,
+                 unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) as piece from documents)),
+words as (select id, lang, unnest(w) as w1, unnest(generate_series(1, len(w))) as pos from pieces),
+totals as (select lang, count(*) as n from words group by lang),
+following as (
+    select lang, w1, lead(w1, 1) over p as w2, lead(w1, 2) over p as w3, lead(w1, 3) over p as w4 from words
+    window p as (partition by id order by pos)),
 grams as (
-    select lang, w[i:i + k - 1] as w
-    from (select lang, w, k, unnest(generate_series(1, len(w) - k + 1)) as i from words, range(1, 5) s(k) where len(w) >= k)),
-counts as (select lang, w, count(*) as f from grams group by all),
-candidates as (select lang, w, f as a from counts where len(w) > 1 and f >= 30),
+    select lang, w1 as phrase from following
+    union all select lang, w1 || ' ' || w2 from following where w2 is not null
+    union all select lang, w1 || ' ' || w2 || ' ' || w3 from following where w3 is not null
+    union all select lang, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 from following where w4 is not null),
+counts as materialized (select lang, phrase, count(*) as f from grams group by all),
+candidates as (select lang, phrase, string_split(phrase, ' ') as w, f as a from counts where f >= 30 and contains(phrase, ' ')),
+split as materialized (
+    select lang, w, a, k, array_to_string(w[1:k], ' ') as first, array_to_string(w[k + 1:], ' ') as rest
+    from (select *, unnest(generate_series(1, len(w) - 1)) as k from candidates)),
+parts as materialized (select * from counts where f >= 30),
 cuts as (
     select c.lang, c.w, a, k, l.f as l, r.f as r, (2000000::hugeint * a) // (l.f + r.f) as score
-    from (select *, unnest(generate_series(1, len(w) - 1)) as k from candidates) c
-    join counts l on l.lang = c.lang and l.w = c.w[1:k] join counts r on r.lang = c.lang and r.w = c.w[k + 1:]),
+    from split c join parts l on l.lang = c.lang and l.phrase = c.first join parts r on r.lang = c.lang and r.phrase = c.rest),
 best as (select * from cuts qualify row_number() over (partition by lang, w order by score, k) = 1),
 inside as (
     select lang, w[i:i + k - 1] as w, max(a) as longer
