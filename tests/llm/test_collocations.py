@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tests.llm.cases import documents, none, rows
-from triledger.llm.collocations import phrases_of, scored, top
+from triledger.llm.collocations import hashed_phrases, phrases_of, scored, top
 
 
 def brute(docs, least, longest=4, part=80):
@@ -71,14 +71,16 @@ def test_ranges_and_batches(spark):
 def test_a_full_bitmap_loses_nothing():
     full = [np.full(64, 2 ** 64 - 1, dtype=np.uint64)] * 3
     said = [t for _, t, *_ in texts(3)]
+    found = {n: (phrases, counts) for n, phrases, counts in phrases_of(said, "en", full)}
     for size in (1, 2, 3, 4):
-        phrases, counts, _, _ = phrases_of(said, "en", size, full)
         wanted = Counter()
         for text in said:
             for piece in re.split("[.,;:!?\\x0A-\\x0D]", text.replace("A", "a")):
                 words = [w.replace("\x01", "\x01\x02").replace("\x00", "\x01\x01") for w in re.findall("[^\\x20\\x09]+", piece)]
                 wanted.update("\x00".join(words[i:i + size]) for i in range(len(words) - size + 1))
+        phrases, counts = found[size]
         assert dict(zip([p.decode() for p in phrases.to_pylist()], counts.tolist(), strict=True)) == dict(wanted)
+        assert sorted(hashed_phrases(said, "en", full[:size - 1])[1]) == sorted(wanted.values())
 
 
 def test_top(spark):

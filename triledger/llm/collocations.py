@@ -1,8 +1,8 @@
 """Phrases that occur together oftener than their parts suggest, by sorted count streams.
 
-Phrases of one to four words are counted length by length.  A phrase can only be frequent if the one without its last word and
-the one without its first word are; so a phrase is counted only where a bitmap of the frequent shorter ones lets both through.
-The bitmap is bounded: when it is full it spares less counting, but never a frequent phrase.
+A phrase can only be frequent if the one without its last word and the one without its first word are.  So phrases are counted
+length by length, by hashes first, only where a bitmap of the frequent shorter ones lets both through; in the end those that all
+bitmaps let through are counted themselves.  The bitmaps are bounded: a full one spares less counting, but never loses a phrase.
 
 The counts of all lengths then make one stream in prefix order and one in suffix order (words reversed).  In prefix order a
 phrase stands behind all its beginnings and before all its extensions to the right, so one pass that holds the last count of
@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from triledger.llm.tables import partitions, saved
+from triledger.llm.tables import partitions, release, saved
 
 LONGEST, FREQUENT, TOP = 4, 30, 2_000
 # An extension with this percentage of a phrase's count makes the phrase part of it.
@@ -32,6 +32,7 @@ SCALE = 2_000_000
 UNKNOWN = "und"
 # Bytes of text that a task counts before it hands counts on.
 PIECE = 16 << 20
+BATCH = 100_000
 BITS_MOST = 1 << 27
 # Phrases in one range of a stream, and sampled phrases a range for its borders; ranges at most.
 RANGE, SAMPLED, RANGES_MOST = 200_000, 32, 4_096
@@ -73,79 +74,111 @@ def _held(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
-def phrases_of(texts: list[str | None], lang: str, size: int, known: list[np.ndarray]) -> tuple[pa.Array, np.ndarray, np.ndarray, int]:
-    """Phrases of `size` words, their counts and hashes, and the number of all words.
+def _unique(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct value comes first, and how often it comes."""
+    number, distinct = pd.factorize(values)
+    first = np.empty(len(distinct), dtype=np.int64)
+    first[number[::-1]] = np.arange(len(values) - 1, -1, -1)
+    return first, np.bincount(number, minlength=len(distinct))
 
-    `known` are the bitmaps of the frequent phrases of 1 to size - 1 words.
+
+def levels(distinct: pa.Array, code: np.ndarray, piece: np.ndarray, lang: str, known: list[np.ndarray], longest: int,
+           exact: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each number of words, where the phrases begin that `known` lets through, their hashes, and a key of each distinct one.
+
+    `known` are the bitmaps of the frequent phrases of one word, two words and so on.  Keys are made if `exact`.
     """
-    distinct, code, piece = words_of(texts)
-    total = len(code)
-    salt = pd.util.hash_array(np.array([lang], dtype=object), categorize=False).astype(np.uint64)[0]
     spelled = np.empty(len(distinct), dtype=object)
     spelled[:] = distinct.to_pylist()
-    own = _mix(pd.util.hash_array(spelled, categorize=False).astype(np.uint64) ^ salt) if len(spelled) else np.empty(0, np.uint64)
-    if not total:
-        return pa.array([], pa.large_binary()), np.empty(0, np.int64), own, 0
-    if size == 1:
-        return distinct, np.bincount(code, minlength=len(distinct)), own, total
-    # Where a phrase of so many words begins, the key of its distinct phrase and its hash; first those of one word.
-    at, key, hashes = np.arange(total), code, own[code]
-    width = len(distinct)
-    for n in range(2, size + 1):
+    salt = pd.util.hash_array(np.array([lang], dtype=object), categorize=False).astype(np.uint64)[0]
+    own = _mix(pd.util.hash_array(spelled, categorize=False).astype(np.uint64) ^ salt)
+    at, key, hashes = np.arange(len(code)), code, own[code]
+    yield at, hashes, key
+    for n in range(2, longest + 1):
         frequent = _held(known[n - 2], hashes)
-        place = np.full(total + 1, -1, dtype=np.int64)
+        place = np.full(len(code) + 1, -1, dtype=np.int64)
         place[at[frequent]] = np.flatnonzero(frequent)
         # The phrase without its last word begins here, the one without its first word a word later.
-        starts = np.flatnonzero((place[:-1] >= 0) & (place[1:] >= 0))
-        starts = starts[starts + n <= total]
-        starts = starts[piece[starts] == piece[starts + n - 1]]
-        shorter = place[starts]
-        last = code[starts + n - 1]
+        at = np.flatnonzero((place[:-1] >= 0) & (place[1:] >= 0))
+        at = at[at + n <= len(code)]
+        at = at[piece[at] == piece[at + n - 1]]
+        shorter, last = place[at], code[at + n - 1]
         hashes = _mix(hashes[shorter] * _B + own[last])
-        # Keys stay small: distinct phrases are numbered before the next word joins.
-        number = np.unique(key[shorter], return_inverse=True)[1] if n > 2 else key[shorter]
-        at, key = starts, number * width + last
-    chosen, first, counts = np.unique(key, return_index=True, return_counts=True)
-    begin = at[first]
-    parts = [distinct.take(pa.array(code[begin + j])) for j in range(size)]
-    phrases = pc.binary_join_element_wise(*parts, pa.scalar(b"\x00", pa.large_binary())) if len(chosen) else pa.array([], pa.large_binary())
-    return phrases, counts, hashes[first], total
-
-
-def _counted(rows: DataFrame, size: int, known) -> DataFrame:
-    """lang, phrase (null for all words of the language), f and h, counted piece by piece."""
+        if exact:
+            # Keys stay small: distinct phrases are numbered before the next word joins.
+            key = (pd.factorize(key[shorter])[0] if n > 2 else key[shorter]) * len(distinct) + last
+        yield at, hashes, key
+
+
+def hashed_phrases(texts: list[str | None], lang: str, known: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the phrases that are longer by a word than those of the last bitmap."""
+    distinct, code, piece = words_of(texts)
+    if not len(code):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    for _, hashes, _ in levels(distinct, code, piece, lang, known, len(known) + 1, False):
+        pass
+    first, counts = _unique(hashes)
+    return hashes[first], counts
+
+
+def phrases_of(texts: list[str | None], lang: str, known: list[np.ndarray]) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """Number of words, phrases and counts of what the bitmaps let through; phrases longer than those of the last one unjudged.
+
+    With 0 words come no phrase and the number of all words.
+    """
+    distinct, code, piece = words_of(texts)
+    if not len(code):
+        return
+    yield 0, pa.nulls(1, pa.large_binary()), np.array([len(code)])
+    for n, (at, hashes, key) in enumerate(levels(distinct, code, piece, lang, known, len(known) + 1, True), 1):
+        if n <= len(known):
+            frequent = _held(known[n - 1], hashes)
+            at, key = at[frequent], key[frequent]
+        if len(at):
+            first, counts = _unique(key)
+            words = [distinct.take(pa.array(code[at[first] + j])) for j in range(n)]
+            yield n, words[0] if n == 1 else pc.binary_join_element_wise(*words, pa.scalar(b"\x00", pa.large_binary())), counts
+
+
+def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str | None]]]:
+    """Texts of one language, in pieces of a bounded size."""
+    held: dict[str, list] = {}
+    size = 0
+    for batch in batches:
+        for text, lang in zip(batch.column("_text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+            held.setdefault(lang, []).append(text)
+            size += len(text or "") + 1
+            if size >= PIECE:
+                yield from held.items()
+                held, size = {}, 0
+    yield from held.items()
+
+
+def _hash_counts(rows: DataFrame, known) -> DataFrame:
+    """h and f of the phrases longer by a word than the bitmaps', counted piece by piece."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = [k.value for k in known]
+        for lang, texts in _by_language(batches):
+            hashes, counts = hashed_phrases(texts, lang, bits)
+            for i in range(0, len(hashes), BATCH):
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[i:i + BATCH].view(np.int64)), pa.array(counts[i:i + BATCH])], names=["h", "f"])
 
-        def counted(texts: list[str | None], langs: list[str]) -> Iterator[pa.RecordBatch]:
-            by_lang: dict[str, list] = {}
-            for text, lang in zip(texts, langs, strict=True):
-                by_lang.setdefault(lang, []).append(text)
-            for lang, own in by_lang.items():
-                phrases, counts, hashes, total = phrases_of(own, lang, size, bits)
-                more = size == 1 and total > 0
-                phrases = pa.concat_arrays([phrases.cast(pa.string()), pa.array([None] if more else [], pa.string())])
-                counts = np.concatenate([counts.astype(np.int64), np.full(int(more), total, np.int64)])
-                hashes = np.concatenate([hashes.view(np.int64), np.zeros(int(more), np.int64)])
-                for i in range(0, len(phrases), 100_000):
-                    part = phrases.slice(i, 100_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(part), pa.string()), part, pa.array(counts[i:i + 100_000]), pa.array(hashes[i:i + 100_000])],
-                        names=["lang", "phrase", "f", "h"])
+    return rows.mapInArrow(run, "h long, f long")
 
-        texts, langs, held = [], [], 0
-        for batch in batches:
-            for text, lang in zip(batch.column("_text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                texts.append(text)
-                langs.append(lang)
-                held += len(text or "") + 1
-                if held >= PIECE:
-                    yield from counted(texts, langs)
-                    texts, langs, held = [], [], 0
-        if texts:
-            yield from counted(texts, langs)
 
-    return rows.mapInArrow(run, "lang string, phrase string, f long, h long")
+def _phrase_counts(rows: DataFrame, known) -> DataFrame:
+    """lang, size, phrase (null for all words of the language) and f, counted piece by piece."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = [k.value for k in known]
+        for lang, texts in _by_language(batches):
+            for size, phrases, counts in phrases_of(texts, lang, bits):
+                for i in range(0, len(phrases), BATCH):
+                    part = phrases.slice(i, BATCH).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(part), pa.string()), pa.array([size] * len(part), pa.int32()), part, pa.array(counts[i:i + BATCH])],
+                        names=["lang", "size", "phrase", "f"])
+
+    return rows.mapInArrow(run, "lang string, size int, phrase string, f long")
 
 
 def _bitmap(frequent: DataFrame, rows: int) -> np.ndarray:
@@ -160,27 +193,22 @@ def _bitmap(frequent: DataFrame, rows: int) -> np.ndarray:
 
 
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", *, longest: int = LONGEST,
-                     least: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
-    """The phrases with at least `least` occurrences (lang, phrase, size, f), words parted by zero; and the words of each lang."""
+                     least: int = FREQUENT) -> tuple[DataFrame, DataFrame, int]:
+    """The phrases with at least `least` occurrences (lang, phrase, size, f), words parted by zero; the words of each lang; rows."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("_text"))
-    found, known, totals = None, [], None
-    for size in range(1, longest + 1):
-        counts = _counted(rows, size, known).groupBy("lang", "phrase").agg(F.sum("f").alias("f"), F.first("h").alias("h"))
-        table = saved(counts.filter(F.col("phrase").isNull() | (F.col("f") >= least)), phrases=F.count("phrase"))
-        if size == 1:
-            # One row a language.
-            totals = table.filter("phrase is null").select("lang", F.col("f").alias("n"))
-        own = table.filter("phrase is not null").select("lang", "phrase", F.lit(size).alias("size"), "f")
-        found = own if found is None else found.unionByName(own)
-        n = table.facts["phrases"]
-        if not n:
-            break
-        if size < longest:
-            known.append(spark.sparkContext.broadcast(_bitmap(table.filter("phrase is not null"), n)))
+    known = []
+    for _ in range(longest - 1):
+        # Phrases that share a hash are counted together here, which lets through too much, never too little.
+        often = saved(_hash_counts(rows, known).groupBy("h").agg(F.sum("f").alias("f")).filter(F.col("f") >= least).select("h"))
+        known.append(spark.sparkContext.broadcast(_bitmap(often, often.facts["rows"])))
+        release(often)
+    counts = _phrase_counts(rows, known).groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
+    found = saved(counts.filter((F.col("size") == 0) | (F.col("f") >= least)).select("lang", "phrase", "size", "f"))
     for bits in known:
         bits.unpersist()
-    return saved(found), totals
+    # One row a language has the number of its words.
+    return found.filter("size > 0"), found.filter("size = 0").select("lang", F.col("f").alias("n")), found.facts["rows"]
 
 
 def _ranges(stream: DataFrame, rows: int, each: int) -> list[tuple[bytes, bytes]]:
@@ -288,8 +316,7 @@ def scored(docs: DataFrame, text: str = "text", lang: str = "lang", *, longest:
     count; as a longer phrase is never more frequent than what it holds, that is so exactly if one longer by a word has.
     A null language is `und`; null and empty texts have no words; repeated rows count each; no documents give no rows.
     """
-    phrases, totals = frequent_phrases(docs, text, lang, longest=longest, least=least)
-    rows = phrases.facts["rows"]
+    phrases, totals, rows = frequent_phrases(docs, text, lang, longest=longest, least=least)
     prefix = phrases.select("lang", F.col("phrase").alias("key"), "size", "f")
     suffix = phrases.select("lang", _reversed("phrase").alias("key"), "size", "f")
     shorter = range(1, longest)
