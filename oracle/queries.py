@@ -5,6 +5,7 @@ from oracle.engine import COMPONENTS, GROUP_STATUSES, digit_pattern, money, numb
 from triledger.vocabulary import SOURCE_LABELS, SOURCE_OWNERS, STATUS_LABELS
 
 ORACLE: dict[str, str] = {}
+PLAIN: dict[str, str] = {}  # the same without the shared steps
 
 
 def d(*columns: str) -> str:
@@ -29,6 +30,7 @@ def joined(column: str) -> str:
 
 def add(name: str, sql: str) -> None:
     # A statement with tables of its own goes into a subquery, after the shared tables.
+    PLAIN[name] = sql
     ORACLE[name] = with_ctes(f"select * from ({sql})" if sql.lstrip().startswith("with") else sql)
 
 
@@ -90,10 +92,13 @@ select txn_id, cast(hour(ts) as bigint) as hour, cast(isodow(ts) - 1 as bigint)
        cast(day(ts) >= 28 as bigint) as month_end, month from led
 """)
 add("tolerant_casts", r"""
-with w as (select doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as word from documents)
-select doc_id, count(*) as words, count(try_cast(word as bigint)) as wholes, count(try_cast(word as decimal(18,2))) as numbers,
-       coalesce(sum(try_cast(word as decimal(18,2))), 0)::double as total, count(try_strptime(word, '%Y-%m-%d')) as days
-from w where regexp_full_match(word, '[-+]?[0-9][0-9.:-]*|[^0-9]*') group by doc_id
+with w as (select doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as word from documents),
+     c as (select doc_id,
+             case when regexp_full_match(word, '[-+]?[0-9]+') then try_cast(word as bigint) end as whole,
+             case when regexp_full_match(word, '[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]{1,3})?') then try_cast(word as decimal(18,2)) end as number,
+             case when regexp_full_match(word, '[0-9]{4}-[0-9]{2}-[0-9]{2}') then try_strptime(word, '%Y-%m-%d') end as day from w)
+select doc_id, count(*) as words, count(whole) as wholes, count(number) as numbers, coalesce(sum(number), 0)::double as total, count(day) as days
+from c group by doc_id
 """)
 add("money_text", f"select txn_id, {money('amount', True)} as signed, round(ln(1 + abs(cast(amount as double))), 6) as log_amount from led")
 def spelled(column: str, names: dict[str, str]) -> str:
@@ -216,6 +221,9 @@ from lab group by agent
 """)
 add("q44_lag_quantiles", "select quantile_cont(lag_days, 0.5) as median, quantile_cont(lag_days, 0.95) as p95 from verdicts where status = 'OK'")
 
+add("q44_sketched_quantiles", "select unnest([0.5, 0.95])::double as share, count(l_extendedprice) as n, true as within from lineitem")
+add("q71_saved_model", "select unnest(['forest', 'boosting']) as learner, 0::bigint as different")
+
 _HEAD = [
     ("abs_ledger_adjust", "sum(abs(ledger_adjust)) from actions"), ("abs_statement_adjust", "sum(abs(statement_adjust)) from actions"),
     ("abs_to_clarify", "sum(abs(to_clarify)) from actions"), ("ledger_rows", "count(*) from led_in"), ("statement_rows", "count(*) from st"),
@@ -384,6 +392,22 @@ select count(*) filter (where top) as k, round(avg(bad) filter (where top), 9) a
        round(avg(bad) filter (where top) / avg(bad), 9) as lift_at_top, round(sum(bad) filter (where top) / sum(bad), 9) as recall_at_top from t
 """)
 add("q77_baseline", f"select round({ap('length')}, 9) as baseline, round(avg(bad), 9) as random from judged")
+add("q72_given_predictions", f"""
+select s.*, round({ap('score')}, 9) as pr_auc, round({ap('length')}, 9) as pr_auc_prior_rate,
+       (select round(avg(bad), 9) from judged) as test_error_rate, a.*, t.* exclude k
+from ({PLAIN['q73_class_summary']}) s, ({PLAIN['q75_roc_auc']}) a, ({PLAIN['q76_top_share']}) t
+""")
+add("q78_given_scores", """
+with a as (select doc_id, bad, score, floor(length) as length, doc_id % 13 as digit, row_number() over (order by doc_id) as place from judged),
+     b as (select score, length, digit, row_number() over (order by md5('7|' || doc_id), doc_id) as place from a),
+     v as (select unnest(['', 'score', 'length', 'digit']) as feature, bad, a.score + a.length + 2 * a.digit as base, a.score, a.length, a.digit,
+                  unnest([a.score + a.length + 2 * a.digit, b.score + a.length + 2 * a.digit, a.score + b.length + 2 * a.digit,
+                          a.score + a.length + 2 * b.digit]) as s from a join b using (place)),
+     tied as (select feature, s, count(*) as c, sum(bad) as p from v group by all),
+     run as (select feature, p, sum(p) over w as tp, sum(c) over w as total from tied window w as (partition by feature order by s desc rows unbounded preceding)),
+     ap as (select feature, sum(p * tp / total) / sum(p) as ap from run group by feature)
+select feature, round((select ap from ap where feature = '') - ap, 9) as pr_auc_drop from ap where feature <> ''
+""")
 add("q78_shuffled_column", """
 with a as (select doc_id, bad, row_number() over (order by doc_id) as place from judged),
      b as (select score, row_number() over (order by md5('7|' || doc_id), doc_id) as place from judged)

@@ -215,7 +215,7 @@ def test_a_model_fills_the_reports(spark, tmp_path):
         F.when(F.col("id") % 7 == 0, "k1").otherwise("k2").alias("kind"), F.lit("c").alias("creator"), F.lit(None).cast("string").alias("currency"),
         F.lit("e").alias("employee"), *[F.lit(1.0).alias(c) for c in NUMERIC])
     trained = learn(rows, Settings(rounds=5, leaf_rows=1))
-    assert [(f.number, f.train_months[-1], f.test_month, f.n_train) for f in trained.folds] == [(1, "2026-03", "2026-04", 300), (2, "2026-02", "2026-03", 200)]
+    assert [(f.number, f.train_months[-1], f.test_months[-1], f.n_train) for f in trained.folds] == [(1, "2026-03", "2026-04", 300), (2, "2026-02", "2026-03", 200)]
     scored = trained.folds[0].scored
     assert scored.filter("p_error < 0 or p_error > 1 or predicted not in ('OK', 'BOT')").count() == 0
     r = run(spark, tmp_path, base_case())

@@ -1,3 +1,4 @@
+import bisect
 import math
 import random
 
@@ -89,3 +90,45 @@ def test_three_degrees_of_freedom():
     assert _upper_tail(7.814727903251179, 3) == pytest.approx(0.05, abs=1e-9)
     assert _upper_tail(14.067140449340169, 7) == pytest.approx(0.05, abs=1e-9)
     assert _upper_tail(18.307038053275146, 10) == pytest.approx(0.05, abs=1e-9)
+
+
+@pytest.mark.parametrize("levels", [1, 3, 100_000])
+def test_top_share_without_sorting(spark, monkeypatch, levels):
+    """All scores equal, few and many different ones; null scores and repeated ids; slices of three."""
+    monkeypatch.setattr(evaluate, "SLICES", 3)
+    monkeypatch.setattr(evaluate, "SORTED", 5)
+    rng = random.Random(levels)
+    rows = [(2 ** 60 + i // 2, rng.choice([None, *[rng.randrange(levels) / levels - 0.5 for _ in range(9)]]), int(rng.random() < 0.4)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, s double, y int")
+    for share in (0.0, 0.2, 0.97, 1.0):
+        k = max(1, int(200 * share))
+        ranked = sorted(rows, key=lambda r: (-r[1] if r[1] is not None else math.inf, r[0]))
+        # Rows that nothing tells apart may come in any order.
+        last = (ranked[k - 1][1], ranked[k - 1][0])
+        sure = sum(r[2] for r in ranked[:k] if (r[1], r[0]) != last)
+        tied = [r[2] for r in ranked if (r[1], r[0]) == last]
+        room = k - sum((r[1], r[0]) != last for r in ranked[:k])
+        got = evaluate.at_top(df, "s", "y", "id", share).first()
+        hits = round(got.precision_at_top * k)
+        assert got.k == k
+        assert sure + sum(sorted(tied)[:room]) <= hits <= sure + sum(sorted(tied, reverse=True)[:room])
+
+
+def test_top_share_of_nothing(spark):
+    assert tuple(evaluate.at_top(spark.createDataFrame([], "id long, s double, y int"), "s", "y", "id").first()) == (0, None, None, None)
+
+
+def test_sketched_quantiles_keep_their_bound(spark):
+    rows = spark.range(50_000).selectExpr("id", "cast(case when id % 3 = 0 then 7 else pmod(xxhash64(id), 100000) end as double) as v", "id % 7 as g")
+    values = sorted(r.v for r in rows.collect())
+    for r in evaluate.sketched_quantiles(rows, "v", [0.01, 0.25, 0.5, 0.95, 1.0], ["g"], 200).collect():
+        low, high = bisect.bisect_left(values, r.quantile) / len(values), bisect.bisect_right(values, r.quantile) / len(values)
+        assert r.n == 50_000 and max(low - r.share, r.share - high, 0) <= evaluate.rank_error(200)
+
+
+def test_average_precision_by_key(spark):
+    rows, df = scored(spark, 5, 90, 7)
+    both = df.selectExpr("*", "'a' as g").unionByName(df.selectExpr("id", "1 - s as s", "y", "'b' as g"))
+    each = {r.g: r.average_precision for r in evaluate.average_precision(both, "s", "y", by=["g"]).collect()}
+    assert each["a"] == pytest.approx(evaluate.average_precision(df, "s", "y").first()[0])
+    assert each["b"] == pytest.approx(evaluate.average_precision(df.selectExpr("1 - s as s", "y"), "s", "y").first()[0])

@@ -85,3 +85,13 @@ def test_no_cell_ends_a_run(spark, cell):
     digits = cell.replace(" ", "")
     if digits.isdigit():
         assert amount == (int(digits) if len(digits) <= 16 else None) or len(digits) > 16 and amount is None
+
+
+@pytest.mark.parametrize("word,whole,number,day", [
+    ("3.", None, 3, False), ("1e5", None, 100_000, False), (".5", None, 0.5, False), ("+7", 7, 7, False), ("٣", None, None, False), ("-0.005", None, -0.01, False),
+    ("1e30", None, None, False), ("12a", None, None, False), ("", None, None, False), ("9223372036854775808", None, None, False), ("2024-02-30", None, None, False),
+    ("2024-02-29", None, None, True), ("2024-2-9", None, None, False), (".", None, None, False), ("00012", 12, 12, False), ("NaN", None, None, False)])
+def test_tolerant_casts(spark, word, whole, number, day):
+    row = spark.createDataFrame([(word,)], "w string").select(
+        text.whole_number(F.col("w")), text.decimal_number(F.col("w")).cast("double"), text.calendar_day(F.col("w")).isNotNull()).first()
+    assert tuple(row) == (whole, number, day)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 _RUNS: dict[tuple[str, str], Result] = {}
-_MODELS: dict[tuple[str, str], ModelResult] = {}
+_MODELS: dict[tuple[str, str, str], ModelResult] = {}
+# A test period of the queries has at least so many rows, or all but the earliest months of smaller tables.
+TEST_ROWS = 1_000
+# Trees of each class in the boosted queries; `Settings` has more.
+BOOSTING_ROUNDS = 20
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -78,10 +83,14 @@ def forced_run_of(spark: SparkSession, folder: str) -> Result:
     return _RUNS[key]
 
 
-def model_of(spark: SparkSession, folder: str) -> ModelResult:
-    key = (spark.sparkContext.applicationId, folder)
+def model_of(spark: SparkSession, folder: str, learner: str = model.FOREST) -> ModelResult:
+    key = (spark.sparkContext.applicationId, folder, learner)
     if key not in _MODELS:
-        _MODELS[key] = learn(run_of(spark, folder).features)
+        rows = run_of(spark, folder).features
+        settings = model.Settings(test_rows=min(TEST_ROWS, rows.count() // 4))
+        if learner == model.BOOSTING:
+            settings = replace(settings, learner=learner, rounds=BOOSTING_ROUNDS, depth=4)
+        _MODELS[key] = learn(rows, settings)
     return _MODELS[key]
 
 
@@ -205,12 +214,11 @@ def _casts(spark, folder):
     """Casts of every word of every document: what cannot be read becomes null."""
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     rows = table(spark, folder, "documents").select("doc_id", F.explode(words).alias("word"))
-    # Numbers with a point, dates, and words without any digit, all of every text.
-    rows = rows.filter(F.rlike("word", F.lit(r"^([-+]?[0-9][0-9.:-]*|[^0-9]*)$")))
-    number, day = F.col("word").try_cast("decimal(18,2)"), F.try_to_timestamp("word", F.lit("yyyy-MM-dd"))
+    word = F.col("word")
+    number = text.decimal_number(word)
     return rows.groupBy("doc_id").agg(
-        F.count("*").alias("words"), F.count(F.col("word").try_cast("bigint")).alias("wholes"), F.count(number).alias("numbers"),
-        F.coalesce(F.sum(number), F.lit(0)).alias("total"), F.count(day).alias("days"))
+        F.count("*").alias("words"), F.count(text.whole_number(word)).alias("wholes"), F.count(number).alias("numbers"),
+        F.coalesce(F.sum(number), F.lit(0)).alias("total"), F.count(text.calendar_day(word)).alias("days"))
 
 
 of_run("money_text", lambda r: r.ledger_prepared.select(
@@ -293,6 +301,24 @@ of_run("q43_agent_risk", lambda r: risk.risk_by_agent(_given_score(r)).select(
     "flagged", "risky_turnover"))
 of_run("q44_lag_quantiles", lambda r: r.groups.filter("status = 'OK'").agg(
     F.percentile("lag_days", F.lit(0.5)).alias("median"), F.percentile("lag_days", F.lit(0.95)).alias("p95")))
+
+
+@query("q44_sketched_quantiles")
+def _sketched(spark, folder):
+    """Quantiles of amounts from mergeable sketches, and whether their true ranks are within the stated bound."""
+    k, rows = 800, table(spark, folder, "lineitem").select("l_extendedprice", "l_suppkey")
+    found = evaluate.sketched_quantiles(rows, "l_extendedprice", [0.5, 0.95], ["l_suppkey"], k)
+    # Two rows.
+    a, b = (found.filter(F.col("share") == p).select("quantile").scalar() for p in (0.5, 0.95))
+    ranks = rows.agg(F.avg((F.col("l_extendedprice") < a).cast("double")).alias("a"), F.avg((F.col("l_extendedprice") <= a).cast("double")).alias("a2"),
+                     F.avg((F.col("l_extendedprice") < b).cast("double")).alias("b"), F.avg((F.col("l_extendedprice") <= b).cast("double")).alias("b2"))
+    each = ranks.select(F.explode(F.array(
+        F.struct(F.lit(0.5).alias("share"), F.col("a").alias("low"), F.col("a2").alias("high")),
+        F.struct(F.lit(0.95).alias("share"), F.col("b").alias("low"), F.col("b2").alias("high")))).alias("r")).select("r.*")
+    off = F.greatest(F.lit(0.0), F.col("low") - F.col("share"), F.col("share") - F.col("high"))
+    return found.join(each, "share").select("share", "n", (off <= evaluate.rank_error(k)).alias("within"))
+
+
 of_run("q45_headline", lambda r: views.headline(r).withColumn("value", F.round("value", 6)))
 of_run("q46_totals", lambda r: views.with_total(r.bridge, "agent", ("gap_close", "opening_gap", "unexplained")))
 
@@ -390,16 +416,59 @@ def _scores(spark, folder):
     return model_of(spark, folder).folds[0].scored.select("txn_id", "agent", "label", "predicted", F.round("p_error", 6).alias("p_error"))
 
 
+@query("q71_boosted_scores")
+def _boosted_scores(spark, folder):
+    return model_of(spark, folder, model.BOOSTING).folds[0].scored.select(
+        "txn_id", "agent", "label", "predicted", F.round("p_error", 6).alias("p_error"))
+
+
+@query("q71_saved_model")
+def _saved_model(spark, folder):
+    """How many scores of a model that was saved and read again differ from its own; none should."""
+    out = None
+    for learner in (model.FOREST, model.BOOSTING):
+        fold = model_of(spark, folder, learner).folds[0]
+        where = f"{shared_folder(spark)}/model-{learner}-{_slug(folder)}"
+        fold.classifier.save(where)
+        own = fold.scored.select("txn_id", F.col("p_error").alias("own"), F.col("predicted").alias("own_class"))
+        again = model.Classifier.load(spark, where).read(fold.scored.drop("p_error", "predicted", *[f"{c}_code" for c in features.CATEGORICAL]))
+        one = again.join(own, "txn_id", "full").agg(
+            F.lit(learner).alias("learner"),
+            F.count_if(~(F.col("p_error").eqNullSafe(F.col("own")) & F.col("predicted").eqNullSafe(F.col("own_class")))).alias("different"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("q72_fold_metrics")
 def _fold_metrics(spark, folder):
     return model_of(spark, folder).metrics
 
 
+@query("q72_boosted_metrics")
+def _boosted_metrics(spark, folder):
+    return model_of(spark, folder, model.BOOSTING).metrics
+
+
+@query("q72_given_predictions")
+def _given_predictions(spark, folder):
+    """All measures of a test period, for predictions that any engine can compute."""
+    return evaluate.measures(_judged(spark, folder), "score", "bad", "label", "guess", "length", "doc_id")
+
+
 @query("q78_permutation_importance")
 def _importance(spark, folder):
     return model.permutation_importance(model_of(spark, folder).folds[0])
 
 
+@query("q78_given_scores")
+def _given_importance(spark, folder):
+    """What shuffling each of three columns costs a score that any engine can compute."""
+    rows = _judged(spark, folder).select("doc_id", "bad", "score", F.floor("length").alias("length"), (F.col("doc_id") % 13).alias("digit"))
+    return model.shuffled_loss(
+        rows, {c: c for c in ("score", "length", "digit")}, lambda r: r.withColumn("sum", F.col("score") + F.col("length") + 2 * F.col("digit")),
+        "sum", "bad", "doc_id")
+
+
 def _judged(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled documents with two scores and a guess that any engine can compute."""
     docs = table(spark, folder, "documents").select("doc_id", "n_chars", "source")

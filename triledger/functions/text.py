@@ -163,3 +163,24 @@ def money(amount: Column, signed: bool = False) -> Column:
     """An amount as text with thousands separators and two decimals."""
     shown = F.format_number(amount.cast("decimal(18,2)"), 2)
     return F.concat(F.when(amount >= 0, "+").otherwise(""), shown) if signed else shown
+
+
+# What a whole number, a number and a day are spelled like, in ASCII digits.
+WHOLE = r"^[-+]?[0-9]+$"
+DECIMAL = r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]{1,3})?$"
+DAY = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+
+
+def whole_number(word: Column) -> Column:
+    """A whole number of 64 bits, or null for anything else."""
+    return F.when(F.rlike(word, F.lit(WHOLE)), word.try_cast("bigint"))
+
+
+def decimal_number(word: Column) -> Column:
+    """A number with at most 16 digits before the point, rounded to two behind it, or null for anything else."""
+    return F.when(F.rlike(word, F.lit(DECIMAL)), word.try_cast("decimal(18,2)"))
+
+
+def calendar_day(word: Column) -> Column:
+    """A day spelled year-month-day, or null for anything else."""
+    return F.when(F.rlike(word, F.lit(DAY)), F.to_date(F.try_to_timestamp(word, F.lit("yyyy-MM-dd"))))

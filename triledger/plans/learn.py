@@ -25,7 +25,7 @@ class ModelResult:
     @cached_property
     def per_class(self) -> DataFrame:
         parts = [
-            evaluate.per_class(evaluate.confusion(f.scored, "label", "predicted")).withColumn("test_month", F.lit(f.test_month))
+            evaluate.per_class(evaluate.confusion(f.scored, "label", "predicted")).withColumn("test_month", F.lit(f.test_months[-1]))
             for f in self.folds]
         return reduce(DataFrame.unionByName, parts)
 
@@ -52,9 +52,11 @@ class ModelResult:
 
 
 def learn(features: DataFrame, settings: model.Settings = model.Settings()) -> ModelResult:
-    """Two temporal folds: the last month and the one before."""
+    """Two temporal folds: the last period and the one before."""
     # The list of months is bounded by the calendar.
-    months = [r.month for r in features.select("month").distinct().collect()]
-    coded = durable(model.with_codes(features, model.category_codes(features)))
-    folds = [model.train_fold(coded, i, tr, te, settings) for i, (tr, te) in enumerate(model.temporal_folds(months), 1)]
+    months = {r["month"]: r["count"] for r in features.groupBy("month").count().collect()}
+    codes = durable(model.category_codes(features))
+    coded = durable(model.with_codes(features, codes))
+    folds = [model.train_fold(coded, codes, i, tr, te, settings)
+             for i, (tr, te) in enumerate(model.temporal_folds(months, settings.test_rows), 1)]
     return ModelResult(folds, features)
