@@ -4,7 +4,9 @@ import datetime
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from triledger.operators import matching
 from triledger.operators.matching import NEAREST, OTHER_AGENT, match_one_to_one
 
 EPOCH = datetime.date(1970, 1, 1)
@@ -39,13 +41,13 @@ def random_case(seed, n, amounts, days, agents):
     return rows(0), rows(100_000)
 
 
-def run(spark, proposers, seats, mode, days, island_rows, hot_rows=1_000_000):
+def run(spark, proposers, seats, mode, days, island_rows, hot_rows=1_000_000, chunk=200_000):
     schema = "id bigint, agent string, cents bigint, day_no int, o1 bigint"
     frame = lambda rows: spark.createDataFrame(rows, schema).selectExpr(
         "id", "agent", "cast(cents / 100 as decimal(18,2)) as amount", "date_from_unix_date(day_no) as day", "o1")
     out = match_one_to_one(
         frame(proposers), frame(seats), mode=mode, tolerance="1", days=days, turn=["o1", "id"], place=["o1", "id"],
-        island_rows=island_rows, hot_rows=hot_rows)
+        island_rows=island_rows, hot_rows=hot_rows, chunk=chunk)
     return {(r.proposer, r.seat) for r in out.collect()}
 
 
@@ -69,6 +71,32 @@ def test_deferred_acceptance_equals_plain_rule(spark, seed, n, amounts, days, ag
     assert run(spark, p, s, NEAREST, 7, 1, hot_rows=3) == plain(p, s, NEAREST, 100, 7)
 
 
+def test_large_groups_are_cut_into_chunks(spark):
+    p, s = random_case(4, 40, [10000], 3, 4)
+    for mode in (NEAREST, OTHER_AGENT):
+        assert run(spark, p, s, mode, 1, 1, chunk=7) == plain(p, s, mode, 100, 1)
+
+
+def test_a_crowd_of_equal_leftovers(spark, monkeypatch):
+    """A thousand agents with equal amounts on one day: one list of classes, few rounds."""
+    lists, rounds = [], []
+    menus, handed = matching._menus, matching._handed_out
+    monkeypatch.setattr(matching, "_menus", lambda *a: lists.append(menus(*a)) or lists[-1])
+    monkeypatch.setattr(matching, "_handed_out", lambda *a: rounds.append(1) or handed(*a))
+    agents = 1_000
+    p = [(i, f"A{i * 7 % agents:04}", 10000, 5, i) for i in range(agents)]
+    s = [(100_000 + i, f"A{i:04}", 10000, 5, i) for i in range(agents)]
+    assert run(spark, p, s, OTHER_AGENT, 10, 1) == plain(p, s, OTHER_AGENT, 100, 10)
+    assert lists[0].count() == agents and len(rounds) == 1
+
+
+def test_the_fold_stays_in_the_plan(spark):
+    rows = spark.createDataFrame([(1, "a", 5, 1), (2, "a", 5, 2)], "id bigint, agent string, amount int, o1 bigint").withColumn("day", F.current_date())
+    out = match_one_to_one(rows, rows, mode=NEAREST, tolerance="1", days=7, turn=["o1"], place=["o1"], island_rows=100, hot_rows=100, at_most=4)
+    plan = out._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan and out.count() == 2
+
+
 def test_other_agent_mode(spark):
     p, s = random_case(5, 24, [10000, 10050, 10100, 30000], 30, 3)
     expected = plain(p, s, OTHER_AGENT, 100, 10)

@@ -25,7 +25,7 @@ class Config:
     # A key with more rows than this is salted in joins.
     hot_rows: int = 1_000_000
     # Larger islands of payments and receipts are matched by the distributed method.
-    island_rows: int = 20_000
+    island_rows: int = 4_000
 
 
 DEFAULT = Config()

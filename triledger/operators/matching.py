@@ -4,22 +4,25 @@ Proposers take their turn in a fixed order; each takes the seat it likes best am
 free.  Seats of equal (agent, amount, day) form a class and are handed out in place order.
 
 Most data falls apart into islands: no pair within the tolerances crosses a gap in the amounts or
-in the days, so each island is folded on its own.  An island above the row limit is matched by
-deferred acceptance instead: every class of seats keeps a cutoff turn, every proposer goes to the
-first class whose cutoff admits it, overbooked classes lower their cutoff, until none is overbooked.
-That needs only class-level candidate lists and distributed ranks, never a whole island in a task.
-Because all seats rank proposers by the same turn, both give the same, unique result.
+in the days, so each island is folded on its own, as a column expression over its sorted members.
+
+An island above the row limit is matched by deferred acceptance.  Proposers that see the same
+classes in the same order form a group: equal (agent, amount, day), or equal (amount, day) where
+seats of other agents are wanted.  Each group hands its members to the classes as if it were alone;
+that is the best that any member can hope for.  Classes that are overbooked keep their earliest
+proposers and get a cutoff turn, and the groups with rejected members do it again, leaving out what
+the cutoffs close, until no class is overbooked.  A group lists the classes it sees once, whatever
+the number of its agents and members, and a large group is cut into chunks of consecutive turns.
+Because all seats rank proposers by the same turn, both ways give the same, unique result.
 """
 
 from __future__ import annotations
 
 import sys
-from bisect import bisect_left, insort
-from collections import deque
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triledger.operators.durable import durable
@@ -33,6 +36,9 @@ NEAREST = "nearest day"        # same agent; nearest day, then the earlier day,
 OTHER_AGENT = "other agent"    # another agent; by agent, amount and day
 
 CLASS = ["agent", "cents", "day_no"]
+TURN = ["o1", "o2", "id"]
+# Proposers of one group that one task takes.
+CHUNK = 200_000
 
 
 def _standard(rows: DataFrame, side: int, order: list[str]) -> DataFrame:
@@ -63,121 +69,154 @@ def islands(members: DataFrame, mode: str, tolerance_cents: int, days: int, skew
         F.struct(*([F.col("agent")] if scope else [F.lit("").alias("agent")]), "amount_island", "day_island").alias("island"))
 
 
-def _preference(mode: str, agent, cents, day_no, own_day):
-    if mode == NEAREST:
-        return abs(day_no - own_day), day_no, cents
-    return agent, cents, day_no
-
-
-def take_turns(members: list[dict], mode: str, tolerance_cents: int, days: int) -> list[tuple[int, int]]:
-    """The plain rule, for one island: (proposer, seat) pairs."""
-    amounts: list[int] = []
-    free: dict[int, dict[tuple[str, int], deque]] = {}
-    in_order = lambda m: (m["o1"], m["o2"], m["id"])
-    for seat in sorted((m for m in members if m["side"] == 1), key=in_order):
-        at = free.get(seat["cents"])
-        if at is None:
-            at = free[seat["cents"]] = {}
-            insort(amounts, seat["cents"])
-        at.setdefault((seat["agent"], seat["day_no"]), deque()).append(seat["id"])
-    pairs = []
-    for p in sorted((m for m in members if m["side"] == 0), key=in_order):
-        best, where = None, None
-        i = bisect_left(amounts, p["cents"] - tolerance_cents)
-        while i < len(amounts) and amounts[i] <= p["cents"] + tolerance_cents:
-            for (agent, day_no), queue in free[amounts[i]].items():
-                if abs(day_no - p["day_no"]) > days or (agent == p["agent"]) != (mode == NEAREST):
-                    continue
-                liking = _preference(mode, agent, amounts[i], day_no, p["day_no"])
-                if best is None or liking < best:
-                    best, where = liking, (amounts[i], agent, day_no)
-            i += 1
-        if where is not None:
-            at, queue = free[where[0]], free[where[0]][where[1:]]
-            pairs.append((p["id"], queue.popleft()))
-            # What is taken is not looked at again.
-            if not queue:
-                del at[where[1:]]
-            if not at:
-                del free[where[0]], amounts[bisect_left(amounts, where[0])]
-    return pairs
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _fold_islands(members: DataFrame, classes: DataFrame, mode: str, tolerance_cents: int, days: int, skew: dict) -> DataFrame:
-    @F.pandas_udf("array<struct<proposer:bigint,seat:bigint>>")
-    def fold(island: pd.Series) -> pd.Series:
-        return island.map(lambda rows: [
-            {"proposer": p, "seat": s} for p, s in take_turns(list(rows), mode, tolerance_cents, days)])
+def take_turns(proposers: Column, seats: Column, mode: str, tolerance_cents: int, days: int) -> Column:
+    """The plain rule, for one island: pairs of a sorted array of proposers and an array of seats.
+
+    Each proposer takes the best of the free seats that it accepts; what is taken is not looked at again.
+    """
+    def accepts(p):
+        return lambda s: ((F.abs(s["cents"] - p["cents"]) <= tolerance_cents) & (F.abs(s["day_no"] - p["day_no"]) <= days)
+                          & ((s["agent"] == p["agent"]) if mode == NEAREST else (s["agent"] != p["agent"])))
+
+    def liking(p):
+        def of(s):
+            first = (F.abs(s["day_no"] - p["day_no"]), s["day_no"], s["cents"]) if mode == NEAREST else (s["agent"], s["cents"], s["day_no"])
+            return F.struct(*[c.alias(f"l{i}") for i, c in enumerate(first)], *[s[c].alias(c) for c in TURN])
+        return of
+
+    def turn(state, p):
+        best = F.array_min(F.transform(F.filter(state["free"], accepts(p)), liking(p)))
+        return _let(best, lambda b: F.when(b.isNull(), state).otherwise(F.struct(
+            F.filter(state["free"], lambda s: s["id"] != b["id"]).alias("free"),
+            F.concat(state["pairs"], F.array(F.struct(p["id"].alias("proposer"), b["id"].alias("seat")))).alias("pairs"))))
+
+    begin = F.struct(seats.alias("free"), F.array().cast("array<struct<proposer:bigint,seat:bigint>>").alias("pairs"))
+    return F.aggregate(proposers, begin, turn)["pairs"]
+
 
+def _fold_islands(members: DataFrame, classes: DataFrame, mode: str, tolerance_cents: int, days: int, skew: dict) -> DataFrame:
     inside = salted_join(members, classes.select(*CLASS, "island"), CLASS, how="inner", **skew)
+    one = F.struct(*TURN, *CLASS)
     # Bounded: only islands below the row limit come here.
     gathered = inside.groupBy("island").agg(
-        F.collect_list(F.struct("side", "id", "agent", "cents", "day_no", "o1", "o2")).alias("rows"))
-    return gathered.select(F.explode(fold("rows")).alias("pair")).select("pair.proposer", "pair.seat")
+        F.array_sort(F.collect_list(F.when(F.col("side") == 0, one))).alias("proposers"), F.collect_list(F.when(F.col("side") == 1, one)).alias("seats"))
+    pairs = take_turns(F.col("proposers"), F.col("seats"), mode, tolerance_cents, days)
+    return gathered.select(F.explode(pairs).alias("pair")).select("pair.proposer", "pair.seat")
+
 
+def group_columns(mode: str) -> list[str]:
+    return [f"g_{c}" for c in (CLASS if mode == NEAREST else CLASS[1:])]
 
-def _candidates(classes: DataFrame, mode: str, tolerance_cents: int, days: int) -> DataFrame:
-    """Classes of seats a class of proposers may choose from, found through neighbouring cells."""
+
+def _menus(classes: DataFrame, mode: str, tolerance_cents: int, days: int) -> DataFrame:
+    """The classes of seats that a group of proposers sees, found through neighbouring cells; the likings order them."""
+    group = group_columns(mode)
     bucket = F.floor(F.col("day_no") / (days + 1)).cast("bigint")
     around = lambda c: F.explode(F.sequence(c - 1, c + 1))
-    proposers = (
-        classes.filter(F.col("proposers") > 0)
-        .select(*[F.col(c).alias(f"p_{c}") for c in CLASS], around(F.col("cell")).alias("cell"), bucket.alias("own"))
-        .select("*", around(F.col("own")).alias("bucket")).drop("own"))
+    groups = (
+        classes.filter(F.col("proposers") > 0).select(*[F.col(c[2:]).alias(c) for c in group], "cell", bucket.alias("own")).distinct()
+        .select(*group, around(F.col("cell")).alias("cell"), "own").select("*", around(F.col("own")).alias("bucket")).drop("own"))
     seats = classes.filter(F.col("seats") > 0).select(*CLASS, "cell", bucket.alias("bucket"), F.col("seats").alias("capacity"))
     on = ["cell", "bucket"]
     if mode == NEAREST:
-        proposers, on = proposers.withColumn("agent", F.col("p_agent")), ["agent", *on]
-    else:
-        seats = seats.withColumnRenamed("agent", "s_agent")
-    pairs = proposers.join(seats, on)
-    seat_agent = F.col("agent" if mode == NEAREST else "s_agent")
-    apart = F.abs(F.col("day_no") - F.col("p_day_no"))
-    near = (F.abs(F.col("cents") - F.col("p_cents")) <= tolerance_cents) & (apart <= days)
-    if mode == NEAREST:
-        liking = F.struct(apart.alias("a"), F.col("day_no").alias("b"), F.col("cents").alias("c"))
-    else:
-        near = near & (seat_agent != F.col("p_agent"))
-        liking = F.struct(seat_agent.alias("a"), F.col("cents").alias("b"), F.col("day_no").alias("c"))
-    return pairs.filter(near).select(
-        *[f"p_{c}" for c in CLASS], liking.alias("liking"),
-        F.struct(seat_agent.alias("agent"), "cents", "day_no").alias("seat_class"), "capacity")
+        groups, on = groups.withColumn("agent", F.col("g_agent")), ["agent", *on]
+    apart = F.abs(F.col("day_no") - F.col("g_day_no"))
+    near = groups.join(seats, on).filter((F.abs(F.col("cents") - F.col("g_cents")) <= tolerance_cents) & (apart <= days))
+    liking = (apart, "day_no", "cents") if mode == NEAREST else ("agent", "cents", "day_no")
+    return near.select(*group, *[F.col(c).alias(f"l{i}") if isinstance(c, str) else c.alias(f"l{i}") for i, c in enumerate(liking)],
+                       *[F.col(c).alias(f"s_{c}") for c in CLASS], "capacity")
 
 
-def _deferred_acceptance(members: DataFrame, classes: DataFrame, mode: str, tolerance_cents: int, days: int, skew: dict) -> DataFrame:
+def hand_out(turns: list[tuple], agents: list[str], classes: list[tuple], other: bool) -> list[int]:
+    """For each proposer, in order of turn, the class it gets if the group is alone, or -1.
+
+    `classes` are (agent, capacity, cutoff turn or None) in the order of liking; `other` leaves out those of the own agent.
+    What is full, or closed to this turn, is so for all later turns and is passed over for good.
+    """
+    left = [c for _, c, _ in classes]
+    after = list(range(1, len(classes) + 1))
+    head, out = 0, []
+    for turn, agent in zip(turns, agents, strict=True):
+        i, before, found = head, -1, -1
+        while i < len(classes):
+            cutoff = classes[i][2]
+            if left[i] == 0 or (cutoff is not None and turn > cutoff):
+                if before < 0:
+                    head = after[i]
+                else:
+                    after[before] = after[i]
+            elif other and classes[i][0] == agent:
+                before = i
+            else:
+                left[i] -= 1
+                found = i
+                break
+            i = after[i]
+        out.append(found)
+    return out
+
+
+def _handed_out(proposers: DataFrame, menus: DataFrame, group: list[str], mode: str) -> DataFrame:
+    """Proposals (group, chunk, turn, class and its capacity) of all groups, each alone."""
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left, right = left.sort_values(TURN), right.sort_values(["l0", "l1", "l2"])
+        turns = list(zip(*(left[c].tolist() for c in TURN), strict=True))
+        cutoffs = [None if pd.isna(x[0]) else tuple(int(v) for v in x) for x in zip(right["c_o1"], right["c_o2"], right["c_id"], strict=True)]
+        classes = list(zip(right["s_agent"], right["capacity"].tolist(), cutoffs, strict=True))
+        place = pd.Series(hand_out(turns, left["agent"].tolist(), classes, mode == OTHER_AGENT), index=left.index, dtype="int64")
+        found = left[place >= 0]
+        seats = right.iloc[place[place >= 0].to_numpy()]
+        return pd.DataFrame({**{c: found[c].to_numpy() for c in [*group, "chunk", *TURN]},
+                             **{c: seats[c].to_numpy() for c in [*[f"s_{c}" for c in CLASS], "capacity"]}})
+
+    kinds = {f.name: f.dataType.simpleString() for f in [*proposers.schema, *menus.schema]}
+    columns = [*group, "chunk", *TURN, *[f"s_{c}" for c in CLASS], "capacity"]
+    key = [*group, "chunk"]
+    return proposers.groupBy(*key).cogroup(menus.groupBy(*key)).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in columns))
+
+
+def _deferred_acceptance(members: DataFrame, classes: DataFrame, mode: str, tolerance_cents: int, days: int, skew: dict, chunk: int) -> DataFrame:
+    group, seat = group_columns(mode), [f"s_{c}" for c in CLASS]
     inside = durable(salted_join(members, classes.select(*CLASS), CLASS, how="inner", **skew))
-    options = durable(_candidates(classes, mode, tolerance_cents, days))
-    turn = F.struct("o1", "o2", "id")
-    proposers = inside.filter("side = 0").select(*[F.col(c).alias(f"p_{c}") for c in CLASS], "id", "o1", "o2")
-    own = [f"p_{c}" for c in CLASS]
-    cutoffs = None
+    menus = durable(_menus(classes, mode, tolerance_cents, days))
+    seen = menus.select(*group).distinct()
+    proposers = inside.filter("side = 0").select(*[F.col(c[2:]).alias(c) for c in group], "agent", *TURN)
+    proposers = durable(ordered_scan(proposers, group, TURN, number="_n").join(seen, group, "left_semi").withColumn(
+        "chunk", F.floor((F.col("_n") - 1) / chunk).cast("bigint")).drop("_n"))
+    chunks = durable(proposers.groupBy(*group, "chunk").agg(F.min(F.struct(*TURN)).alias("first")))
+    cutoffs = proposals = None
+    again = chunks.select(*group, "chunk")
     while True:
-        offers = options if cutoffs is None else options.join(cutoffs, "seat_class", "left")
-        cutoff = F.lit(None).cast("struct<o1:bigint,o2:bigint,id:bigint>") if cutoffs is None else F.col("cutoff")
-        # At most (2 * days + 1) days times the distinct amounts within the tolerance.
-        menus = offers.groupBy(*own).agg(F.array_sort(F.collect_list(
-            F.struct("liking", "seat_class", "capacity", cutoff.alias("cutoff")))).alias("menu"))
-        chosen = salted_join(proposers, menus, own, how="inner", **skew).withColumn(
-            "choice", F.get(F.filter("menu", lambda o: o["cutoff"].isNull() | (turn <= o["cutoff"])), F.lit(0)))
-        chosen = chosen.filter(F.col("choice").isNotNull()).select(
-            "id", "o1", "o2", "choice.seat_class", "choice.capacity")
-        ranked = durable(ordered_scan(chosen, ["seat_class"], ["o1", "o2", "id"], number="rank"))
-        if ranked.filter(F.col("rank") > F.col("capacity")).isEmpty():
-            break
-        # The last admitted turn of every full class; a cutoff only ever moves to earlier turns.
-        full = ranked.groupBy("seat_class").agg(
-            F.max("rank").alias("demand"), F.max(F.when(F.col("rank") == F.col("capacity"), turn)).alias("new"),
-            F.max("capacity").alias("capacity")).filter(F.col("demand") > F.col("capacity")).select("seat_class", "new")
+        offered = menus.join(chunks.join(again, [*group, "chunk"], "left_semi"), group)
         if cutoffs is None:
-            cutoffs = durable(full.withColumnRenamed("new", "cutoff"))
+            offered = offered.withColumn("cutoff", F.lit(None).cast("struct<o1:bigint,o2:bigint,id:bigint>"))
         else:
-            cutoffs = durable(cutoffs.join(full, "seat_class", "full").select(
-                "seat_class", F.coalesce("new", "cutoff").alias("cutoff")))
-    seats = inside.filter("side = 1").select(
-        F.struct(*CLASS).alias("seat_class"), F.col("id").alias("seat"), "o1", "o2")
-    placed = ordered_scan(seats, ["seat_class"], ["o1", "o2", "seat"], number="rank").select("seat_class", "rank", "seat")
-    return ranked.select("seat_class", "rank", F.col("id").alias("proposer")).join(placed, ["seat_class", "rank"]).select(
-        "proposer", "seat")
+            # Classes closed to the first turn of a chunk are closed to all of it.
+            offered = offered.join(cutoffs, seat, "left").filter(F.col("cutoff").isNull() | (F.col("first") <= F.col("cutoff")))
+        offered = offered.drop("first").withColumns({f"c_{c}": F.col(f"cutoff.{c}") for c in TURN}).drop("cutoff")
+        new = _handed_out(proposers.join(again, [*group, "chunk"], "left_semi"), offered, group, mode)
+        kept = None if proposals is None else proposals.join(again, [*group, "chunk"], "left_anti")
+        proposals = durable(new if kept is None else kept.unionByName(new))
+        crowded = proposals.groupBy(*seat).agg(F.count("*").alias("demand"), F.max("capacity").alias("most")).filter("demand > most").select(*seat)
+        ranked = durable(ordered_scan(proposals.join(crowded, seat, "left_semi"), seat, TURN, number="rank"))
+        if ranked.isEmpty():
+            break
+        # The last admitted turn of every overbooked class; a cutoff only ever moves to earlier turns.
+        new_cutoffs = ranked.filter("rank = capacity").select(*seat, F.struct(*TURN).alias("new"))
+        if cutoffs is not None:
+            new_cutoffs = cutoffs.join(new_cutoffs, seat, "full").select(*seat, F.coalesce("new", "cutoff").alias("new"))
+        cutoffs = durable(new_cutoffs.withColumnRenamed("new", "cutoff"))
+        again = durable(ranked.filter("rank > capacity").select(*group, "chunk").distinct())
+    ranked = ordered_scan(proposals.select(*seat, *TURN), seat, TURN, number="rank")
+    placed = ordered_scan(
+        inside.filter("side = 1").select(*[F.col(c).alias(f"s_{c}") for c in CLASS], F.col("id").alias("seat"), "o1", "o2"),
+        seat, ["o1", "o2", "seat"], number="rank").select(*seat, "rank", "seat")
+    return ranked.select(*seat, "rank", F.col("id").alias("proposer")).join(placed, [*seat, "rank"]).select("proposer", "seat")
 
 
 def match_one_to_one(
@@ -192,6 +231,7 @@ def match_one_to_one(
     island_rows: int,
     hot_rows: int,
     at_most: int | None = None,
+    chunk: int = CHUNK,
 ) -> DataFrame:
     """(proposer, seat) ids.  Both inputs have id, agent, amount and day; `turn` and `place` order them.
 
@@ -207,5 +247,5 @@ def match_one_to_one(
     pairs = _fold_islands(members, classes.filter(size <= island_rows), mode, cents, days, skew)
     large = classes.filter(size > island_rows)
     if not large.isEmpty():
-        pairs = pairs.unionByName(_deferred_acceptance(members, large, mode, cents, days, skew))
+        pairs = pairs.unionByName(_deferred_acceptance(members, large, mode, cents, days, skew, chunk))
     return pairs
