@@ -54,6 +54,13 @@ union all select 'name_mapping', (select count(*) from folder_map) + (select cou
 union all select 'employee_risk', count(distinct employee) from jo where kind = 'sale' and agent not in ('DIRECT_CLIENT', 'UNASSIGNED')
 union all select 'checks', 11
 """)
+add("result_cache", """
+select table_name, true as found, rows from (
+    select 'groups' as table_name, count(*) as rows from verdicts union all select 'payment_exceptions', count(*) from exceptions
+    union all select 'agent_actions', count(*) from actions union all select 'agent_bridge', count(*) from bridge
+    union all select 'monthly_bridge', count(*) from monthly union all select 'statement_integrity', count(*) from acts
+    union all select 'missing_months', count(*) from missing)
+""")
 add("q03_extract_tickets", f"""
 select doc_id, array_to_string(t, '|') as tickets, cast(len(t) as bigint) as n from (select doc_id, {tickets('text')} as t from documents)
 """)

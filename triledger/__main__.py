@@ -13,6 +13,7 @@ from triledger.config import Config
 from triledger.operators.model import Settings
 from triledger.plans.learn import learn
 from triledger.plans.reconcile import reconcile
+from triledger.plans.store import Store
 from triledger.sources.files import load_sources
 from triledger.sources.sinks import model_tables, report_tables, result_tables, write_tables
 from triledger.vocabulary import ENGLISH, RUSSIAN
@@ -25,11 +26,16 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--words", choices=("russian", "english"), default="russian")
     parser.add_argument("--format", choices=("parquet", "csv"), default="csv")
     parser.add_argument("--rounds", type=int, default=Settings().rounds, help="trees of the model; 0 skips it")
+    parser.add_argument("--results", help="folder of the results that later runs over the same files reuse")
     args = parser.parse_args(argv)
 
     spark = SparkSession.builder.appName("triledger").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    sources = load_sources(spark, {k: getattr(args, k) for k in ("statements", "ledger", "journal")})
-    result = reconcile(sources, Config(words=RUSSIAN if args.words == "russian" else ENGLISH))
+    files = {k: getattr(args, k) for k in ("statements", "ledger", "journal")}
+    config = Config(words=RUSSIAN if args.words == "russian" else ENGLISH)
+    if args.results:
+        result, _ = Store(spark, args.results).result("files", sorted(files.values()), config, lambda: load_sources(spark, files))
+    else:
+        result = reconcile(load_sources(spark, files), config)
     write_tables(result_tables(result), args.output, args.format)
     trained = None
     if args.rounds:

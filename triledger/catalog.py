@@ -17,12 +17,13 @@ from triledger.operators import evaluate, features, ledger, matching, model, ris
 from triledger.operators import payments as payment_ops
 from triledger.operators.bands import band_partners
 from triledger.operators.bridge import status_counts
-from triledger.operators.durable import durable, shared_folder, side_by_side
+from triledger.operators.durable import durable, file_states, shared_folder, side_by_side
 from triledger.operators.groups import repeated_debits
 from triledger.operators.ordered import ordered_scan
 from triledger.plans import views
 from triledger.plans.learn import ModelResult, learn
 from triledger.plans.reconcile import Result, reconcile
+from triledger.plans.store import Store
 from triledger.sources import derived
 from triledger.sources.derived import Sources
 from triledger.sources.files import load_sources
@@ -32,7 +33,8 @@ from triledger.vocabulary import CLASSES, GROUP_STATUSES, SOURCE_LABELS, STATUS_
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-_RUNS: dict[tuple[str, str], Result] = {}
+# What a result was made from, and the result.
+_RUNS: dict[tuple[str, str], tuple[object, Result]] = {}
 _MODELS: dict[tuple[str, str, str], ModelResult] = {}
 # A test period of the queries has at least so many rows, or all but the earliest months of smaller tables.
 TEST_ROWS = 1_000
@@ -61,12 +63,23 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*[simple(f) for f in df.schema])
 
 
+def inputs_of(folder: str) -> list[str]:
+    """The tables that the test ledgers are derived from."""
+    return [f"{folder}/orders.parquet"]
+
+
 def run_of(spark: SparkSession, folder: str) -> Result:
-    """The reconciliation of a folder; its tables are made once per session and reused."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _RUNS:
-        _RUNS[key] = reconcile(stored_sources(spark, folder))
-    return _RUNS[key]
+    """The reconciliation of a folder; its tables are made once and reused until the folder's files change.
+
+    With `spark.triledger.results` set, they are also found by later sessions.
+    """
+    key, state = (spark.sparkContext.applicationId, folder), file_states(spark, *inputs_of(folder))
+    if key not in _RUNS or _RUNS[key][0] != state:
+        kept = spark.conf.get("spark.triledger.results", None)
+        _MODELS.clear()
+        _RUNS[key] = state, reconcile(stored_sources(spark, folder)) if kept is None else Store(spark, kept).result(
+            _slug(folder), inputs_of(folder), DEFAULT, lambda: stored_sources(spark, folder))[0]
+    return _RUNS[key][1]
 
 
 def stored_sources(spark: SparkSession, folder: str) -> Sources:
@@ -77,16 +90,17 @@ def stored_sources(spark: SparkSession, folder: str) -> Sources:
 
 def forced_run_of(spark: SparkSession, folder: str) -> Result:
     """The same reconciliation with nearly every key hot and every island oversized: what large data makes happen."""
+    usual = run_of(spark, folder)
     key = (spark.sparkContext.applicationId, f"{folder} forced")
-    if key not in _RUNS:
-        _RUNS[key] = reconcile(run_of(spark, folder).sources, Config(hot_rows=50, island_rows=1))
-    return _RUNS[key]
+    if key not in _RUNS or _RUNS[key][0] is not usual:
+        _RUNS[key] = usual, reconcile(usual.sources, Config(hot_rows=50, island_rows=1))
+    return _RUNS[key][1]
 
 
 def model_of(spark: SparkSession, folder: str, learner: str = model.FOREST) -> ModelResult:
+    rows = run_of(spark, folder).features
     key = (spark.sparkContext.applicationId, folder, learner)
     if key not in _MODELS:
-        rows = run_of(spark, folder).features
         settings = model.Settings(test_rows=min(TEST_ROWS, rows.count() // 4))
         if learner == model.BOOSTING:
             settings = replace(settings, learner=learner, rounds=BOOSTING_ROUNDS, depth=4)
@@ -165,6 +179,22 @@ def _sinks(spark, folder):
     return out
 
 
+@query("result_cache")
+def _cached(spark, folder):
+    """Tables of a stored result, read by another store: whether they were found, and their rows."""
+    where = f"{shared_folder(spark)}/results"
+    name = _slug(folder)
+    Store(spark, where).result(name, inputs_of(folder), DEFAULT, lambda: run_of(spark, folder).sources)
+    again, found = Store(spark, where).result(name, inputs_of(folder), DEFAULT, lambda: run_of(spark, folder).sources)
+    tables = {"groups": again.groups, "payment_exceptions": again.payments, "agent_bridge": again.bridge, "agent_actions": again.actions,
+              "monthly_bridge": again.monthly, "statement_integrity": again.acts, "missing_months": again.missing}
+    out = None
+    for key, t in tables.items():
+        one = t.agg(F.lit(key).alias("table_name"), F.lit(found).alias("found"), F.count("*").alias("rows"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # -- scalar functions -----------------------------------------------------------------------
 @query("q03_extract_tickets")
 def _tickets(spark, folder):

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+_made: ContextVar[list[str] | None] = ContextVar("_made", default=None)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder the session names; on a single machine without one, a temporary folder."""
     context = spark.sparkContext
@@ -34,16 +41,64 @@ def durable(df: DataFrame, checksum: Column | None = None) -> DataFrame:
     counted = Observation()
     total = F.lit(None) if checksum is None else F.sum(checksum)
     df.observe(counted, F.count(F.lit(1)).alias("rows"), total.alias("checksum")).write.parquet(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     table = spark.read.schema(df.schema).parquet(path)
-    table._known_rows, table._checksum = counted.get["rows"], counted.get["checksum"]
+    table._path, table._known_rows, table._checksum = path, counted.get["rows"], counted.get["checksum"]
     return table
 
 
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of all tables that `durable` makes meanwhile, in steps run side by side as well."""
+    token = _made.set([])
+    try:
+        yield _made.get()
+    finally:
+        _made.reset(token)
+
+
+def _files(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, files = _files(spark, path)
+    return files.exists(place)
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Remove tables that nothing reads any more."""
+    for path in paths:
+        place, files = _files(spark, path)
+        files.delete(place, True)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    place, files = _files(spark, path)
+    return [str(s.getPath()) for s in files.listStatus(place) if s.isDirectory()] if files.exists(place) else []
+
+
+def file_states(spark: SparkSession, *paths: str) -> str:
+    """A digest of the names, lengths and times of all files in the paths: other contents give another digest."""
+    seen = hashlib.sha256()
+    for path in paths:
+        place, files = _files(spark, path)
+        # One entry a file; the listing stays on the driver, as Spark's own does.
+        states, walk = [], files.listFiles(place, True)
+        while walk.hasNext():
+            s = walk.next()
+            states.append(f"{s.getPath()}|{s.getLen()}|{s.getModificationTime()}")
+        seen.update("\n".join([path, *sorted(states)]).encode())
+    return seen.hexdigest()
+
+
 def side_by_side(spark: SparkSession, *steps) -> list:
     """Run independent steps at the same time, so that one step's last tasks do not idle the cluster."""
     shared_folder(spark)
     with ThreadPoolExecutor(len(steps)) as pool:
-        running = [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]
+        running = [pool.submit(inheritable_thread_target(spark)(lambda step=step, context=copy_context(): context.run(step))) for step in steps]
         return [step.result() for step in running]
 
 
