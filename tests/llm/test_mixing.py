@@ -62,3 +62,24 @@ def test_awkward_documents(spark):
 def test_the_sample_follows_the_probabilities(spark):
     got = mixing.mix(many(spark, 20_000), topic(), power=0.5).agg(F.sum("probability"), F.sum(F.col("sampled").cast("int"))).first()
     assert got[1] == pytest.approx(got[0], rel=0.05)
+
+
+def raked(spark, cells, aims):
+    frame = spark.createDataFrame(cells, "_source string, _lang string, tokens long")
+    targets = {k: spark.createDataFrame(list(v.items()), f"{k} string, share double") for k, v in aims.items()}
+    found = mixing.rake(frame, targets, tolerance=1e-6)
+    return {(r["margin"], r["value"]): (r["target"], r["reached"]) for r in mixing.residuals(found, targets).collect()}
+
+
+def test_slow_raking_goes_on_to_the_targets(spark):
+    """A chain of cells in which each round gains little: far more than thirty rounds."""
+    n = 3
+    cells = [(f"s{i}", f"l{i}", 1) for i in range(n)] + [(f"s{i + 1}", f"l{i}", 1) for i in range(n - 1)]
+    aims = {"_source": {f"s{i}": 1.0 + (-0.2 if i == 0 else 0) for i in range(n)}, "_lang": {f"l{i}": 1.0 + (-0.2 if i == n - 1 else 0) for i in range(n)}}
+    left = raked(spark, cells, aims)
+    assert all(t == pytest.approx(r, abs=1e-5) for t, r in left.values())
+
+
+def test_targets_out_of_reach_leave_a_residual(spark):
+    left = raked(spark, [("a", "x", 5), ("b", "y", 5)], {"_source": {"a": 0.9, "b": 0.1}, "_lang": {"x": 0.5, "y": 0.5}})
+    assert left["_lang", "x"] == pytest.approx((0.5, 0.5)) and left["_source", "a"] == pytest.approx((0.9, 0.5))

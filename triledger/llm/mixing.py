@@ -18,7 +18,9 @@ from triledger.llm.tables import packed, release, saved
 
 MARGINS = ("source", "lang", "topic")
 WORD = r"[^\x20\x09-\x0D]+"
-TOLERANCE, ROUNDS = 1e-10, 30
+TOLERANCE = 1e-10
+# Rounds between two written tables; raking that has gained less than STALLED in PATIENCE of them cannot reach its targets.
+AT_ONCE, STALLED, PATIENCE = 3, 0.999, 5
 
 
 def word_count(text: str) -> Column:
@@ -45,10 +47,11 @@ def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
     return sums
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], *, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], *, tolerance: float = TOLERANCE) -> DataFrame:
     """`cells` with `weight`: tokens scaled until the sums of each margin are in proportion to its targets (margin, share).
 
-    A value without a target gets no weight.  Where zero cells make the targets unreachable, raking ends after `rounds`.
+    Raking ends when no scale is off one by more than `tolerance`.  A value without a target gets no weight.  Where zero cells
+    make the targets unreachable, it ends when the scales no longer come nearer to one; `residuals` tells what is missing.
     """
     state = cells.withColumn("weight", F.col("tokens").cast("double"))
     for i, (margin, target) in enumerate(targets.items()):
@@ -59,25 +62,44 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], *, tolerance: float =
     sums = [target.join(cells.select(margin).distinct(), margin, "left_semi").agg(F.sum("share").cast("double").alias("s"))
             for margin, target in targets.items()]
     state = saved(state.select(
-        *cells.columns, "weight", *[F.coalesce(F.try_divide(F.col(c), s.select("s").scalar()), F.lit(0.0)).alias(c) for c, s in zip(there, sums, strict=True)],
-        F.lit(1.0).alias("off")))
-    for _ in range(rounds):
-        step, off = state, F.lit(0.0)
-        for c, margin in zip(there, targets, strict=True):
-            # Windows see cells, one row for each combination, never documents.
-            whole = F.sum("weight").over(Window.partitionBy(margin))
-            step = step.withColumn("_scale", F.when((whole > 0) & (F.col(c) > 0), F.col(c) / whole).otherwise(0.0))
-            step = step.withColumn("weight", F.col("weight") * F.col("_scale")).withColumn(
-                f"_off{c}", F.when(F.col("weight") > 0, F.abs(F.col("_scale") - 1)).otherwise(0.0))
-            off = F.greatest(off, F.col(f"_off{c}"))
+        *cells.columns, "weight", *[F.coalesce(F.try_divide(F.col(c), s.select("s").scalar()), F.lit(0.0)).alias(c) for c, s in zip(there, sums, strict=True)]))
+    best, waited = float("inf"), 0
+    while waited < PATIENCE:
+        step = state
+        for _ in range(AT_ONCE):
+            off = F.lit(0.0)
+            for c, margin in zip(there, targets, strict=True):
+                # Windows see cells, one row for each combination, never documents.
+                whole = F.sum("weight").over(Window.partitionBy(margin))
+                step = step.withColumn("_scale", F.when((whole > 0) & (F.col(c) > 0), F.col(c) / whole).otherwise(0.0))
+                step = step.withColumn("weight", F.col("weight") * F.col("_scale")).withColumn(
+                    f"_off{c}", F.when(F.col("weight") > 0, F.abs(F.col("_scale") - 1)).otherwise(0.0))
+                off = F.greatest(off, F.col(f"_off{c}"))
         before, state = state, saved(step.select(*cells.columns, "weight", *there, off.alias("off")), off=F.max("off"))
         release(before)
-        # How far the last scales were from one; the first round also sets the unit.
-        if (state.facts["off"] or 0.0) <= tolerance:
+        # How far the scales of the last round were from one.
+        left = state.facts["off"] or 0.0
+        if left <= tolerance:
             break
+        best, waited = (left, 0) if left < STALLED * best else (best, waited + 1)
     return state.select(*cells.columns, "weight")
 
 
+def residuals(raked: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """margin, value, target and reached share of every value that has cells or a target; shares add up to one where any are met."""
+    out = None
+    for margin, target in targets.items():
+        reached = raked.groupBy(margin).agg(F.sum("weight").alias("w"))
+        both = reached.join(target.select(margin, F.col("share").cast("double").alias("t")), margin, "full")
+        # One row a value of the margin.
+        every = Window.partitionBy(F.lit(0))
+        one = both.select(F.lit(margin).alias("margin"), F.col(margin).alias("value"),
+                          F.coalesce(F.col("t") / F.sum("t").over(every), F.lit(0.0)).alias("target"),
+                          F.coalesce(F.try_divide(F.col("w"), F.sum("w").over(every)), F.lit(0.0)).alias("reached"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def with_probability(docs: DataFrame, cells_of: DataFrame, *, power: float | None = None,
                      targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """`docs`, which has the key columns _source, _lang, _topic, with `_probability`.
