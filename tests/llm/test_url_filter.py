@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from triledger.llm import url_filter
 from triledger.llm.url_filter import cascade, host_and_path, judge
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/")]
@@ -40,3 +41,16 @@ def test_hosts_paths_and_rules(spark):
 def test_first_separator_counts(spark):
     row = spark.createDataFrame([("a://b://c/d",)], "u string").select(*host_and_path("u")).first()
     assert tuple(row) == ("b:", "//c/d")
+
+
+@pytest.mark.parametrize("mistakes", [0.01, 0.0])
+def test_a_short_list_over_many_keys(spark, monkeypatch, mistakes):
+    """The second level encodes more than the first; no filter of a shard outgrows its bound, expected or not."""
+    monkeypatch.setattr(url_filter, "MISTAKES", mistakes)
+    keys = spark.range(40_000).selectExpr("concat('host', id) as key")
+    names = {"elsewhere", *[f"host{i}" for i in range(0, 400, 10)]}
+    listed = spark.createDataFrame([(n,) for n in names], "key string")
+    made = url_filter.cascade(keys, listed, broadcast_bytes=64)
+    assert made.shards > 1 and all(b <= 8 * 64 for b in made.bits)
+    told = made.contains(keys.unionByName(listed), "key", "inside").filter("inside").select("key").distinct().collect()
+    assert {r["key"] for r in told} == names

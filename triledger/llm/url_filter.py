@@ -19,6 +19,8 @@ from triledger.llm.tables import saved
 
 BITS_PER_KEY, HASHES = 10, 7
 BROADCAST_BYTES = 32 << 20
+# The share of other keys that a level lets through, and a little more.
+MISTAKES = 0.01
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -88,19 +90,24 @@ def _level(keys: DataFrame, level: int, bits: int, shards: int) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("words"))
 
 
-def cascade(universe: DataFrame, listed: DataFrame, *, broadcast_bytes: int = BROADCAST_BYTES) -> Cascade:
+def cascade(universe: DataFrame, listed: DataFrame, *, broadcast_bytes: int = BROADCAST_BYTES, least_shards: int = 1) -> Cascade:
     """The cascade for the keys `key` of the corpus and of the list; null keys and repetitions do not matter."""
     both = universe.select("key", F.lit(0).alias("l")).unionByName(listed.select("key", F.lit(1).alias("l")))
     alive = both.filter("key is not null").groupBy("key").agg((F.max("l") == 1).alias("listed"))
     alive = saved(alive, listed=F.sum(F.col("listed").cast("long")))
     total = alive.facts["listed"] or 0
-    shards = max(1, -(-total * BITS_PER_KEY // (8 * broadcast_bytes)))
+    # The larger one of what the first two levels encode: the list, and the mistakes expected among all other keys.
+    expected = max(total, int(MISTAKES * (alive.facts["rows"] - total)))
+    shards = max(least_shards, -(-expected * BITS_PER_KEY // (8 * broadcast_bytes)))
     levels, bits = [], []
     while True:
         i = len(levels)
         listed_left = alive.facts["listed"] or 0
         encoded = listed_left if i % 2 == 0 else alive.facts["rows"] - listed_left
         bits.append(64 * max(1, -(-encoded * BITS_PER_KEY // (64 * shards))))
+        if bits[i] > 8 * max(8, broadcast_bytes):
+            # More mistakes than expected: no level may be larger, so all begins again with more shards.
+            return cascade(universe, listed, broadcast_bytes=broadcast_bytes, least_shards=-(-encoded * BITS_PER_KEY // (8 * broadcast_bytes)))
         levels.append(saved(_level(alive.filter("listed" if i % 2 == 0 else "not listed"), i, bits[i], shards)))
         # Keys that the new level lets through: all that it encodes, and mistakes.
         if shards == 1:
