@@ -120,3 +120,12 @@ def test_held_out_accuracy(spark):
     right = {(r["toxic"], r["predicted"]): r["count"] for r in judged.groupBy("toxic", "predicted").count().collect()}
     caught, missed, wrong = (right.get(k, 0) for k in ((1, 1), (1, 0), (0, 1)))
     assert caught >= 0.8 * (caught + missed) and caught >= 0.9 * (caught + wrong)
+
+
+def test_terms_are_found_in_runs_of_letters():
+    """Whatever they are glued to by; quotation marks still count."""
+    lexicon = Lexicon(["idiot"])
+    for text in ("you,idiot", "so-idiot", "x/idiot/y", "it's\u2019idiot", "1idiot2", "_idiot_", "¡idiot!"):
+        assert evidence(text, lexicon)[0] > 0, text
+    assert evidence('he wrote "you,idiot" there', lexicon)[0] < evidence("he wrote you,idiot there", lexicon)[0]
+    assert evidence("idi ot", lexicon)[0] == evidence("12 , ; ...", lexicon)[0] == 0

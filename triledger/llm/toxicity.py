@@ -31,6 +31,8 @@ WINDOW, NEAR = 25, 8
 THRESHOLD = 0.3
 QUOTES = "\"“”„«»‹›「」"
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+# Runs of letters, as the terms are learned from, with the quotation marks at them; other quotation marks stand alone.
+_TOKEN = re.compile(rf"[{QUOTES}]*[^\W\d_]+[{QUOTES}]*|[{QUOTES}]+")
 
 
 class Lexicon:
@@ -142,7 +144,7 @@ def finds(tokens: list[str], lexicon: Lexicon) -> list[tuple[int, float]]:
 
 def evidence(text: str | None, lexicon: Lexicon) -> tuple[float, float, float]:
     """Logarithms of the sum of the finds, of the densest window and of their share of the words."""
-    tokens = (text or "").lower().split()
+    tokens = _TOKEN.findall((text or "").lower())
     found = finds(tokens, lexicon)
     if not found:
         return 0.0, 0.0, 0.0
@@ -223,7 +225,7 @@ def _misspelled(sample: DataFrame, terms: list[str]) -> dict[str, float]:
             out = []
             for text in series:
                 found = set()
-                for token in set((text or "").lower().split()):
+                for token in set(_TOKEN.findall((text or "").lower())):
                     if token not in seen:
                         word = _EDGE.sub("", token)
                         seen[token] = lexicon.near(word) if lexicon.edits(word) == 1 else ()
