@@ -7,9 +7,10 @@ shingles, and a shingle is in few subsets; so all but that many signatures agree
 k * subsets + t signatures in one common order, two such sets share t (or, where a set has fewer than that, as many fewer).  Signatures of frequent shingles only come last in that
 order; which shingles are frequent is a matter of a sample, and changes the work but never the result.
 
-Sets that share t signatures are candidates.  Their shingles are compared first with one member of each signature group; what
-is connected then needs no further comparison, and in the end all candidates that are still apart have been compared: the
-components are exact.  Shingles are 64-bit hashes.
+Sets that share t signatures are candidates.  Their shingles are compared first with a central member of each signature group;
+what is connected then needs no further comparison.  Members that are still apart are joined by the rarest of the shingles in
+which they differ from the central one, and those that can be similar enough are compared whole: the components are exact.
+Shingles are 64-bit hashes.
 """
 
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triledger.llm.tables import bitmap, may_contain, packed, partitions, release, saved
@@ -35,8 +36,6 @@ SAMPLE, FREQUENT, FREQUENT_MOST = 4_000, 4, 100_000
 SIGNATURES_PER_TASK = 2_000_000
 PIECE = 4_000_000
 BITS_MOST = 1 << 25
-# Members of a signature group that are gathered in one row.
-BLOCK = 400
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -225,24 +224,41 @@ def _shared(members: DataFrame) -> DataFrame:
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
-    def side(name):
-        return sets.select(F.col("rep").alias(name), F.col("items").alias(f"_{name}"))
+    met = _common(pairs, sets, "a", "b")
+    return met.filter(_linked(percent)).select("a", "b").distinct()
 
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("_a", "_b"))
-    return met.filter(100 * common >= percent * (F.size("_a") + F.size("_b") - common)).select("a", "b").distinct()
 
+def _with_sets(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
+    """The pairs with the shingles of either side, `_a` and `_b`."""
+    for name, items in ((a, "_a"), (b, "_b")):
+        pairs = pairs.join(sets.select(F.col("rep").alias(name), F.col("items").alias(items)), name)
+    return pairs
+
+
+def _common(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
+    """The pairs with the sizes n and m of their sets and how many shingles they have in common."""
+    met = _with_sets(pairs, sets, a, b)
+    return met.select(*pairs.columns, F.size("_a").cast("long").alias("n"), F.size("_b").cast("long").alias("m"),
+                      F.size(F.array_intersect("_a", "_b")).cast("long").alias("common"))
 
-def _ordered(one: str, other: str) -> list[Column]:
-    return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
 
+def _linked(percent: int) -> Column:
+    return 100 * F.col("common") >= percent * (F.col("n") + F.col("m") - F.col("common"))
 
-def _near(percent: int) -> Column:
-    return 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+
+def _ordered(one: str, other: str) -> list[Column]:
+    return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
 
 
 class _Candidates:
-    """Sets by signature (sig, rep, n, need), and the pairs that have been compared."""
+    """Sets by signature (sig, rep, n, need), and the links that have been found.
+
+    Every signature has a pivot, the member that shares most signatures with others; the members of a pivot's signatures are its
+    family.  Two sets that are similar enough share a signature, so one is the pivot or both are in the family.  All are
+    compared with their pivots.  The rest is told by the differences to the pivot, x as the shingles that it and the pivot do not
+    share: x and y differ in |dx| + |dy| - 2 |dx & dy| shingles, and may differ in (|x| + |y|)(100 - percent) / (100 + percent).
+    What a crowd has in common is not in the differences, so what two members must share there is rare.
+    """
 
     def __init__(self, groups: DataFrame, rows: DataFrame, percent: int):
         self.groups, self.percent = groups, percent
@@ -253,80 +269,83 @@ class _Candidates:
         some = rows.filter(may_contain(bitmap(reps, "rep", bits), "doc_id", bits)).join(reps, F.col("doc_id") == F.col("rep"))
         some = some.select("doc_id", "_text").repartition(partitions(spark, reps.facts["rows"], 20_000))
         self.sets = saved(_set_table(some, None, {}).select(F.col("doc_id").alias("rep"), "items"))
+        release(reps)
         self.links: DataFrame | None = None
-        self.compared: list[DataFrame] = []
-
-    def compare(self, pairs: DataFrame) -> int:
-        """Compare the pairs that have not been; how many new links there are."""
-        new = pairs.filter("a <> b").distinct()
-        for done in self.compared:
-            new = new.join(done, ["a", "b"], "left_anti")
-        new = saved(new)
-        self.compared.append(new)
-        found = saved(_similar(new, self.sets, self.percent))
+
+    def _found(self, links: DataFrame) -> int:
+        found = saved(links)
         self.links = found if self.links is None else self.links.unionByName(found)
         return found.facts["rows"]
 
     def components(self) -> DataFrame:
         return connected_components(self.links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    def central(self) -> DataFrame:
-        """Each member of a group with the one that shares most signatures with others."""
+    def families(self) -> DataFrame:
+        """Each set with its pivots.
+
+        Partners share at least either one's `need` of signatures.  A set leaves out the pivots of less than half as many, so two
+        partners keep one of the pivots that they have in common.
+        """
         weight = self.groups.groupBy("rep").agg(F.count("*").alias("w"))
-        weighted = self.groups.join(weight, "rep")
-        pivots = weighted.groupBy("sig").agg(F.max(F.struct("w", F.col("rep").alias("pivot"), F.col("n").alias("m"))).alias("p")).select("sig", "p.*")
-        met = self.groups.join(pivots, "sig").filter(_near(self.percent) & (F.col("rep") != F.col("pivot")))
-        # A partner shares more than a few groups, the same one central member in many of them.
-        often = met.groupBy(*_ordered("rep", "pivot")).agg(F.count("*").alias("times"), F.min("need").alias("need"))
-        return often.filter("4 * times >= need").select("a", "b")
-
-    def apart(self) -> DataFrame:
-        """Members of groups whose members are not all connected: sig, rep, n, need, c (component), core (the largest there)."""
+        pivots = self.groups.join(weight, "rep").groupBy("sig").agg(F.max(F.struct("w", F.col("rep").alias("pivot"))).alias("p"))
+        met = self.groups.join(pivots.select("sig", "p.pivot"), "sig").groupBy("rep", "pivot").agg(
+            F.count("*").alias("times"), F.min("need").alias("need"))
+        # A set has at most as many pivots as signatures.
+        so_far = Window.partitionBy("rep").orderBy(F.col("rep") == F.col("pivot"), "times", "pivot").rowsBetween(Window.unboundedPreceding, 0)
+        met = met.select("rep", "pivot", "need", F.sum("times").over(so_far).alias("told"))
+        return met.filter("rep <> pivot and 2 * told > need - 1").select("rep", "pivot")
+
+    def compare(self) -> DataFrame:
+        """Compare all sets with their pivots: rep, pivot, their sizes n and m, common."""
+        ties = saved(_common(self.families(), self.sets, "rep", "pivot"))
+        self._found(ties.filter(_linked(self.percent)).select(*_ordered("rep", "pivot")).distinct())
+        return ties
+
+    def turn(self, salt: int) -> int:
+        """Compare sets that are apart from most of their group with one other member of that part; how many new links there are."""
         placed = self.groups.join(self.components().withColumnsRenamed({"node": "rep", "root": "c"}), "rep", "left")
-        placed = placed.withColumn("c", F.coalesce("c", "rep"))
-        counts = placed.groupBy("sig", "c").agg(F.count("*").alias("members"))
-        cores = counts.groupBy("sig").agg(F.max(F.struct("members", "c")).alias("most"), F.sum("members").alias("all")).filter("most.members < all")
-        rest = F.col("all") - F.col("most.members")
-        return saved(placed.join(cores.select("sig", F.col("most.c").alias("core"), "all", rest.alias("rest")), "sig"),
-                     pairs=F.sum(F.when(F.col("c") != F.col("core"), F.col("all"))), most=F.max("all"))
-
-    def by_pivot(self, apart: DataFrame, turn: int) -> DataFrame:
-        """Members outside the core, with one member of the core that is another one each turn."""
-        pivots = apart.filter("c = core").groupBy("sig").agg(
-            F.max(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep").alias("pivot"), F.col("n").alias("m"))).alias("p"))
-        return apart.filter("c <> core").join(pivots.select("sig", "p.pivot", "p.m"), "sig").filter(
-            _near(self.percent)).select(*_ordered("rep", "pivot"))
-
-    def remaining(self, apart: DataFrame) -> DataFrame:
-        """Every two members that are apart and share enough signatures.
-
-        A pair shares many signatures but is made once: the members of a group come in blocks, the blocks that a set meets are
-        gathered, and the partners in them are counted.
-        """
-        percent = self.percent
-        blocks = max(1, -(-(apart.facts["most"] or 1) // BLOCK))
-        outer = apart.filter("c <> core").select("sig", "rep", "n", "need", "c")
-        inner = apart.groupBy("sig", F.pmod(F.xxhash64("rep"), F.lit(blocks)).alias("block")).agg(
-            F.collect_list(F.struct("rep", "n", "need", "c")).alias("members"))
-        met = outer.join(inner, "sig").groupBy("rep", "n", "need", "c", "block").agg(F.flatten(F.collect_list("members")).alias("members"))
-
-        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = [np.empty((0, 4), dtype=np.int64)]
-                for i in range(len(batch)):
-                    rep, n, need, c = (batch.column(k)[i].as_py() for k in range(4))
-                    others = np.stack([batch.column(5)[i].values.field(k).to_numpy() for k in range(4)])
-                    fits = (others[3] != c) & (100 * np.minimum(others[1], n) >= percent * np.maximum(others[1], n))
-                    partners, at, times = np.unique(others[0, fits], return_index=True, return_counts=True)
-                    least = np.minimum(others[2, fits][at], need)
-                    out.append(np.stack([np.minimum(partners, rep), np.maximum(partners, rep), times, least], axis=1))
-                rows = np.concatenate(out)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(4)], names=["a", "b", "times", "need"])
-
-        pairs = met.select("rep", "n", "need", "c", "block", "members").mapInArrow(counted, "a long, b long, times long, need long")
-        # Either side counts the groups in whose core it is not; together they count every shared group at least once.
-        often = pairs.groupBy("a", "b").agg(F.sum("times").alias("times"), F.min("need").alias("need"))
-        return often.filter("times >= need").select("a", "b")
+        placed = placed.select("sig", "rep", F.coalesce("c", "rep").alias("c"))
+        counts = placed.groupBy("sig", "c").agg(
+            F.count("*").alias("members"), F.max(F.struct(F.xxhash64("rep", F.lit(salt)).alias("h"), F.col("rep").alias("pivot"))).alias("p"))
+        cores = counts.groupBy("sig").agg(F.max(F.struct("members", "c", "p")).alias("core")).select("sig", F.col("core.c").alias("core"), "core.p.pivot")
+        pairs = placed.join(cores, "sig").filter("c <> core").select(*_ordered("rep", "pivot")).distinct()
+        return self._found(_similar(pairs, self.sets, self.percent).join(self.links, ["a", "b"], "left_anti"))
+
+    def differing(self, ties: DataFrame) -> None:
+        """Compare the members of each family that are apart, where their differences to the pivot can have enough in common."""
+        plus, minus = 100 + self.percent, 100 - self.percent
+        placed = ties.join(self.components().withColumnsRenamed({"node": "rep", "root": "c"}), "rep", "left")
+        size = F.col("n") + F.col("m") - 2 * F.col("common")
+        # Members that are linked with the pivot are together already; of every two others, one is not.
+        placed = placed.select("pivot", "rep", "n", "m", F.coalesce("c", "rep").alias("c"), (plus * size - minus * F.col("n")).alias("cost"))
+        placed = placed.withColumn("outer", F.col("cost") > minus * F.col("m"))
+        split = placed.groupBy("pivot").agg(F.min("c").alias("first"), F.max("c").alias("last"), F.max("outer").alias("any"))
+        members = saved(placed.join(split.filter("first < last and any").select("pivot"), "pivot"))
+        sides = _with_sets(members.select("pivot", "rep", "c"), self.sets, "rep", "pivot")
+        differences = saved(sides.select("pivot", "rep", "c", F.concat(F.array_except("_a", "_b"), F.array_except("_b", "_a")).alias("items")))
+        # A number for a shingle in a family; if two had the same, there would be more to compare, not less.
+        single = differences.select("pivot", "rep", "c", F.explode("items").alias("h")).withColumn("h", F.xxhash64("pivot", "h"))
+        often = single.groupBy("h").agg(F.count("*").alias("times"), F.min("c").alias("first"), F.max("c").alias("last"))
+        often = saved(often.filter("first < last").select("h", "times"))
+        bits = min(BITS_MOST, 1 << max(16, (16 * often.facts["rows"]).bit_length()))
+        met = single.filter(may_contain(bitmap(often, "h", bits), "h", bits)).join(often, "h")
+        shared = met.groupBy("pivot", "rep").agg(F.array_sort(F.collect_list(F.struct("times", "h"))).alias("shared"))
+        # x and y are linked if 2 * plus * |dx & dy| >= cost x + cost y.  By the sizes alone a member shares at least `least`, and
+        # it shares no more than `shared`; so the `least` most frequent shingles but one can be left out.
+        least = F.when(F.col("outer"), (F.col("cost") - minus * F.col("m")) / (plus + minus)).otherwise(
+            (F.col("cost") + minus * F.col("m")) / (2 * plus))
+        reach = 2 * plus * F.size("shared") - F.col("cost")
+        heads = members.join(shared, ["pivot", "rep"]).withColumn("keep", F.size("shared") + 1 - F.greatest(F.ceil(least), F.lit(1)))
+        heads = saved(heads.filter("keep > 0").select(
+            "rep", "n", "c", "cost", "outer", reach.alias("reach"),
+            F.explode(F.slice("shared", F.lit(1), F.col("keep").cast("int"))["h"]).alias("h")))
+        x, y = heads.filter("outer").alias("x"), heads.alias("y")
+        meets = ((F.col("x.h") == F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.cost") <= F.col("y.reach"))
+                 & (F.col("y.cost") <= F.col("x.reach")) & (~F.col("y.outer") | (F.col("x.rep") < F.col("y.rep")))
+                 & (100 * F.least("x.n", "y.n") >= self.percent * F.greatest("x.n", "y.n")))
+        pairs = saved(x.join(y, meets).select(*_ordered("x.rep", "y.rep")).distinct())
+        self._found(_similar(pairs, self.sets, self.percent))
+        release(members, differences, often, heads, pairs)
 
 
 def _sharing(groups: DataFrame) -> DataFrame:
@@ -340,11 +359,12 @@ def _sharing(groups: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, percent: int = PERCENT, n2: int = N2, k2: int = K2,
-               share: float = SHARE, least: int = LEAST, common: float = COMMON, turns: int = 8) -> DataFrame:
+               share: float = SHARE, least: int = LEAST, common: float = COMMON, turns: int = 0) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
     Rows with equal ids are one document.  Null and empty texts have no shingles, link with nothing and are components of their
-    own; a row without an id is a component without an id unless an equal set has one.  Other columns are not read.
+    own; a row without an id is a component without an id unless an equal set has one.  Other columns are not read.  `turns` are
+    rounds that link sets with further members of their groups before; they change the work, never the result.
     """
     options = {"percent": percent, "n2": n2, "k2": k2, "share": share, "least": least, "common": common}
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"))
@@ -360,17 +380,13 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, p
     groups = _sharing(saved(shared.join(reps.filter("rep is not null"), "lo").select("sig", "rep", "n", "need").distinct()))
     release(shared)
     found = _Candidates(groups, rows, percent)
-    found.compare(found.central())
-    apart = found.apart()
+    ties = found.compare()
     for turn in range(turns):
-        # Few enough to compare them all, in proportion to the groups.
-        if (apart.facts["pairs"] or 0) <= groups.facts["rows"] // 64:
-            break
-        if not found.compare(found.by_pivot(apart, turn)):
+        if not found.turn(turn):
             break
-        release(apart)
-        apart = found.apart()
-    found.compare(found.remaining(apart))
+    release(groups)
+    found.differing(ties)
+    release(ties, found.sets)
     roots = found.components().withColumnsRenamed({"node": "rep", "root": "component_id"})
     whole = narrow.join(reps, key, "left").join(roots, "rep", "left")
     return whole.select("doc_id", F.col("n").alias("n_shingles"),
