@@ -126,3 +126,52 @@ def test_shared_members_are_told_across_batches(spark):
         assert got == sorted({(s, m) for s, m in members if s % 5 > 1})
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def crowd(seed, members):
+    """Sets around one text that are mostly 0.5 to 0.8 similar; some share edits with each other, so that they link past the text."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(160)]
+    shared = [(at, f"s{at}") for at in rng.sample(range(160), 24)]
+    docs = [(5, " ".join(base))]
+    for i in range(members):
+        words = list(base)
+        for at, word in rng.sample(shared, rng.choice([0, 0, 3, 12, 22])):
+            words[at] = word
+        for at in rng.sample(range(160), rng.choice([0, 1, 2, 4, 6, 8])):
+            words[at] = f"x{i}y{at}"
+        if rng.random() < 0.3:
+            words = words[:rng.randrange(120, 160)]
+        docs.append((100 + i, " ".join(words)))
+    return docs
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_a_crowd_of_nearly_similar_sets(spark, seed):
+    docs = crowd(seed, 150)
+    expected = brute(docs)
+    assert 3 < len({c for _, _, c in expected}) < 150
+    assert sorted(map(tuple, components(spark.createDataFrame(docs, "doc_id long, text string")).collect())) == expected
+
+
+def test_a_crowd_is_not_compared_pair_by_pair(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(150)]
+    docs = [(0, " ".join(base))]
+    for i in range(400):
+        words = list(base)
+        for at in rng.sample(range(150), 7 if i % 2 else 2):
+            words[at] = f"x{i}y{at}"
+        docs.append((1 + i, " ".join(words)))
+    compared = []
+
+    def counted(pairs, *others):
+        compared.append(pairs.count())
+        return similar(pairs, *others)
+
+    similar = ngram_join._similar
+    monkeypatch.setattr(ngram_join, "_similar", counted)
+    got = components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == brute(docs)
+    # 200 members apart, 20 000 pairs of them and 40 000 with the others.
+    assert sum(compared) < 2 * len(docs)
