@@ -14,11 +14,11 @@ def plain_reads(spark: SparkSession) -> None:
     """Settings of the session that keep memory outside the heap small, from now on.
 
     Parquet is read in plain calls: vectored reads keep a buffer for each thread, as large as a column of a row group.  Python
-    workers get batches of a bounded size.
+    workers get batches of a bounded size, of which each worker and the buffers beside it hold several at a time.
     """
     spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def packed(docs: DataFrame) -> Column:
