@@ -27,15 +27,26 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 CHUNK, OVERLAP = 32_768, 1_024
 
 
-@lru_cache(maxsize=4)
-def vocabulary(path: str) -> tuple[tiktoken.Encoding, list[bytes]]:
-    """The encoder of a rank file, and the bytes of each id."""
+def _ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+
+@lru_cache(maxsize=4)
+def spelling(path: str) -> list[bytes]:
+    """The bytes of each id of a rank file."""
+    ranks = _ranks(path)
     spelled = [b""] * (max(ranks.values()) + 1)
     for piece, i in ranks.items():
         spelled[i] = piece
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), spelled
+    return spelled
+
+
+@lru_cache(maxsize=4)
+def vocabulary(path: str) -> tuple[tiktoken.Encoding, list[bytes]]:
+    """The encoder of a rank file, and the bytes of each id."""
+    encoder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=_ranks(path), special_tokens={})
+    return encoder, spelling(path)
 
 
 @lru_cache(maxsize=1)
@@ -61,7 +72,7 @@ def _encoded(rows: DataFrame, keep: list[str], path: str) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # Long rows in few batches of bounded size.
-            size = max(1, int(len(batch) * 16e6 // max(1, batch.column("_text").nbytes)))
+            size = max(1, int(len(batch) * 4e6 // max(1, batch.column("_text").nbytes)))
             for at in range(0, len(batch), size):
                 part = batch.slice(at, size)
                 ids = _ids((t or "" for t in part.column("_text").to_pylist()), path)
@@ -144,7 +155,7 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
 def decode(rows: DataFrame, ids: str = "ids", into: str = "bytes", *, path: str = RANKS) -> DataFrame:
     """All columns and the bytes of the ids, concatenated; null ids give no bytes, an unknown id is an error."""
     def spell(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        spelled = vocabulary(path)[1]
+        spelled = spelling(path)
         for series in column:
             yield series.map(lambda row: b"" if row is None else b"".join(map(spelled.__getitem__, row.tolist())))
 
