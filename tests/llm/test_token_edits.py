@@ -40,6 +40,24 @@ def test_only_touched_leaves_are_encoded_again():
     assert 0 < tree.encoded < 4 * token_edits.LEAF
 
 
+def test_a_grown_leaf_is_cut_without_the_rest_of_its_tree():
+    rng = random.Random(2)
+    text = " ".join("word" + str(rng.randrange(999)) for _ in range(20_000))
+    added = " ".join("new" + str(rng.randrange(99)) for _ in range(5_000))
+    tree = Tree(text)
+    tree = Tree(text, RANKS, tree.leaf_tokens(), tree.leaf_starts())
+    tree.edit(70_000, 3, added)
+    text = text[:70_000] + added + text[70_003:]
+    assert "".join(tree.leaves) == text and tree.tokens == count(text) and tree.sums[1].tolist() == [len(text), count(text)]
+    assert len(added) > token_edits.GROWN * token_edits.LEAF and tree.encoded < len(added) + 4 * token_edits.LEAF
+    assert max(map(len, tree.leaves)) < 2 * token_edits.LEAF
+    for at, removed, new in ((69_900, 30_000, "x y"), (0, 5, ""), (len(text), 0, added), (50, 10**6, added)):
+        tree.edit(at, removed, new)
+        at = min(at, len(text))
+        text = text[:at] + new + text[at + removed:]
+        assert "".join(tree.leaves) == text and tree.tokens == count(text)
+
+
 def test_trees_kept_as_tables(spark):
     docs = [(i, " ".join(f"w{j * i % 37}" for j in range(i * 40))) for i in range(12)] + [(12, None), (13, "")]
     trees = grow(spark.createDataFrame(docs, "doc_id long, text string"))

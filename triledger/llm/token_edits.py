@@ -3,7 +3,7 @@
 Each document has a segment tree.  Its leaves are runs of whole pre-tokens, cut before a single blank between two other
 characters, where a pre-token begins whatever stands around; a node holds the characters and tokens below it.  An edit finds its
 leaves by the sums of characters; only they, and a neighbour where the edit touches a cut, are encoded again, and the sums above
-them are updated.
+them are updated.  A text without such blanks is one leaf.
 """
 
 import re
@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from triledger.llm.bpe import RANKS, vocabulary
 
 LEAF = 256
-# A leaf grown beyond so many times LEAF is cut again with its whole tree.
+# A leaf grown beyond so many times LEAF is cut again.
 GROWN = 64
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -42,14 +42,19 @@ class Tree:
         self.path = path
         starts = cuts(text) if starts is None else starts
         self.leaves = [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)], strict=True)]
-        self.width = 1 << max(0, len(self.leaves) - 1).bit_length()
         self.encoded = 0
-        counts = [self._count(leaf) for leaf in self.leaves] if tokens is None else list(tokens)
+        self._add_up([self._count(leaf) for leaf in self.leaves] if tokens is None else tokens)
+
+    def _add_up(self, counts: list[int]) -> None:
+        """All sums from the leaves and their tokens, a level at a time."""
+        self.width = 1 << max(0, len(self.leaves) - 1).bit_length()
         self.sums = np.zeros((2 * self.width, 2), dtype=np.int64)
         self.sums[self.width:self.width + len(counts), 0] = [len(leaf) for leaf in self.leaves]
         self.sums[self.width:self.width + len(counts), 1] = counts
-        for node in range(self.width - 1, 0, -1):
-            self.sums[node] = self.sums[2 * node] + self.sums[2 * node + 1]
+        level = self.width
+        while level > 1:
+            level //= 2
+            self.sums[level:2 * level] = self.sums[2 * level:4 * level].reshape(level, 2, 2).sum(axis=1)
 
     def _count(self, text: str) -> int:
         self.encoded += len(text)
@@ -103,14 +108,18 @@ class Tree:
         while begin and (len(region) < 2 or not region[0] == " " or region[1].isspace()):
             first, begin = self._leaf(begin - 1)
             region = self.leaves[first] + region
-        for leaf in range(first + 1, last + 1):
-            if self.leaves[leaf]:
-                self._set(leaf, "", 0)
-        self._set(first, region, self._count(region))
-        if len(region) > GROWN * LEAF and len(cuts(region)) > 1:
-            encoded = self.encoded
-            self.__init__("".join(self.leaves), self.path)
-            self.encoded += encoded
+        begins = cuts(region) if len(region) > GROWN * LEAF else [0]
+        if len(begins) == 1:
+            for leaf in range(first + 1, last + 1):
+                if self.leaves[leaf]:
+                    self._set(leaf, "", 0)
+            self._set(first, region, self._count(region))
+            return
+        pieces = [region[a:b] for a, b in zip(begins, [*begins[1:], len(region)], strict=True)]
+        counts = self.leaf_tokens()
+        counts[first:last + 1] = [self._count(piece) for piece in pieces]
+        self.leaves[first:last + 1] = pieces
+        self._add_up(counts)
 
 
 def _with(rows: DataFrame, *more: tuple[str, T.DataType]) -> T.StructType:
