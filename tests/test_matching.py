@@ -102,3 +102,16 @@ def test_other_agent_mode(spark):
     expected = plain(p, s, OTHER_AGENT, 100, 10)
     assert run(spark, p, s, OTHER_AGENT, 10, 10_000) == expected
     assert run(spark, p, s, OTHER_AGENT, 10, 1) == expected
+
+
+def test_a_call_of_python_takes_many_groups(spark, monkeypatch):
+    """Small groups share a call; the turns of large ids stay exact."""
+    buckets = []
+    handed = matching._handed_out
+    monkeypatch.setattr(matching, "_handed_out", lambda *a: buckets.append(a[-1]) or handed(*a))
+    far = 2 ** 53
+    p = [(far + i, f"A{i % 30}", 10000 * (1 + i % 4), 20 * (i % 3), i) for i in range(120)]
+    s = [(100_000 + i, f"A{i % 30}", 10000 * (1 + i % 4), 20 * (i % 3), i) for i in range(60)]
+    monkeypatch.setattr(matching, "CALL_ROWS", 10)
+    assert run(spark, p, s, NEAREST, 7, 1) == plain(p, s, NEAREST, 100, 7)
+    assert set(buckets) == {13}
