@@ -87,3 +87,15 @@ def test_salts_follow_the_size_of_a_key(spark):
     got = salted_join(rows, lookup, ["key"], hot_rows=7)
     assert got.count() == 1000 and got.filter("key is not null and not coalesce(seen, false)").count() == 0
     assert hot_keys(rows.filter("key is not null"), ["key"], 7).first()["_salts"] == 86
+
+
+def test_a_small_lookup_is_broadcast(spark):
+    """Rows that meet a small lookup are neither shuffled nor counted, however hot a key is."""
+    rows = spark.range(300).select("id", F.when(F.col("id") % 10 < 8, "hot").otherwise(F.col("id").cast("string")).alias("key"))
+    rows = rows.unionByName(spark.range(3).select("id", F.lit(None).cast("string").alias("key")))
+    lookup = spark.createDataFrame([("hot", 1), ("9", 2), (None, 3)], "key string, x int")
+    for how in ("left", "inner"):
+        got = salted_join(rows, lookup, ["key"], hot_rows=7, how=how, lookup_rows=3)
+        assert sorted(got.collect(), key=repr) == sorted(rows.join(lookup, "key", how).collect(), key=repr)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "Aggregate" not in plan
