@@ -203,12 +203,17 @@ def statements(orders: DataFrame) -> DataFrame:
         ((F.col("owner") + F.col("mi")) % 19 == 5).alias("unfinished"),
     ).filter((F.col("owner") * 7 + F.col("mi")) % 61 != 0)
 
-    rows = lines.join(months, ["owner", "mi"])
-    final = rows.withColumn("version", F.when(F.col("again"), ENGLISH.reissued).when(F.col("unfinished"), ENGLISH.draft))
-    draft = rows.filter(F.col("again") & in_draft).select(
-        *[c for c in rows.columns if c not in ("end", "line_no")],
-        F.col("end_draft").alias("end"), (F.col("line_no") + 5).alias("line_no"), F.lit(ENGLISH.draft).alias("version"))
-    return final.unionByName(draft).select(
+    # One row per owner and calendar month, so the lines stay where they are.
+    rows = lines.join(F.broadcast(months), ["owner", "mi"])
+    versions = F.when(F.col("again") & in_draft, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    rows = rows.withColumn("is_draft", F.explode(versions))
+    usual = F.when(F.col("again"), ENGLISH.reissued).when(F.col("unfinished"), ENGLISH.draft)
+    rows = rows.withColumns({
+        "version": F.when(F.col("is_draft"), ENGLISH.draft).otherwise(usual),
+        "end": F.when(F.col("is_draft"), F.col("end_draft")).otherwise(F.col("end")),
+        "line_no": F.when(F.col("is_draft"), F.col("line_no") + 5).otherwise(F.col("line_no")),
+    })
+    return rows.select(
         "folder",
         F.trunc("doc_date", "month").alias("period_start"),
         F.last_day("doc_date").alias("period_end"),
