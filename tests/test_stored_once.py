@@ -78,6 +78,8 @@ def test_the_texts_of_a_group_are_gathered_as_one_set(spark):
     totals = groups.source_totals(statements, ledger, journal, DEFAULT)
     got = {r.gid: (r.ledger_kinds, r.ledger_creators, r.journal_kinds, r.employees, r.journal_issue) for r in totals.collect()}
     assert got == {"g1": ("sale|void", "a|b", "refund|sale", "y|z", "A|B"), "g2": ("|sale", "", "", "", ""), "g3": ("", "", "", "", "")}
+    assert totals.columns[9:12] == ["ledger_kinds", "ledger_creators", "by_bot"] and totals.columns[18:21] == [
+        "journal_kinds", "employees", "journal_issue"]
     plan = totals._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("collect_set") == 1
 
