@@ -175,3 +175,41 @@ def test_a_crowd_is_not_compared_pair_by_pair(spark, monkeypatch):
     assert sorted(map(tuple, got)) == brute(docs)
     # 200 members apart, 20 000 pairs of them and 40 000 with the others.
     assert sum(compared) < 2 * len(docs)
+
+
+def test_members_that_share_too_few_differences_are_left_out(spark):
+    members = {10: (3, [1, 2, 3, 4]), 11: (3, [1, 2, 3]), 12: (3, [1, 2, 9]), 13: (2, [9, 8])}
+    single = spark.createDataFrame([(1, m, m, least, h) for m, (least, own) in members.items() for h in own],
+                                   "pivot long, rep long, c long, least long, h long")
+    once = ngram_join._reaching(single)
+    assert sorted((r["rep"], r["h"]) for r in once.collect()) == [*((m, h) for m in (10, 11) for h in (1, 2, 3)), (12, 1), (12, 2), (12, 9)]
+    # 9 was shared with the member that has gone.
+    assert sorted((r["rep"], r["h"]) for r in ngram_join._reaching(once).collect()) == [(m, h) for m in (10, 11) for h in (1, 2, 3)]
+
+
+def test_differences_of_a_crowd_are_not_joined_in_vain(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(150)]
+    edits = [(at, f"s{at}") for at in range(0, 150, 6)]
+    docs = [(0, " ".join(base))]
+    for i in range(120):
+        words = list(base)
+        for at in rng.sample(range(150), 12):
+            words[at] = f"x{i}y{at}"
+        for at, word in rng.sample(edits, 1):
+            words[at] = word
+        docs.append((1 + i, " ".join(words)))
+    # Two that are linked past the text.
+    docs += [(500 + i, " ".join([*(f"z{at}" if at % 13 == 0 else w for at, w in enumerate(base)), f"e{i}"])) for i in range(2)]
+    seen = []
+
+    def counted(single):
+        seen.append(single.count())
+        return often(single)
+
+    often = ngram_join._often
+    monkeypatch.setattr(ngram_join, "_often", counted)
+    got = components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == brute(docs)
+    assert len({c for _, _, c in brute(docs)}) > 60
+    assert seen[-1] < seen[0] / 20

@@ -36,6 +36,8 @@ SAMPLE, FREQUENT, FREQUENT_MOST = 4_000, 4, 100_000
 SIGNATURES_PER_TASK = 2_000_000
 PIECE = 4_000_000
 BITS_MOST = 1 << 25
+# How often members that share too few differences with others are left out, before the differences are joined.
+ROUNDS = 2
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -250,6 +252,27 @@ def _ordered(one: str, other: str) -> list[Column]:
     return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
 
 
+def _often(single: DataFrame) -> DataFrame:
+    """The differences h that members of several components have, and how many members have them."""
+    often = single.groupBy("h").agg(F.count("*").alias("times"), F.min("c").alias("first"), F.max("c").alias("last"))
+    return often.filter("first < last").select("h", "times")
+
+
+def _reaching(single: DataFrame) -> DataFrame:
+    """Differences (pivot, rep, c, least, h) that several components may have, of members with at least `least` of them.
+
+    Two members that are linked have that many in common, so neither is left out.
+    """
+    often = saved(_often(single))
+    bits = min(BITS_MOST, 1 << max(16, (16 * often.facts["rows"]).bit_length()))
+    member = Window.partitionBy("pivot", "rep")
+    there = single.filter(may_contain(bitmap(often, "h", bits), "h", bits)).withColumns(
+        {"_there": F.count("*").over(member), "_least": F.min("least").over(member)})
+    found = saved(there.filter("_there >= _least").select(*single.columns))
+    release(often)
+    return found
+
+
 class _Candidates:
     """Sets by signature (sig, rep, n, need), and the links that have been found.
 
@@ -319,23 +342,27 @@ class _Candidates:
         # Members that are linked with the pivot are together already; of every two others, one is not.
         placed = placed.select("pivot", "rep", "n", "m", F.coalesce("c", "rep").alias("c"), (plus * size - minus * F.col("n")).alias("cost"))
         placed = placed.withColumn("outer", F.col("cost") > minus * F.col("m"))
+        # x and y are linked if 2 * plus * |dx & dy| >= cost x + cost y: by the sizes alone a member shares at least `least`.
+        least = F.when(F.col("outer"), (F.col("cost") - minus * F.col("m")) / (plus + minus)).otherwise(
+            (F.col("cost") + minus * F.col("m")) / (2 * plus))
+        placed = placed.withColumn("least", F.greatest(F.ceil(least), F.lit(1)))
         split = placed.groupBy("pivot").agg(F.min("c").alias("first"), F.max("c").alias("last"), F.max("outer").alias("any"))
         members = saved(placed.join(split.filter("first < last and any").select("pivot"), "pivot"))
-        sides = _with_sets(members.select("pivot", "rep", "c"), self.sets, "rep", "pivot")
-        differences = saved(sides.select("pivot", "rep", "c", F.concat(F.array_except("_a", "_b"), F.array_except("_b", "_a")).alias("items")))
+        sides = _with_sets(members.select("pivot", "rep", "c", "least"), self.sets, "rep", "pivot")
+        differences = saved(sides.select("pivot", "rep", "c", "least", F.concat(F.array_except("_a", "_b"), F.array_except("_b", "_a")).alias("items")))
         # A number for a shingle in a family; if two had the same, there would be more to compare, not less.
-        single = differences.select("pivot", "rep", "c", F.explode("items").alias("h")).withColumn("h", F.xxhash64("pivot", "h"))
-        often = single.groupBy("h").agg(F.count("*").alias("times"), F.min("c").alias("first"), F.max("c").alias("last"))
-        often = saved(often.filter("first < last").select("h", "times"))
-        bits = min(BITS_MOST, 1 << max(16, (16 * often.facts["rows"]).bit_length()))
-        met = single.filter(may_contain(bitmap(often, "h", bits), "h", bits)).join(often, "h")
+        single = differences.select("pivot", "rep", "c", "least", F.explode("items").alias("h")).withColumn("h", F.xxhash64("pivot", "h"))
+        stored = differences
+        for _ in range(ROUNDS):
+            single = _reaching(single)
+            release(stored)
+            stored = single
+        often = saved(_often(single))
+        met = single.join(often, "h")
         shared = met.groupBy("pivot", "rep").agg(F.array_sort(F.collect_list(F.struct("times", "h"))).alias("shared"))
-        # x and y are linked if 2 * plus * |dx & dy| >= cost x + cost y.  By the sizes alone a member shares at least `least`, and
-        # it shares no more than `shared`; so the `least` most frequent shingles but one can be left out.
-        least = F.when(F.col("outer"), (F.col("cost") - minus * F.col("m")) / (plus + minus)).otherwise(
-            (F.col("cost") + minus * F.col("m")) / (2 * plus))
+        # A member shares no more than `shared`; so the `least` most frequent shingles but one can be left out.
         reach = 2 * plus * F.size("shared") - F.col("cost")
-        heads = members.join(shared, ["pivot", "rep"]).withColumn("keep", F.size("shared") + 1 - F.greatest(F.ceil(least), F.lit(1)))
+        heads = members.join(shared, ["pivot", "rep"]).withColumn("keep", F.size("shared") + 1 - F.col("least"))
         heads = saved(heads.filter("keep > 0").select(
             "rep", "n", "c", "cost", "outer", reach.alias("reach"),
             F.explode(F.slice("shared", F.lit(1), F.col("keep").cast("int"))["h"]).alias("h")))
@@ -345,7 +372,7 @@ class _Candidates:
                  & (100 * F.least("x.n", "y.n") >= self.percent * F.greatest("x.n", "y.n")))
         pairs = saved(x.join(y, meets).select(*_ordered("x.rep", "y.rep")).distinct())
         self._found(_similar(pairs, self.sets, self.percent))
-        release(members, differences, often, heads, pairs)
+        release(members, stored, often, heads, pairs)
 
 
 def _sharing(groups: DataFrame) -> DataFrame:
