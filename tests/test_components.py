@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from triledger.operators import components
 from triledger.operators.components import connected_components
 
 
@@ -45,3 +46,20 @@ def test_components(spark, name, hot_rows):
 
 def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "u string, v string")).count() == 0
+
+
+def test_whole_stars_leave_before_the_rounds(spark, monkeypatch):
+    pairs = [(f"a{i}", f"b{i}") for i in range(30)]
+    # The middle of "r, q, p" is no centre, and the star around "m" is one; "z1" has two smaller neighbours.
+    stars = [("m", "n1"), ("n2", "m"), ("m", "n2")]
+    others = [("q", "r"), ("q", "p"), ("z1", "y1"), ("z1", "y2"), ("c", "d"), ("e", "d"), ("e", "f")]
+    seen, step = [], components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda edges, hot: seen.append((edges.count(), hot)) or step(edges, hot))
+    for hot_rows in (10, 1_000_000):
+        del seen[:]
+        out = connected_components(spark.createDataFrame(pairs + stars + others, "u string, v string"), hot_rows=hot_rows).collect()
+        assert len(out) == len({r.node for r in out}) and {r.node: r.root for r in out} == plain(pairs + stars + others)
+        # No node has more than two neighbours here, so none is busy.
+        assert seen[0] == (len(others), None)
+    del seen[:]
+    assert connected_components(spark.createDataFrame(pairs, "u string, v string")).count() == 60 and seen == []

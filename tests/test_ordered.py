@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from triledger.operators import skew
 from triledger.operators.ordered import gap_islands, ordered_scan, totals_before
 from triledger.operators.skew import hot_keys, salted_join
 
@@ -99,3 +100,16 @@ def test_a_small_lookup_is_broadcast(spark):
         assert sorted(got.collect(), key=repr) == sorted(rows.join(lookup, "key", how).collect(), key=repr)
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning" not in plan and "Aggregate" not in plan
+
+
+def test_keys_are_counted_only_in_buckets_that_are_hot(spark, monkeypatch):
+    rows = spark.range(600).select(F.when(F.col("id") < 200, F.lit("hot")).when(F.col("id") % 7 != 0, F.concat(F.lit("k"), F.col("id"))).alias("key"), "id")
+    lookup = rows.filter("key is not null").select("key").distinct().withColumn("x", F.length("key"))
+    expected = sorted(rows.join(lookup, "key", "left").collect(), key=lambda r: r.id)
+    counted, count = [], skew.hot_keys
+    monkeypatch.setattr(skew, "hot_keys", lambda df, *rest: counted.append(df.filter("key is not null").count()) or count(df, *rest))
+    got = salted_join(rows, lookup, ["key"], hot_rows=150, at_most=600)
+    assert sorted(got.collect(), key=lambda r: r.id) == expected and 200 <= counted[0] < 250
+    # No bucket has that many rows, so no key is counted by itself and nothing is salted.
+    got = salted_join(rows, lookup, ["key"], hot_rows=300, at_most=600)
+    assert len(counted) == 1 and sorted(got.collect(), key=lambda r: r.id) == expected

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from triledger.operators.durable import durable, fingerprint, known_rows
-from triledger.operators.skew import hot_limit, salted_join, salts_for
+from triledger.operators.skew import hot_buckets, hot_keys, hot_limit, salted_join, salts_for
 
 
 def _with_minimum(pairs: DataFrame, node: str, other: str, hot_rows: int | None) -> DataFrame:
@@ -27,9 +27,43 @@ def _with_minimum(pairs: DataFrame, node: str, other: str, hot_rows: int | None)
     return left.join(right, [node, "_salt"]).drop("_salt")
 
 
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+def _busy_from(edges: DataFrame, hot_rows: int) -> int | None:
+    """The number of neighbours from which a node is busy; none where no node is.
+
+    A round gives no node more larger or more smaller neighbours than it had neighbours of both kinds.
+    """
+    ends = 2 * known_rows(edges)
+    if ends <= hot_rows:
+        return None
+    limit = hot_limit(hot_rows, ends)
+    busy = hot_buckets(_both(edges), ["u"], limit, ends)
+    if busy is None:
+        busy = durable(hot_keys(_both(edges), ["u"], limit))
+    return limit if known_rows(busy) else None
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """The edges, distinct and from larger to smaller nodes, with a flag for those of whole components around their smallest node.
+
+    That is where every neighbour of the smaller node is larger and has no other neighbour.
+    """
+    at = Window.partitionBy("_node")
+    ends = edges.select(F.col("u").alias("_node"), "v").unionByName(edges.select(F.col("v").alias("_node"), F.lit(None).cast(edges.schema["v"].dataType).alias("v")))
+    seen = ends.withColumns({"_degree": F.count("*").over(at), "_smaller": F.count("v").over(at)})
+    upward = F.col("v").isNotNull()
+    # A node tells its smaller neighbours whether it has others; one that has smaller neighbours tells itself that it is no centre.
+    told = seen.filter(upward | (F.col("_smaller") > 0)).select(
+        F.when(upward, F.col("_node")).alias("u"), F.coalesce("v", "_node").alias("v"), (upward & (F.col("_degree") == 1)).alias("_leaf"))
+    return told.withColumn("_star", F.min("_leaf").over(Window.partitionBy("v"))).filter(F.col("u").isNotNull()).select("u", "v", "_star")
+
+
 def _large_star(edges: DataFrame, hot_rows: int | None) -> DataFrame:
     """Link every larger neighbour of a node to the smallest node in its neighbourhood."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = _both(edges)
     starred = _with_minimum(both, "u", "v", hot_rows).filter(F.col("v") > F.col("u"))
     return starred.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
@@ -55,13 +89,18 @@ def connected_components(edges: DataFrame, *, hot_rows: int = 1_000_000) -> Data
     state = durable(
         edges.filter(F.col("u") != F.col("v"))
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), content)
+    done = None
+    if known_rows(state) > 0 and _busy_from(state, hot_rows) is None:
+        # Most tickets have one partner: whole components leave before the rounds, which move every edge that is left.
+        marked = durable(_stars(state))
+        done, state = marked.filter("_star").drop("_star"), durable(marked.filter("not _star").drop("_star"), content)
     # Every round at least shortens all paths, so the rounds end by themselves: about the logarithm of the longest path.
-    while (n := known_rows(state)) > 0:
-        # A node has at most twice as many neighbours as there are edges: below that, none is busy.
-        hot = hot_limit(hot_rows, 2 * n) if 2 * n > hot_rows else None
+    while known_rows(state) > 0:
+        hot = _busy_from(state, hot_rows)
         before, state = state, durable(_small_star(_large_star(state, hot), hot), content)
         if fingerprint(before) == fingerprint(state):
             break
+    state = state if done is None else done.unionByName(state)
     return state.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
