@@ -94,3 +94,15 @@ def test_the_round_trip_writes_no_stored_table_again(spark, tmp_path, monkeypatc
     got = catalog.QUERIES["sink_round_trip"](spark, str(tmp_path)).collect()
     assert not any(df is tables["stored"] for df in given) and any(df is tables["planned"] for df in given)
     assert len(got) == 6 and all(r.same and r.rows == {"stored": 7, "planned": 5}[r.table_name] for r in got)
+
+
+def test_rows_with_a_group_carry_what_is_read_of_them(spark):
+    orders = spark.range(400).select(
+        F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey"), (1_000 + F.col("id")).cast("double").alias("o_totalprice"),
+        F.date_add(F.lit("1997-03-01").cast("date"), (F.col("id") % 90).cast("int")).alias("o_orderdate"))
+    r = reconcile(Sources(derived.statements(orders), derived.ledger(orders), derived.journal(orders)))
+    for rows, whole, unread in (
+            (r.statements_grouped, r.statements, {"invoice", "pax", "ticket_text", "debit", "credit", "opening", "closing"}),
+            (r.ledger, r.ledger_inside, {"balance_after", "amount_orig", "comment"}),
+            (r.journal, r.journal_prepared, {"date_text", "ticket_text", "pax", "pnr", "airline", "route", "pay_cell", "rate_usd", "rate_rub"})):
+        assert unread <= set(whole.columns) and not unread & set(rows.columns) and known_rows(rows) == whole.count() > 0

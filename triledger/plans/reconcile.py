@@ -21,6 +21,16 @@ from triledger.operators.skew import SMALL_LOOKUP
 from triledger.plans.classify import classify_groups
 from triledger.sources.derived import Sources
 
+# What later steps read of the rows that are shuffled whole; `statements`, `ledger_prepared` and `journal_prepared` have every column.
+STATEMENT_COLUMNS = ("agent", "line_no", "line_kind", "doc", "doc_date", "mv", "tickets")
+LEDGER_COLUMNS = (
+    "agent", "agreement_id", "txn_id", "ts", "day", "month", "kind", "ticket_text", "amount", "currency", "creator", "tickets")
+JOURNAL_COLUMNS = ("row_no", "party", "employee", "kind", "is_copy", "tickets", "amount", "is_foreign", "amount_issue")
+
+
+def _only(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    return bounded(rows.select(*columns), known_rows(rows))
+
 
 @dataclass(frozen=True)
 class Result:
@@ -84,7 +94,7 @@ class Result:
 
     @cached_property
     def journal_owned(self) -> DataFrame:
-        return durable(voting.journal_agents(self.journal_prepared, self.votes, self.config))
+        return durable(voting.journal_agents(_only(self.journal_prepared, JOURNAL_COLUMNS), self.votes, self.config))
 
     # -- periods ----------------------------------------------------------------------------
     @cached_property
@@ -113,11 +123,11 @@ class Result:
 
     @cached_property
     def statements_grouped(self) -> DataFrame:
-        return durable(with_group(self.statements, self.components, self.config.hot_rows))
+        return durable(with_group(_only(self.statements, STATEMENT_COLUMNS), self.components, self.config.hot_rows))
 
     @cached_property
     def ledger(self) -> DataFrame:
-        return durable(with_group(self.ledger_inside, self.components, self.config.hot_rows))
+        return durable(with_group(_only(self.ledger_inside, LEDGER_COLUMNS), self.components, self.config.hot_rows))
 
     @cached_property
     def journal(self) -> DataFrame:

@@ -24,7 +24,7 @@ from triledger.plans.reconcile import Result, reconcile
 from triledger.sources.derived import Sources
 
 # A store refuses what other versions of the rules have left.
-VERSION = 1
+VERSION = 2
 # Every other table is planned from these.
 TABLES = (
     "statement_versions", "ledger_prepared", "journal_prepared", "votes", "statements", "journal_owned", "windows", "missing",
