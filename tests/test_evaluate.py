@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from triledger.functions.stats import wilson
 from triledger.operators import evaluate, risk
+from triledger.operators.durable import recorded
 
 
 def scored(spark, seed, n, levels):
@@ -84,6 +85,18 @@ def test_homogeneity(spark, counts, statistic, p):
         assert row.statistic == pytest.approx(statistic, abs=1e-3) and row.p_value == pytest.approx(p, abs=1e-4)
 
 
+def test_what_shares_are_counted_from_is_read_once(spark):
+    rows = spark.range(600).select(F.concat(F.lit("e"), F.col("id") % 3).alias("employee"), (F.col("id") % 7 < F.col("id") % 3).alias("is_error"))
+    with recorded() as made:
+        test, risks = risk.homogeneity(risk.error_counts(rows, "employee")), risk.risk_by_employee(rows)
+    assert len(made) == 2 and not any("Range" in df._jdf.queryExecution().toString() for df in (test, risks))
+    errors = [sum(i % 7 < i % 3 for i in range(e, 600, 3)) for e in range(3)]
+    share = sum(errors) / 600
+    statistic = sum((k - 200 * share) ** 2 / (200 * share) + (k - 200 * share) ** 2 / (200 * (1 - share)) for k in errors)
+    assert test.first().statistic == pytest.approx(statistic)
+    assert {r.employee: r.errors for r in risks.collect()} == {f"e{i}": k for i, k in enumerate(errors)}
+
+
 def test_three_degrees_of_freedom():
     from triledger.functions.stats import _upper_tail
 

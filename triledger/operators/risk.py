@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from triledger.config import Config
 from triledger.functions.stats import chi_square_p, wilson
+from triledger.operators.durable import durable, known_rows
 from triledger.operators.skew import salted_join
 
 SIGNIFICANT = 0.05
@@ -16,6 +17,8 @@ def journal_errors(journal: DataFrame, groups: DataFrame, config: Config, at_mos
     """Sales of known agents with a flag for rows that the employee got wrong."""
     sales = journal.filter((F.col("kind") == config.words.journal_sale) & ~F.col("agent").isin("DIRECT_CLIENT", "UNASSIGNED"))
     status = groups.select("gid", "status")
+    if at_most is None:
+        at_most = known_rows(journal)
     joined = salted_join(sales, status, ["gid"], hot_rows=config.hot_rows, at_most=at_most)
     wrong = F.col("status").isin("JOURNAL_AMOUNT_DIFF", "TICKET_IN_AMOUNT")
     return joined.select(
@@ -33,6 +36,8 @@ def homogeneity(counts: DataFrame) -> DataFrame:
     With a single degree of freedom the usual continuity correction applies.  When nobody or
     everybody has errors there is nothing to compare and the result is null.
     """
+    # One row each, read for the totals and again for the parts: what they are counted from is read once.
+    counts = counts if hasattr(counts, "_path") else durable(counts)
     totals = counts.agg(
         F.sum("errors").alias("all_errors"), F.sum("rows").alias("all_rows"), F.count("*").alias("groups"))
     every = lambda c: totals.select(c).scalar()
@@ -53,7 +58,7 @@ def homogeneity(counts: DataFrame) -> DataFrame:
 
 def risk_by_employee(rows: DataFrame) -> DataFrame:
     """Error share per employee with a 95 % interval and the test over all employees."""
-    counts = error_counts(rows, "employee")
+    counts = durable(error_counts(rows, "employee"))
     low, high = wilson(F.col("errors"), F.col("rows"))
     test = homogeneity(counts)
     return counts.select(
