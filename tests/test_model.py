@@ -1,7 +1,10 @@
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
 from triledger.operators import evaluate, model
+from triledger.operators.durable import durable
 from triledger.operators.features import CATEGORICAL, NUMERIC
 from triledger.plans.learn import learn
 
@@ -64,6 +67,30 @@ def test_saved_and_read_again(spark, boosted, tmp_path, learner):
     assert new.select("txn_id", "p_error").exceptAll(missing.select("txn_id", "p_error")).count() == 0
 
 
+@pytest.mark.parametrize("rows, most", [(1, 1), (20_000, 4)])
+def test_classes_that_fit_in_memory_are_trained_side_by_side(spark, boosted, monkeypatch, rows, most):
+    """With as many copies of the rows as fit; the trees are the same."""
+    fit, lock, running, seen = model.GBTClassifier.fit, threading.Lock(), [0], []
+
+    def counted(self, *given):
+        with lock:
+            running[0] += 1
+            seen.append(running[0])
+        try:
+            return fit(self, *given)
+        finally:
+            with lock:
+                running[0] -= 1
+
+    monkeypatch.setattr(model, "TRAINED_ROWS", rows)
+    monkeypatch.setattr(model.GBTClassifier, "fit", counted)
+    fold = boosted.folds[0]
+    train = durable(model.with_codes(features(spark), fold.classifier.codes).filter(F.col("month").isin(fold.train_months)).withColumn("weight", F.lit(1.0)))
+    settings = model.Settings(learner=model.BOOSTING, rounds=1, depth=2)
+    classifier = model.fit(train, fold.classifier.codes, settings)
+    assert len(seen) == len(classifier.trees) == 4 and max(seen) <= most and (most == 1 or max(seen) > 1)
+
+
 def test_other_versions_are_refused(spark, boosted, tmp_path, monkeypatch):
     monkeypatch.setattr(model, "VERSION", 0)
     boosted.folds[0].classifier.save(str(tmp_path / "m"))
