@@ -69,7 +69,7 @@ def test_saved_and_read_again(spark, boosted, tmp_path, learner):
 
 @pytest.mark.parametrize("rows, most", [(1, 1), (20_000, 4)])
 def test_classes_that_fit_in_memory_are_trained_side_by_side(spark, boosted, monkeypatch, rows, most):
-    """With as many copies of the rows as fit; the trees are the same."""
+    """With as many copies of the rows as fit."""
     fit, lock, running, seen = model.GBTClassifier.fit, threading.Lock(), [0], []
 
     def counted(self, *given):
